@@ -94,8 +94,13 @@ def block_pairs(
     columns: Sequence[str] = (),
     unique_id: str = "unique_id",
     pairs_per_task: int = PAIRS_PER_TASK,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Pairs (``*_l``, ``*_r``) of left and right records that satisfy one rule."""
+    """Pairs (``*_l``, ``*_r``) of left and right records that satisfy one rule.
+
+    `largest` bounds the pairs of a block; it is left rows x right rows unless given.  The sides should
+    be stored tables: they are counted, sized by key and then joined.
+    """
     if rule.sql:
         needed = left.columns
         raw = left.alias("l").join(right.alias("r"), F.expr(rule.sql))
@@ -105,8 +110,10 @@ def block_pairs(
     needed = sorted({unique_id, *rule.columns(), *columns})
     a, b, keys_l, keys_r = _banded(sided(left, "_l", needed), sided(right, "_r", needed), rule)
     exact = [F.abs(F.col(f"{c}_l") - F.col(f"{c}_r")) <= t for c, t in rule.within]
+    if largest is None:
+        largest = left.count() * right.count()
     pairs = spread_join(
-        a, b, keys_l, keys_r, f"{unique_id}_l", f"{unique_id}_r", all_of(exact) if exact else None, pairs_per_task
+        a, b, keys_l, keys_r, f"{unique_id}_l", f"{unique_id}_r", all_of(exact) if exact else None, pairs_per_task, largest
     )
     return pairs.select(*[f"{c}_l" for c in needed], *[f"{c}_r" for c in needed])
 
@@ -128,6 +135,7 @@ def multi_pass_blocking(
         raise ValueError("mix of SQL and structured rules")
     needed = sorted({unique_id, *columns, *(c for r in rules for c in r.columns())})
     passes = []
+    largest = None if rules[0].sql else left.count() * right.count()
     for number, rule in enumerate(rules):
         if rule.sql:
             pairs = left.alias("l").join(right.alias("r"), F.expr(rule.sql))
@@ -137,7 +145,7 @@ def multi_pass_blocking(
                 *[F.col(f"l.{c}").alias(f"{c}_l") for c in needed], *[F.col(f"r.{c}").alias(f"{c}_r") for c in needed]
             )
         else:
-            pairs = block_pairs(left, right, rule, needed, unique_id, pairs_per_task)
+            pairs = block_pairs(left, right, rule, needed, unique_id, pairs_per_task, largest)
             for earlier in rules[:number]:
                 pairs = pairs.filter(~earlier.holds())
         passes.append(pairs.withColumn("match_key", F.lit(number)))

@@ -21,17 +21,17 @@ from linkwright.session import cut_lineage
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, number: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     nearest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("__n"))
-    known = spread_lookup(both, nearest.drop("__n"), ["a"], ["b"], sizes=nearest.select("a", "__n"))
+    known = spread_lookup(both, nearest.drop("__n"), ["a"], ["b"], sizes=nearest.select("a", "__n"), largest=2 * number)
     return known.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, number: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     nearest = down.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("__n"))
-    known = spread_lookup(down, nearest.drop("__n"), ["a"], ["b"], sizes=nearest.select("a", "__n"))
+    known = spread_lookup(down, nearest.drop("__n"), ["a"], ["b"], sizes=nearest.select("a", "__n"), largest=number)
     links = known.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
     return links.unionByName(nearest.select("a", F.col("low").alias("b"))).distinct()
 
@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     edges = cut_lineage(edges)
     state = _fingerprint(edges)
     for _ in range(max_rounds):
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = cut_lineage(_small_star(_large_star(edges, state[0]), state[0]))
         following = _fingerprint(edges)
         if following == state:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

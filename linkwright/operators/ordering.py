@@ -12,12 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkwright.session import cut_lineage
+
 RANGES = 256
 
 
 def running_totals(values: DataFrame, key: str, totals: Sequence[str], ranges: int = RANGES) -> DataFrame:
     """`values` has one row per distinct numeric `key`; adds ``before_<t>`` for every total: the sum
-    of `t` over all smaller keys."""
+    of `t` over all smaller keys.
+
+    The values are read three times (cut points, range totals, scan), hence the checkpoint.
+    """
+    values = cut_lineage(values)
     cuts = sorted(set(values.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))))
     if cuts:
         points = F.array(*[F.lit(c) for c in cuts])

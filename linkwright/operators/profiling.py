@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -91,37 +92,39 @@ def distribution_percentiles(table: DataFrame, columns: Sequence[str]) -> DataFr
 def describe_numeric(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum; one row per column.
 
-    Quartiles are exact with linear interpolation.  They come from counts per distinct value and
-    running totals over value ranges, so no task holds a whole column.
+    Quartiles are exact with linear interpolation.  Everything is derived from counts per distinct
+    value, with running totals over value ranges, so no task holds a whole column and the table is
+    read once per column.
     """
     parts = []
     for column in columns:
         values = table.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-        summary = values.agg(
-            F.count("v").alias("count"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
+        ranked = running_totals(values.groupBy("v").agg(F.count("*").alias("n")), "v", ["n"])
+        basics = ranked.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
+            F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n")).alias("mean"),
             F.min("v").alias("min"),
             F.max("v").alias("max"),
-        )
-        distinct = values.groupBy("v").agg(F.count("*").alias("n"))
-        ranked = running_totals(distinct, "v", ["n"])
-        total = values.agg(F.count("*")).scalar()
-        quartiles = []
+        ).first()
+        total, mean = basics["count"], basics["mean"]
+        outputs = [
+            F.lit(column).alias("column_name"),
+            F.lit(total).cast("bigint").alias("count"),
+            F.lit(mean).cast("double").alias("mean"),
+            F.sqrt(F.try_divide(F.sum(F.col("n") * F.pow(F.col("v") - F.lit(mean), 2)), F.lit(max(total - 1, 0)))).alias("std"),
+            F.lit(basics["min"]).cast("double").alias("min"),
+        ]
         for q in (0.25, 0.5, 0.75):
-            place = (total - 1) * q
-            low, high = F.floor(place), F.ceil(place)
+            place = max(total - 1, 0) * q
+            low, high = math.floor(place), math.ceil(place)
 
-            def at(rank: Column) -> Column:
+            def at(rank: int) -> Column:
                 inside = (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
                 return F.max(F.when(inside, F.col("v")))
 
-            quartiles.append((at(low) + (at(high) - at(low)) * (place - low)).alias(f"p{int(q * 100)}"))
-        cut = ranked.agg(*quartiles)
-        both = summary.select(F.lit(column).alias("column_name"), "*").join(
-            cut.select(F.lit(column).alias("column_name"), "*"), "column_name"
-        )
-        parts.append(both.select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+            outputs.append((at(low) + (at(high) - at(low)) * F.lit(place - low)).alias(f"p{int(q * 100)}"))
+        outputs.append(F.lit(basics["max"]).cast("double").alias("max"))
+        parts.append(ranked.agg(*outputs))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -164,7 +167,7 @@ def pivot_counts(table: DataFrame, row: str, column: str, values: Sequence | Non
         if len(found) > MAX_PIVOT:
             raise ValueError(f"{column} has more than {MAX_PIVOT} values; a wide table would not help")
         values = [r[0] for r in found]
-    wide = present.groupBy(row).pivot(column, list(values)).agg(F.count("*"))
+    wide = present.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1)))
     return wide.na.fill(0)
 
 

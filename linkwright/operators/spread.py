@@ -82,15 +82,22 @@ def spread_join(
     right_id: str,
     condition: Column | None = None,
     pairs_per_task: int = PAIRS_PER_TASK,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Inner equi-join of two tables with disjoint column names, heavy keys on a grid."""
+    """Inner equi-join of two tables with disjoint column names, heavy keys on a grid.
+
+    `largest` is a known bound on the pairs of any one key, such as the size of left x right; at or
+    below the budget no key can be heavy and a plain join is planned.
+    """
+    match = all_of([F.col(x) == F.col(y) for x, y in zip(left_keys, right_keys)])
+    if condition is not None:
+        match = match & condition
+    if largest is not None and largest <= pairs_per_task:
+        return left.join(right, match)
     heavy = heavy_blocks(left, right, left_keys, right_keys, pairs_per_task)
     a = _lay_out(left, left_keys, left_id, heavy, "split_l", "split_r", ("__row_l", "__col_l"))
     b = _lay_out(right, right_keys, right_id, heavy, "split_r", "split_l", ("__col_r", "__row_r"))
-    match = all_of([F.col(x) == F.col(y) for x, y in zip(left_keys, right_keys)])
     match = match & (F.col("__row_l") == F.col("__row_r")) & (F.col("__col_l") == F.col("__col_r"))
-    if condition is not None:
-        match = match & condition
     return a.join(b, match).drop("__row_l", "__col_l", "__row_r", "__col_r")
 
 
@@ -102,9 +109,13 @@ def spread_lookup(
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
     sizes: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Join facts to a table with one row per key; rows of a heavy key are dealt over copies of
-    that key's single row.  `sizes` (keys and ``__n``) saves counting the facts again."""
+    that key's single row.  `sizes` (keys and ``__n``) saves counting the facts again; `largest` is a
+    known bound on the rows of any one key, such as the number of facts."""
+    if largest is not None and largest <= rows_per_task:
+        return facts.join(lookup, list(keys), how)
     counted = facts.groupBy(*keys).agg(F.count("*").alias("__n")) if sizes is None else sizes
     heavy = (
         counted.groupBy(_key_hash(keys).alias("__key"))

@@ -20,9 +20,7 @@ from linkwright.operators.model import (
 )
 from linkwright.plans import views
 from linkwright.plans.oracle_sql import (
-    BUCKET,
-    GAMMA,
-    GAMMAS,
+        GAMMAS,
     LEVELS,
     PAIR_IDS,
     ROUNDS,
@@ -35,6 +33,7 @@ from linkwright.plans.oracle_sql import (
     weight_sql,
     with_parts,
 )
+from linkwright.plans.store import once, stored
 from linkwright.session import scratch_path
 from linkwright.sources import readers
 
@@ -98,42 +97,10 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
 
 # -- inputs shared by many queries ------------------------------------------------------------------
 
-_stored: dict[tuple, DataFrame | LinkModel] = {}
-
-
-def forget() -> None:
-    """Drop what earlier queries left behind, so that the next one is measured on its own."""
-    _stored.clear()
-
-
-def _once(spark: SparkSession, sf_dir: str, label: str, make: Callable[[], object]):
-    key = (spark.sparkContext.applicationId, sf_dir, label)
-    if key not in _stored:
-        _stored[key] = make()
-    return _stored[key]
-
-
-def stored(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
-    """Write once to shared storage and read back: several later branches read the file instead of
-    repeating the join, and losing an executor costs nothing."""
-    path = scratch_path(spark, label)
-    frame.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return views.records(spark, sf_dir)
 
 
-def _stored_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cleaned sides as files, for work that reads them many times (training, sizing)."""
-
-    def make():
-        return tuple(stored(spark, side, f"side{i}") for i, side in enumerate(records(spark, sf_dir)))
-
-    return _once(spark, sf_dir, "records", make)
-
-
 def gammas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.candidate_gammas(*records(spark, sf_dir), SETTINGS)
 
@@ -144,16 +111,21 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "predictions", lambda: stored(spark, predictions(spark, sf_dir), "predictions"))
+    return once(spark, sf_dir, "predictions", lambda: stored(spark, predictions(spark, sf_dir), "predictions"))
+
+
+def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = lambda: stored(spark, kinship.symmetric_edges(views.assertions(spark, sf_dir)), "edges")
+    return once(spark, sf_dir, "edges", make)
 
 
 def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stored(spark, kinship.symmetric_edges(views.assertions(spark, sf_dir)), "edges")
+    edges = edges_of(spark, sf_dir)
     return kinship.boosted_matches(kinship.relative_corroboration(stored_predictions(spark, sf_dir), edges))
 
 
 def stored_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "boosted", lambda: stored(spark, boosted(spark, sf_dir), "boosted"))
+    return once(spark, sf_dir, "boosted", lambda: stored(spark, boosted(spark, sf_dir), "boosted"))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,12 +145,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trained(spark: SparkSession, sf_dir: str) -> LinkModel:
     def make() -> LinkModel:
-        left, right = _stored_records(spark, sf_dir)
         return training.train(
-            left, right, initial_model(COMPARISONS), DETERMINISTIC, TRAINING_BLOCKS, max_rounds=ROUNDS, tolerance=0.0
+            *records(spark, sf_dir), initial_model(COMPARISONS), DETERMINISTIC, TRAINING_BLOCKS, max_rounds=ROUNDS, tolerance=0.0
         )
 
-    return _once(spark, sf_dir, "trained", make)
+    return once(spark, sf_dir, "trained", make)
 
 
 SCORED = {"scored": scored_part("blocked", weight_sql(RATES, PRIOR), THRESHOLD)}
@@ -529,7 +500,7 @@ def _(spark, sf_dir):
 
 @query("C10_random_pair_sample", with_parts("SELECT unique_id_l, unique_id_r FROM drawn", "lft", "rgt", extra={"drawn": sample_part(20_000)}))
 def _(spark, sf_dir):
-    return B.random_pair_sample(*_stored_records(spark, sf_dir), 20_000)
+    return B.random_pair_sample(*records(spark, sf_dir), 20_000)
 
 
 @query("C11_self_pairing", with_parts("SELECT unique_id AS unique_id_l, unique_id AS unique_id_r, gender AS gender_l, gender AS gender_r FROM prepared", "prepared"))
@@ -608,7 +579,7 @@ def _(spark, sf_dir):
 
 @query("D7_estimate_u_sampled", with_parts("SELECT comparison, level, round(u, 6) AS u FROM u_est", "sampled", extra={"u_est": TRAINING["u_est"]}))
 def _(spark, sf_dir):
-    rates = training.estimate_u(*_stored_records(spark, sf_dir), COMPARISONS)
+    rates = training.estimate_u(*records(spark, sf_dir), COMPARISONS)
     return rounded(training.u_table(spark, rates))
 
 
@@ -621,7 +592,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    rates = training.estimate_u(*_stored_records(spark, sf_dir), COMPARISONS, method="exact")
+    rates = training.estimate_u(*records(spark, sf_dir), COMPARISONS, method="exact")
     return rounded(training.u_table(spark, rates))
 
 
@@ -647,7 +618,7 @@ TRAINED_SCORED = {"scored": scored_part("blocked", trained_weight(), THRESHOLD)}
 @query("D10_score_pairs", trained_sql(f"SELECT {PREDICTION_COLUMNS} FROM scored", "blocked", extra=TRAINED_SCORED))
 def _(spark, sf_dir):
     model = trained(spark, sf_dir)
-    return rounded(scoring.predict(*_stored_records(spark, sf_dir), SETTINGS, model, THRESHOLD))
+    return rounded(scoring.predict(*records(spark, sf_dir), SETTINGS, model, THRESHOLD))
 
 
 INITIAL_RATES = {
@@ -680,7 +651,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return clustering.cluster_records(*_stored_records(spark, sf_dir), SETTINGS, STATED, 0.5)
+    return clustering.cluster_records(*records(spark, sf_dir), SETTINGS, STATED, 0.5)
 
 
 @query(
@@ -805,7 +776,7 @@ RULE_COUNTS = " UNION ALL ".join(
 
 @query("E1_count_comparisons", with_parts(RULE_COUNTS, "lft", "rgt"))
 def _(spark, sf_dir):
-    return B.count_comparisons(*_stored_records(spark, sf_dir), ANALYSED)
+    return B.count_comparisons(*records(spark, sf_dir), ANALYSED)
 
 
 @query(
@@ -833,7 +804,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return B.cumulative_comparisons(*_stored_records(spark, sf_dir), RULES)
+    return B.cumulative_comparisons(*records(spark, sf_dir), RULES)
 
 
 @query(
@@ -846,7 +817,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return rounded(B.reduction_ratio(*_stored_records(spark, sf_dir), ANALYSED))
+    return rounded(B.reduction_ratio(*records(spark, sf_dir), ANALYSED))
 
 
 @query(

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.operators.prepare import derive_record_ids, prepare_records
+from linkwright.operators.prepare import derive_record_ids, prepare_records, split_by_year
 from linkwright.operators.spread import spread_lookup
+from linkwright.plans.store import once, stored
 
 YEARS = (1870, 1880)
 SOURCES = ("SRC_1870", "SRC_1880")
@@ -74,16 +75,25 @@ def raw_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The two cleaned sides."""
-    return prepare_records(raw_mentions(spark, sf_dir), SOURCES, YEARS, ["row_order"], UNUSED)
+    """The two cleaned sides, stored: blocking, training and sizing read them many times, the texts
+    behind them once."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        left, right = prepare_records(raw_mentions(spark, sf_dir), SOURCES, YEARS, ["row_order"], UNUSED)
+        both = stored(spark, left.unionByName(right), "records")
+        return split_by_year(both, *YEARS)
+
+    return once(spark, sf_dir, "records", make)
 
 
 def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    """First word, last word and text digest of every document, stored."""
+    words = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", "n_chars", (F.col("doc_id") % 2).cast("int").alias("side"),
         F.upper(_word(FIRST_WORD)).alias("first"), F.upper(_word(LAST_WORD)).alias("last"),
         F.md5("text").alias("text_hash"), F.contains("text", F.lit("\n")).alias("broken"),
     )
+    return once(spark, sf_dir, "words", lambda: stored(spark, words, "words"))
 
 
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
