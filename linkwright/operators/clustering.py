@@ -7,13 +7,11 @@ logarithmic in practice.  Each round is checkpointed to shared storage.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.operators.comparison import input_columns
 from linkwright.operators.model import LinkModel, LinkSettings
+from linkwright.operators.profiles import profile_columns, stand_ins, with_profile
 from linkwright.operators.scoring import predict
 from linkwright.operators.spread import spread_lookup
 from linkwright.session import cut_lineage
@@ -83,26 +81,15 @@ def _labelled(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.coalesce("component", "node").alias("cluster_id"), "source_dataset", "unique_id")
 
 
-def _profile_key(columns: Sequence[str]):
-    return F.md5(F.to_json(F.struct(*columns)))
-
-
 def cluster_records(
     left: DataFrame, right: DataFrame, settings: LinkSettings, model: LinkModel, threshold: float
 ) -> DataFrame:
-    """The same clusters straight from the records, one graph node per distinct profile.
-
-    Records of one side that agree on every column the rules and comparisons read have the same
-    partners and the same scores, so one of them stands for all: the graph is built on those, and
-    thousands of identical records cost one node instead of thousands times thousands of pairs.
-    """
-    columns = sorted({*input_columns(settings.comparisons), *(c for r in settings.rules for c in r.columns())})
-    keyed = [side.select("unique_id", *columns).withColumn("profile", _profile_key(columns)) for side in (left, right)]
-    stand_ins = [side.groupBy("profile", *columns).agg(F.min("unique_id").alias("unique_id")) for side in keyed]
-    pairs = predict(stand_ins[0], stand_ins[1], settings, model, threshold)
-    labels = connected_components(_confident(pairs, threshold))
+    """The same clusters straight from the records, with one graph node per distinct profile."""
+    columns = profile_columns(settings)
+    keyed = [with_profile(side, columns) for side in (left, right)]
+    nodes = [cut_lineage(stand_ins(side, columns)) for side in keyed]
+    labels = connected_components(_confident(predict(*nodes, settings, model, threshold), threshold))
     # Only profiles with a partner bind their records together.
-    named = _all_nodes(stand_ins[0], stand_ins[1], "profile").join(labels, "node")
-    named = named.select("source_dataset", "profile", "component")
-    members = _all_nodes(keyed[0], keyed[1], "profile")
+    named = _all_nodes(*nodes, "profile").join(labels, "node").select("source_dataset", "profile", "component")
+    members = _all_nodes(*keyed, "profile")
     return _labelled(spread_lookup(members, named, ["source_dataset", "profile"], ["unique_id"], "left"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from linkwright.functions.scalars import bin_of, even_edges, log_loss_term
 from linkwright.operators.ordering import running_totals
 from linkwright.operators.prepare import drop_nulls_any, filter_isin_binary_label
 from linkwright.operators.profiling import value_counts
+from linkwright.session import cut_lineage
 
 
 def truth_left_join(truth: DataFrame, predictions: DataFrame, left: str = "id_1870", right: str = "id_1880") -> DataFrame:
@@ -137,26 +139,32 @@ def score_value_counts(truth: DataFrame, n: int = 20) -> DataFrame:
     return scores.unionByName(grades)
 
 
-def density_table(table: DataFrame, column: str, points: int = 200, reach: float = 3.0) -> DataFrame:
+def density_table(
+    table: DataFrame, column: str, points: int = 200, reach: float = 3.0, weight: str | None = None
+) -> DataFrame:
     """Gaussian kernel density on an even grid running `reach` bandwidths past the extremes.
 
     Bandwidth is n^(-1/5) times the sample standard deviation.  Equal values are counted once, and
     each adds to every grid point, so the sum is one aggregation without an ordering or a join.
+    `weight` names a column with the number of observations a row stands for.
     """
-    values = table.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    values = table.select(F.col(column).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).alias("c"))
+    values = cut_lineage(values.filter(F.col("v").isNotNull()).groupBy("v").agg(F.sum("c").alias("c")))
     s = values.agg(
-        F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high")
+        F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high")
     ).first()
-    if not s["n"] or not s["sd"]:
+    n, mean = s["n"] or 0, s["mean"]
+    squares = values.agg(F.sum(F.col("c") * F.pow(F.col("v") - F.lit(mean), 2))).first()[0] if n > 1 else 0
+    if not squares:
         raise ValueError(f"{column} has no spread; its density is not defined")
-    width = s["n"] ** -0.2 * s["sd"]
+    width = n**-0.2 * (squares / (n - 1)) ** 0.5
     start = s["low"] - reach * width
     step = (s["high"] + reach * width - start) / (points - 1)
     spots = F.sequence(F.lit(0), F.lit(points - 1))
-    counted = values.groupBy("v").agg(F.count("*").alias("c")).select("v", "c", F.explode(spots).alias("point"))
+    counted = values.select("v", "c", F.explode(spots).alias("point"))
     x = F.lit(start) + F.col("point") * F.lit(step)
     kernel = F.col("c") * F.exp(F.lit(-0.5) * F.pow((x - F.col("v")) / F.lit(width), 2))
-    scale = s["n"] * width * (2 * 3.141592653589793) ** 0.5
+    scale = n * width * math.sqrt(2 * math.pi)
     return counted.groupBy("point").agg((F.sum(kernel) / F.lit(scale)).alias("density")).select(
         "point", x.alias("x"), "density"
     )

@@ -22,8 +22,11 @@ Rates = dict[str, dict[int, float]]
 
 @dataclass(frozen=True)
 class LinkSettings:
+    """Blocking rules and comparisons; `columns` names inputs that only SQL rules or levels read."""
+
     rules: tuple[BlockRule, ...]
     comparisons: tuple[Comparison, ...]
+    columns: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""How many pairs of a block show each agreement pattern, without forming the pairs.
+"""How many pairs of a block show each agreement pattern, without forming the pairs of records.
 
 Training needs only the number of pairs per pattern, yet a training block such as "same gender"
 holds half of all pairs.  Counting goes through keys instead.  For one comparison, every value
@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 
 from linkwright.operators.blocking import BlockRule, block_pairs
 from linkwright.operators.comparison import ELSE_LEVEL, NULL_LEVEL, Comparison, gamma_vectors, input_columns
+from linkwright.session import cut_lineage
 
+# Roughly how many keys one value combination sends out: tolerance x prefix x close words.
+KEYS_PER_TUPLE = 2_000
 ENUMERABLE = ("equal", "within", "edit")
 
 
@@ -173,26 +176,35 @@ def _corrections(comparison: Comparison) -> Column:
 
 
 def _tuples(records: DataFrame, columns: Sequence[str], present: Sequence[str]) -> DataFrame:
+    """Distinct value combinations with their number of records.  Checkpointed: the choice of method
+    and every branch after it read them again."""
     for column in present:
         records = records.filter(F.col(column).isNotNull())
-    return records.groupBy(*columns).agg(F.count("*").alias("__n"))
+    return cut_lineage(records.groupBy(*columns).agg(F.count("*").alias("__n")))
 
 
-def _by_keys(left: DataFrame, right: DataFrame, block: Sequence[str], comparisons: Sequence[Comparison]) -> DataFrame:
-    columns = list(dict.fromkeys([*block, *input_columns(comparisons)]))
-    a, b = _tuples(left, columns, block), _tuples(right, columns, block)
+def _by_keys(a: DataFrame, b: DataFrame, block: Sequence[str], comparisons: Sequence[Comparison]) -> DataFrame:
     # A blocked column that is also compared is needed twice: as join key and as compared value.
     held = {c: f"__block_{c}" for c in block}
-    a = a.withColumns({new: F.col(old) for old, new in held.items()}).drop(*[c for c in block if c not in input_columns(comparisons)])
-    b = b.withColumns({new: F.col(old) for old, new in held.items()}).drop(*[c for c in block if c not in input_columns(comparisons)])
+    spent = [c for c in block if c not in input_columns(comparisons)]
+    a, b = (side.withColumns({new: F.col(old) for old, new in held.items()}).drop(*spent) for side in (a, b))
+    # Words last: they fan out most, and what comes before has been added up by then.
+    ordered = sorted(comparisons, key=lambda c: c.edit_limit is not None)
     keys = list(held.values()) + [f"key_{c.key}" for c in comparisons]
     classes = [f"class_{c.key}" for c in comparisons]
-    for comparison in comparisons:
+    for comparison in ordered:
         words = None
         if comparison.edit_limit is not None:
             words = close_words(a.select(comparison.column), b.select(comparison.column), comparison.edit_limit)
-        a = _send_left(a, comparison, words).groupBy(*[c for c in _rest(a, comparison)], f"key_{comparison.key}", f"class_{comparison.key}").agg(F.sum("__n").alias("__n"))
-        b = _send_right(b, comparison).groupBy(*[c for c in _rest(b, comparison)], f"key_{comparison.key}").agg(F.sum("__n").alias("__n"))
+            words = cut_lineage(words)
+            # A combination of earlier keys that the right side lacks cannot meet anything.
+            met = [k for k in keys if k in a.columns]
+            if met:
+                a = a.join(b.select(*met).distinct(), met, "left_semi")
+        a, b = _send_left(a, comparison, words), _send_right(b, comparison)
+        if comparison is not ordered[-1]:
+            a = cut_lineage(a.groupBy(*[c for c in a.columns if c != "__n"]).agg(F.sum("__n").alias("__n")))
+        b = cut_lineage(b.groupBy(*[c for c in b.columns if c != "__n"]).agg(F.sum("__n").alias("__n")))
     met = a.withColumnRenamed("__n", "__n_l").join(b.withColumnRenamed("__n", "__n_r"), keys)
     counted = met.groupBy(*classes).agg(F.sum(F.col("__n_l") * F.col("__n_r")).alias("pairs"))
     for comparison in comparisons:
@@ -206,34 +218,45 @@ def _by_keys(left: DataFrame, right: DataFrame, block: Sequence[str], comparison
     return counted.groupBy(*gammas).agg(F.sum("pairs").cast("bigint").alias("pairs")).filter("pairs <> 0")
 
 
-def _rest(frame: DataFrame, comparison: Comparison) -> list[str]:
-    return [c for c in frame.columns if c not in (comparison.column, "__n")]
-
-
-def _by_tuples(left: DataFrame, right: DataFrame, block: BlockRule, comparisons: Sequence[Comparison], extra: Sequence[str]) -> DataFrame:
-    """Pairs of distinct value combinations, each weighted by its record pairs: the general way, for
-    levels given as SQL."""
-    columns = sorted({*block.columns(), *input_columns(comparisons), *extra})
-    marked = [
-        _tuples(side, columns, block.equal).withColumn("unique_id", F.xxhash64(*columns).cast("string"))
-        for side in (left, right)
-    ]
-    pairs = block_pairs(marked[0], marked[1], block, [*columns, "__n"])
+def _by_tuples(a: DataFrame, b: DataFrame, block: BlockRule, comparisons: Sequence[Comparison]) -> DataFrame:
+    """Pairs of distinct value combinations, each weighted by its record pairs."""
+    columns = a.columns
+    marked = [side.withColumn("unique_id", F.xxhash64(*columns)) for side in (a, b)]
+    pairs = block_pairs(marked[0], marked[1], block, columns)
     gammas = gamma_vectors(pairs, comparisons, ["__n_l", "__n_r"])
     return gammas.groupBy(*[c.gamma for c in comparisons]).agg(F.sum(F.col("__n_l") * F.col("__n_r")).alias("pairs"))
 
 
+def _few_partners(a: DataFrame, b: DataFrame, block: Sequence[str]) -> bool:
+    """Whether pairing value combinations inside blocks is less work than sending keys."""
+    per_block = [side.groupBy(*block).agg(F.count("*").alias(n)) for side, n in ((a, "t_l"), (b, "t_r"))]
+    sizes = per_block[0].join(per_block[1], list(block)).agg(
+        F.sum(F.col("t_l").cast("double") * F.col("t_r")).alias("pairs"), F.sum(F.col("t_l") + F.col("t_r")).alias("tuples")
+    ).first()
+    return (sizes["pairs"] or 0) <= KEYS_PER_TUPLE * (sizes["tuples"] or 0)
+
+
 def pattern_counts(
     left: DataFrame,
     right: DataFrame,
     comparisons: Sequence[Comparison],
     block: BlockRule = BlockRule(),
     sql_columns: Sequence[str] = (),
+    by_keys: bool | None = None,
 ) -> DataFrame:
     """(gamma..., pairs) over all left x right pairs satisfying the block.
 
+    Value combinations are paired directly while a block offers each of them few partners; beyond
+    that, and without a block, counting goes through keys.  `by_keys` overrides the choice.
     `sql_columns` names columns that SQL levels read beyond the comparison's own.
     """
-    if not block.within and not block.sql and all(countable(c) for c in comparisons):
-        return _by_keys(left, right, block.equal, comparisons)
-    return _by_tuples(left, right, block, comparisons, sql_columns)
+    countable_here = not block.within and not block.sql and all(countable(c) for c in comparisons)
+    columns = sorted({*block.columns(), *input_columns(comparisons), *sql_columns})
+    a, b = _tuples(left, columns, block.equal), _tuples(right, columns, block.equal)
+    if by_keys is None:
+        by_keys = countable_here and (not block.equal or not _few_partners(a, b, block.equal))
+    if by_keys:
+        return _by_keys(a, b, block.equal, comparisons)
+    if not (block.equal or block.within or block.sql):
+        raise ValueError("these levels need a block: pairing everything with everything is not planned")
+    return _by_tuples(a, b, block, comparisons)

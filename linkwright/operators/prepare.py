@@ -51,6 +51,20 @@ def split_by_year(frame: DataFrame, left_year: int, right_year: int, column: str
     return frame.filter(F.col(column) == left_year), frame.filter(F.col(column) == right_year)
 
 
+def clean_records(
+    mentions: DataFrame,
+    sources: Sequence[str],
+    order: Sequence[str | Column],
+    unused: Sequence[str] = (),
+    upper: str = "middle_name",
+) -> DataFrame:
+    """Raw mentions to one cleaned table: sources, key name, duplicates, columns, upper case."""
+    kept = filter_sources(mentions, sources)
+    kept = rename_columns(kept, {"mention_id": "unique_id"})
+    kept = dedup_by_key(kept, "unique_id", order)
+    return normalize_upper(drop_columns(kept, unused), upper)
+
+
 def prepare_records(
     mentions: DataFrame,
     sources: Sequence[str],
@@ -60,12 +74,7 @@ def prepare_records(
     upper: str = "middle_name",
 ) -> tuple[DataFrame, DataFrame]:
     """Raw mentions to the two cleaned sides of the linkage."""
-    kept = filter_sources(mentions, sources)
-    kept = rename_columns(kept, {"mention_id": "unique_id"})
-    kept = dedup_by_key(kept, "unique_id", order)
-    kept = drop_columns(kept, unused)
-    kept = normalize_upper(kept, upper)
-    return split_by_year(kept, *years)
+    return split_by_year(clean_records(mentions, sources, order, unused, upper), *years)
 
 
 def derive_record_ids(frame: DataFrame, line_to_id: Mapping[str, tuple[str, str]]) -> DataFrame:

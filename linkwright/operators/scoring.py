@@ -9,20 +9,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkwright.operators.blocking import PAIRS_PER_TASK, multi_pass_blocking, self_pairing
-from linkwright.operators.comparison import Comparison, gamma_vectors, input_columns
+from linkwright.operators.comparison import gamma_vectors, input_columns
 from linkwright.operators.model import LinkModel, LinkSettings, initial_model, probability
 
 ID_PAIR = ("unique_id_l", "unique_id_r")
 
 
 def candidate_gammas(
-    left: DataFrame, right: DataFrame, settings: LinkSettings, pairs_per_task: int = PAIRS_PER_TASK
+    left: DataFrame,
+    right: DataFrame,
+    settings: LinkSettings,
+    pairs_per_task: int = PAIRS_PER_TASK,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Agreement levels of every blocked pair."""
-    pairs = multi_pass_blocking(
-        left, right, settings.rules, input_columns(settings.comparisons), pairs_per_task=pairs_per_task
-    )
-    return gamma_vectors(pairs, settings.comparisons, [*ID_PAIR, "match_key"])
+    """Agreement levels of every blocked pair; `carry` names record columns to keep from both sides."""
+    columns = [*input_columns(settings.comparisons), *settings.columns, *carry]
+    pairs = multi_pass_blocking(left, right, settings.rules, columns, pairs_per_task=pairs_per_task)
+    kept = [f"{c}{suffix}" for c in carry for suffix in ("_l", "_r")]
+    return gamma_vectors(pairs, settings.comparisons, [*ID_PAIR, "match_key", *kept])
 
 
 def score_gammas(gammas: DataFrame, model: LinkModel, threshold: float | None = None) -> DataFrame:
@@ -97,16 +101,3 @@ def weight_waterfall_table(predictions: DataFrame, model: LinkModel) -> DataFram
                  running.alias("contribution"), running.alias("running_weight"))
     )
     return predictions.select(*ID_PAIR, F.inline(F.array(*steps)))
-
-
-def pattern_examples(gammas: DataFrame, comparisons: Sequence[Comparison], n: int) -> DataFrame:
-    """Pairs per agreement pattern with up to `n` examples of each, in id order.
-
-    Spark limits each pattern to `n` rows per map task before the shuffle.
-    """
-    columns = [c.gamma for c in comparisons]
-    counts = gammas.groupBy(*columns).agg(F.count("*").alias("pattern_pairs"))
-    rank = F.row_number().over(W.partitionBy(*columns).orderBy(*ID_PAIR))
-    examples = gammas.select(*columns, *ID_PAIR).withColumn("example", rank).filter(F.col("example") <= n)
-    return examples.join(counts, columns)
-

@@ -15,13 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.operators.prepare import all_of
 
 HEAVY_KEYS = 10_000
-PAIRS_PER_TASK = 25_000_000
+PAIRS_PER_TASK = 2_000_000
 ROWS_PER_TASK = 5_000_000
 MAX_STRIPS = 20_000
 
@@ -73,6 +73,10 @@ def _lay_out(side: DataFrame, keys: Sequence[str], spread_by: str, heavy: DataFr
     return marked.drop("__key", "split_l", "split_r")
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -87,16 +91,26 @@ def spread_join(
     """Inner equi-join of two tables with disjoint column names, heavy keys on a grid.
 
     `largest` is a known bound on the pairs of any one key, such as the size of left x right; at or
-    below the budget no key can be heavy and a plain join is planned.
+    below the budget no key can be heavy and no key is counted.  Without heavy keys a plain join is
+    planned and Spark picks its kind.
     """
     match = all_of([F.col(x) == F.col(y) for x, y in zip(left_keys, right_keys)])
     if condition is not None:
         match = match & condition
     if largest is not None and largest <= pairs_per_task:
         return left.join(right, match)
-    heavy = heavy_blocks(left, right, left_keys, right_keys, pairs_per_task)
+    found = heavy_blocks(left, right, left_keys, right_keys, pairs_per_task).collect()
+    if not found:
+        return left.join(right, match)
+    spark = left.sparkSession
+    heavy = spark.createDataFrame(found, "__key bigint, split_l int, split_r int")
     a = _lay_out(left, left_keys, left_id, heavy, "split_l", "split_r", ("__row_l", "__col_l"))
     b = _lay_out(right, right_keys, right_id, heavy, "split_r", "split_l", ("__col_r", "__row_r"))
+    # A stated number of partitions, because small inputs with a large output must not be merged into
+    # a few tasks by their size, nor one side shipped whole to the few tasks of the other.
+    tasks = _tasks(spark)
+    a = a.repartition(tasks, *left_keys, "__row_l", "__col_l")
+    b = b.repartition(tasks, *right_keys, "__row_r", "__col_r").hint("shuffle_hash")
     match = match & (F.col("__row_l") == F.col("__row_r")) & (F.col("__col_l") == F.col("__col_r"))
     return a.join(b, match).drop("__row_l", "__col_l", "__row_r", "__col_r")
 

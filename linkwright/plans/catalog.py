@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwright.operators import blocking as B
-from linkwright.operators import clustering, comparison, evaluation, kinship, prepare, profiling, scoring, training
+from linkwright.operators import clustering, comparison, evaluation, kinship, prepare, profiles, profiling, scoring, training
 from linkwright.operators.model import (
     LinkModel,
     LinkSettings,
@@ -340,7 +340,8 @@ def _(spark, sf_dir):
 
 @query("B8_prepare_records", with_parts(f"SELECT {PREPARED_COLUMNS} FROM prepared", "prepared"))
 def _(spark, sf_dir):
-    return both_sides(spark, sf_dir)
+    left, right = prepare.prepare_records(raw(spark, sf_dir), views.SOURCES, views.YEARS, ["row_order"], views.UNUSED)
+    return left.unionByName(right)
 
 
 @query("B9_derive_record_ids", with_parts("SELECT * FROM truth_ids", "truth_ids"))
@@ -740,7 +741,7 @@ GAMMA_NAMES = ", ".join(f"gamma_{n}" for n in LEVELS)
     ),
 )
 def _(spark, sf_dir):
-    return scoring.pattern_examples(gammas(spark, sf_dir), COMPARISONS, 3)
+    return profiles.pattern_examples(*records(spark, sf_dir), SETTINGS, 3)
 
 
 @query(
@@ -1281,7 +1282,8 @@ def _(spark, sf_dir):
 
 @query("H12_density_predictions", with_parts(DENSITY, "blocked", extra={**SCORED, **_density_sql("match_probability", "scored")}))
 def _(spark, sf_dir):
-    return rounded(evaluation.density_table(stored_predictions(spark, sf_dir), "match_probability"))
+    compact = profiles.predict_profiles(*records(spark, sf_dir), SETTINGS, STATED, THRESHOLD)
+    return rounded(evaluation.density_table(compact, "match_probability", weight="pairs"))
 
 
 @query(

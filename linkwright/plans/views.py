@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.operators.prepare import derive_record_ids, prepare_records, split_by_year
+from linkwright.operators.prepare import clean_records, derive_record_ids, split_by_year
 from linkwright.operators.spread import spread_lookup
 from linkwright.plans.store import once, stored
 
@@ -17,17 +17,26 @@ YEARS = (1870, 1880)
 SOURCES = ("SRC_1870", "SRC_1880")
 UNUSED = ("source", "confidence", "race", "occupation", "first_name", "last_name", "row_order")
 PREDICATES = ("child_of", "spouse_of", "sibling_of", "lodges_with")
-FIRST_WORD = r"^\W*(\w+)"
-LAST_WORD = r"(\w+)\W*$"
+LEADING_WORD = r"^\W*(\w+)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _word(pattern: str) -> Column:
-    found = F.regexp_extract("text", pattern, 1)
-    return F.when(found != "", found)
+def _with_end_words(documents: DataFrame) -> DataFrame:
+    """Add the first and the last word of the text, null when there is none.
+
+    The last word is the first one of the reversed text: an anchored pattern stops at once, where one
+    anchored at the end would be tried from every position.
+    """
+    found = documents.withColumns(
+        {
+            "first_word": F.regexp_extract("text", LEADING_WORD, 1),
+            "last_word": F.reverse(F.regexp_extract(F.reverse("text"), LEADING_WORD, 1)),
+        }
+    )
+    return found.withColumns({w: F.when(F.col(w) != "", F.col(w)) for w in ("first_word", "last_word")})
 
 
 def _year() -> Column:
@@ -48,8 +57,8 @@ def raw_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     that does not belong."""
     documents = table(spark, sf_dir, "documents")
     copies = F.when(F.col("doc_id") % 29 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    named = documents.select(
-        "doc_id", "lang", "source", "n_chars", _word(FIRST_WORD).alias("first_word"), _word(LAST_WORD).alias("last_word"),
+    named = _with_end_words(documents).select(
+        "doc_id", "lang", "source", "n_chars", "first_word", "last_word",
         F.contains("text", F.lit("\n")).alias("broken"),
     ).withColumn("copy", F.explode(copies))
     return named.select(
@@ -79,18 +88,17 @@ def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     behind them once."""
 
     def make() -> tuple[DataFrame, DataFrame]:
-        left, right = prepare_records(raw_mentions(spark, sf_dir), SOURCES, YEARS, ["row_order"], UNUSED)
-        both = stored(spark, left.unionByName(right), "records")
-        return split_by_year(both, *YEARS)
+        cleaned = clean_records(raw_mentions(spark, sf_dir), SOURCES, ["row_order"], UNUSED)
+        return split_by_year(stored(spark, cleaned, "records"), *YEARS)
 
     return once(spark, sf_dir, "records", make)
 
 
 def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First word, last word and text digest of every document, stored."""
-    words = table(spark, sf_dir, "documents").select(
+    words = _with_end_words(table(spark, sf_dir, "documents")).select(
         "doc_id", "lang", "source", "n_chars", (F.col("doc_id") % 2).cast("int").alias("side"),
-        F.upper(_word(FIRST_WORD)).alias("first"), F.upper(_word(LAST_WORD)).alias("last"),
+        F.upper("first_word").alias("first"), F.upper("last_word").alias("last"),
         F.md5("text").alias("text_hash"), F.contains("text", F.lit("\n")).alias("broken"),
     )
     return once(spark, sf_dir, "words", lambda: stored(spark, words, "words"))
