@@ -34,22 +34,29 @@ def _small_star(edges: DataFrame, number: int) -> DataFrame:
     return links.unionByName(nearest.select("a", F.col("low").alias("b"))).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _progress(edges: DataFrame) -> tuple[int, bool]:
+    """Number of links, and whether they are final: every child has one parent and no parent is itself
+    a child."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("child").alias("children"), F.max("parent").alias("parent"))
+    unsettled = (F.col("children") > 1) | ((F.col("children") > 0) & (F.col("parent") > 0))
+    seen = nodes.agg(F.sum("children").alias("links"), F.count(F.when(unsettled, 1)).alias("unsettled")).first()
+    return seen["links"] or 0, seen["unsettled"] == 0
 
 
 def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(a, b) edges to (node, component); the component is its smallest node."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = cut_lineage(edges)
-    state = _fingerprint(edges)
+    links, settled = _progress(edges)
     for _ in range(max_rounds):
-        edges = cut_lineage(_small_star(_large_star(edges, state[0]), state[0]))
-        following = _fingerprint(edges)
-        if following == state:
+        if settled:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-        state = following
+        edges = cut_lineage(_small_star(_large_star(edges, links), links))
+        links, settled = _progress(edges)
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 

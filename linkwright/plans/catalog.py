@@ -465,7 +465,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    edges = kinship.symmetric_edges(views.assertions(spark, sf_dir))
+    edges = edges_of(spark, sf_dir)
     return kinship.relatives_lookup_join(predictions(spark, sf_dir).select(*IDS), edges)
 
 
@@ -1057,7 +1057,7 @@ def _(spark, sf_dir):
     with_parts("SELECT mention_id, 0 AS piece, string_agg(relative_id, ',' ORDER BY relative_id) AS relatives FROM edges GROUP BY mention_id", "assertions", extra=EDGES),
 )
 def _(spark, sf_dir):
-    edges = kinship.symmetric_edges(views.assertions(spark, sf_dir))
+    edges = edges_of(spark, sf_dir)
     return kinship.relative_sets(edges).withColumn("relatives", F.array_join("relatives", ","))
 
 
@@ -1220,7 +1220,7 @@ def _(spark, sf_dir):
 @query(
     "H8_calibration_table",
     _metric(
-        """SELECT CAST(least(floor(match_probability * 10 + 1e-9), 9) AS INTEGER) AS bin, round(avg(match_probability), 6) AS mean_pred,
+        """SELECT CAST((SELECT max(i) FROM range(10) AS g(i) WHERE match_probability >= i * 0.1::DOUBLE) AS INTEGER) AS bin, round(avg(match_probability), 6) AS mean_pred,
                   round(avg(label), 6) AS mean_true, count(*) AS n FROM labelled GROUP BY 1"""
     ),
 )
