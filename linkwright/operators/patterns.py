@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from linkwright.operators.blocking import BlockRule, block_pairs
 from linkwright.operators.comparison import ELSE_LEVEL, NULL_LEVEL, Comparison, gamma_vectors, input_columns
+from linkwright.operators.spread import spread_lookup
 from linkwright.session import cut_lineage
 
 # Roughly how many keys one value combination sends out: tolerance x prefix x close words.
@@ -116,25 +117,16 @@ def _wide_classes(comparison: Comparison, value: Column) -> Column:
 
 
 def _send_left(tuples: DataFrame, comparison: Comparison, words: DataFrame | None) -> DataFrame:
-    """Replace the comparison's column by its keys and classes, one row each."""
+    """Replace the comparison's column by its keys and classes, one row per distinct combination.
+
+    Rows of the wide classes share few keys and are added up; those sent to close words seldom
+    coincide and go on as they are.
+    """
     value = F.col(comparison.column)
     kind = comparison.levels[0].kind
-    key, cls = f"key_{comparison.key}", f"class_{comparison.key}"
     wide = _wide_classes(comparison, value)
     own = F.concat(F.lit("="), value.cast("string"))
-    if kind == "equal":
-        near = F.array(_key_class(own, F.lit(f"={comparison.gamma_of(comparison.levels[0])}")))
-    elif kind == "within":
-        reach = max(level.amount for level in comparison.levels)
-        near = F.transform(
-            F.sequence(F.lit(-reach), F.lit(reach)),
-            lambda d: _key_class(
-                F.concat(F.lit("="), (value.cast("bigint") + d).cast("string")),
-                _class_of(comparison, F.abs(d), F.lit(False)),
-            ),
-        )
-    else:
-        sent = tuples.withColumn("__sent", F.explode(wide))
+    if kind == "edit":
         length = _prefix_length(comparison)
         shared = (
             F.substring("word_l", 1, length) == F.substring("word_r", 1, length) if length is not None else F.lit(False)
@@ -145,10 +137,32 @@ def _send_left(tuples: DataFrame, comparison: Comparison, words: DataFrame | Non
                 F.concat(F.lit("="), F.col("word_r")), _class_of(comparison, F.col("distance"), shared)
             ).alias("__sent"),
         )
-        sent = sent.unionByName(tuples.join(links, comparison.column))
-        return sent.withColumns({key: F.col("__sent.key"), cls: F.col("__sent.kind")}).drop("__sent", comparison.column)
+        others = [c for c in tuples.columns if c != comparison.column]
+        close = spread_lookup(tuples, links, [comparison.column], others)
+        near = _spread_out(close, comparison)
+        return _added_up(_spread_out(tuples.withColumn("__sent", F.explode(wide)), comparison)).unionByName(near)
+    if kind == "equal":
+        near = F.array(_key_class(own, F.lit(f"={comparison.gamma_of(comparison.levels[0])}")))
+    else:
+        reach = max(level.amount for level in comparison.levels)
+        near = F.transform(
+            F.sequence(F.lit(-reach), F.lit(reach)),
+            lambda d: _key_class(
+                F.concat(F.lit("="), (value.cast("bigint") + d).cast("string")),
+                _class_of(comparison, F.abs(d), F.lit(False)),
+            ),
+        )
     sent = tuples.withColumn("__sent", F.explode(F.when(value.isNull(), wide).otherwise(F.concat(wide, near))))
-    return sent.withColumns({key: F.col("__sent.key"), cls: F.col("__sent.kind")}).drop("__sent", comparison.column)
+    return _added_up(_spread_out(sent, comparison))
+
+
+def _spread_out(sent: DataFrame, comparison: Comparison) -> DataFrame:
+    named = {f"key_{comparison.key}": F.col("__sent.key"), f"class_{comparison.key}": F.col("__sent.kind")}
+    return sent.withColumns(named).drop("__sent", comparison.column)
+
+
+def _added_up(frame: DataFrame) -> DataFrame:
+    return frame.groupBy(*[c for c in frame.columns if c != "__n"]).agg(F.sum("__n").alias("__n"))
 
 
 def _send_right(tuples: DataFrame, comparison: Comparison) -> DataFrame:
@@ -156,7 +170,7 @@ def _send_right(tuples: DataFrame, comparison: Comparison) -> DataFrame:
     wide = F.transform(_wide_classes(comparison, value), lambda c: c["key"])
     own = F.array(F.concat(F.lit("="), value.cast("string")))
     keys = F.when(value.isNull(), wide).otherwise(F.concat(wide, own))
-    return tuples.withColumn(f"key_{comparison.key}", F.explode(keys)).drop(comparison.column)
+    return _added_up(tuples.withColumn(f"key_{comparison.key}", F.explode(keys)).drop(comparison.column))
 
 
 def _corrections(comparison: Comparison) -> Column:
@@ -176,11 +190,10 @@ def _corrections(comparison: Comparison) -> Column:
 
 
 def _tuples(records: DataFrame, columns: Sequence[str], present: Sequence[str]) -> DataFrame:
-    """Distinct value combinations with their number of records.  Checkpointed: the choice of method
-    and every branch after it read them again."""
+    """Distinct value combinations with their number of records."""
     for column in present:
         records = records.filter(F.col(column).isNotNull())
-    return cut_lineage(records.groupBy(*columns).agg(F.count("*").alias("__n")))
+    return records.groupBy(*columns).agg(F.count("*").alias("__n"))
 
 
 def _by_keys(a: DataFrame, b: DataFrame, block: Sequence[str], comparisons: Sequence[Comparison]) -> DataFrame:
@@ -195,16 +208,14 @@ def _by_keys(a: DataFrame, b: DataFrame, block: Sequence[str], comparisons: Sequ
     for comparison in ordered:
         words = None
         if comparison.edit_limit is not None:
-            words = close_words(a.select(comparison.column), b.select(comparison.column), comparison.edit_limit)
-            words = cut_lineage(words)
-            # A combination of earlier keys that the right side lacks cannot meet anything.
             met = [k for k in keys if k in a.columns]
             if met:
-                a = a.join(b.select(*met).distinct(), met, "left_semi")
+                a, b = cut_lineage(a), cut_lineage(b)
+                # A combination of earlier keys that the right side lacks cannot meet anything.
+                a = cut_lineage(spread_lookup(a, b.select(*met).distinct(), met, [comparison.column], "left_semi"))
+            words = close_words(a.select(comparison.column), b.select(comparison.column), comparison.edit_limit)
+            words = cut_lineage(words)
         a, b = _send_left(a, comparison, words), _send_right(b, comparison)
-        if comparison is not ordered[-1]:
-            a = cut_lineage(a.groupBy(*[c for c in a.columns if c != "__n"]).agg(F.sum("__n").alias("__n")))
-        b = cut_lineage(b.groupBy(*[c for c in b.columns if c != "__n"]).agg(F.sum("__n").alias("__n")))
     met = a.withColumnRenamed("__n", "__n_l").join(b.withColumnRenamed("__n", "__n_r"), keys)
     counted = met.groupBy(*classes).agg(F.sum(F.col("__n_l") * F.col("__n_r")).alias("pairs"))
     for comparison in comparisons:
@@ -253,6 +264,9 @@ def pattern_counts(
     countable_here = not block.within and not block.sql and all(countable(c) for c in comparisons)
     columns = sorted({*block.columns(), *input_columns(comparisons), *sql_columns})
     a, b = _tuples(left, columns, block.equal), _tuples(right, columns, block.equal)
+    if block.equal or any(c.edit_limit is not None for c in comparisons):
+        # The choice of method and several branches after it read them again.
+        a, b = cut_lineage(a), cut_lineage(b)
     if by_keys is None:
         by_keys = countable_here and (not block.equal or not _few_partners(a, b, block.equal))
     if by_keys:

@@ -125,8 +125,8 @@ def spread_lookup(
     sizes: DataFrame | None = None,
     largest: int | None = None,
 ) -> DataFrame:
-    """Join facts to a table with one row per key; rows of a heavy key are dealt over copies of
-    that key's single row.  `sizes` (keys and ``__n``) saves counting the facts again; `largest` is a
+    """Join facts to a table with one or few rows per key; rows of a heavy key are dealt over copies of
+    that key's lookup rows.  `sizes` (keys and ``__n``) saves counting the facts again; `largest` is a
     known bound on the rows of any one key, such as the number of facts."""
     if largest is not None and largest <= rows_per_task:
         return facts.join(lookup, list(keys), how)
