@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from linkwright.operators.blocking import PAIRS_PER_TASK
 from linkwright.operators.comparison import input_columns
 from linkwright.operators.model import LinkModel, LinkSettings
-from linkwright.operators.scoring import ID_PAIR, candidate_gammas, score_gammas
+from linkwright.operators.scoring import ID_PAIR, candidate_gammas, predict
 from linkwright.session import cut_lineage
 
 
@@ -37,14 +37,21 @@ def stand_ins(profiled: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _stand_in_sides(left: DataFrame, right: DataFrame, settings: LinkSettings) -> list[DataFrame]:
+    columns = profile_columns(settings)
+    return [cut_lineage(stand_ins(with_profile(side, columns), columns)) for side in (left, right)]
+
+
+def _weighted(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("pairs", F.col("records_l") * F.col("records_r")).drop("records_l", "records_r")
+
+
 def profile_gammas(
     left: DataFrame, right: DataFrame, settings: LinkSettings, pairs_per_task: int = PAIRS_PER_TASK
 ) -> DataFrame:
     """Agreement levels of blocked profile pairs, with the record pairs each stands for."""
-    columns = profile_columns(settings)
-    sides = [cut_lineage(stand_ins(with_profile(side, columns), columns)) for side in (left, right)]
-    gammas = candidate_gammas(*sides, settings, pairs_per_task, carry=("profile", "records"))
-    return gammas.withColumn("pairs", F.col("records_l") * F.col("records_r")).drop("records_l", "records_r")
+    sides = _stand_in_sides(left, right, settings)
+    return _weighted(candidate_gammas(*sides, settings, pairs_per_task, ("profile", "records")))
 
 
 def predict_profiles(
@@ -56,7 +63,8 @@ def predict_profiles(
     pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """Predictions in compact form: one row per profile pair and ``pairs``, its record pairs."""
-    return score_gammas(profile_gammas(left, right, settings, pairs_per_task), model, threshold)
+    sides = _stand_in_sides(left, right, settings)
+    return _weighted(predict(*sides, settings, model, threshold, pairs_per_task, ("profile", "records")))
 
 
 def pattern_examples(left: DataFrame, right: DataFrame, settings: LinkSettings, n: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linkwright.operators.blocking import PAIRS_PER_TASK, multi_pass_blocking, self_pairing
 from linkwright.operators.comparison import gamma_vectors, input_columns
 from linkwright.operators.model import LinkModel, LinkSettings, initial_model, probability
+from linkwright.operators.pruning import passing_pairs
 
 ID_PAIR = ("unique_id_l", "unique_id_r")
 
@@ -46,8 +47,19 @@ def predict(
     model: LinkModel,
     threshold: float | None = 0.2,
     pairs_per_task: int = PAIRS_PER_TASK,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    return score_gammas(candidate_gammas(left, right, settings, pairs_per_task), model, threshold)
+    """Scored pairs at or above the threshold.  `carry` names record columns to keep from both sides.
+
+    With a threshold, rules that would offer records very many partners are narrowed to what can
+    still pass.
+    """
+    if threshold is None or any(rule.sql for rule in settings.rules):
+        return score_gammas(candidate_gammas(left, right, settings, pairs_per_task, carry), model, threshold)
+    columns = [*input_columns(settings.comparisons), *settings.columns, *carry]
+    pairs = passing_pairs(left, right, settings.rules, columns, model, threshold, pairs_per_task)
+    kept = [f"{c}{suffix}" for c in carry for suffix in ("_l", "_r")]
+    return score_gammas(gamma_vectors(pairs, settings.comparisons, [*ID_PAIR, "match_key", *kept]), model, threshold)
 
 
 def predict_untrained(left: DataFrame, right: DataFrame, settings: LinkSettings, threshold: float | None = 0.2) -> DataFrame:
