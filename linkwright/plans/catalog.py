@@ -12,7 +12,6 @@ from linkwright.operators import blocking as B
 from linkwright.operators import clustering, comparison, evaluation, kinship, prepare, profiles, profiling, scoring, training
 from linkwright.operators.model import (
     LinkModel,
-    LinkSettings,
     initial_model,
     m_u_table,
     match_weight_table,
@@ -33,6 +32,7 @@ from linkwright.plans.oracle_sql import (
     weight_sql,
     with_parts,
 )
+from linkwright.plans.settings import COMPARISONS, DETERMINISTIC, RULES, SETTINGS, THRESHOLD, TRAINING_BLOCKS
 from linkwright.plans.store import once, stored
 from linkwright.session import scratch_path
 from linkwright.sources import readers
@@ -41,20 +41,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-RULES = (
-    B.block_on("norm_first_name", "nysiis_last_name"),
-    B.BlockRule(("norm_race", "gender"), (("birth_year", 5),)),
-)
-COMPARISONS = (
-    comparison.comparison_birth_year(),
-    comparison.comparison_exact("norm_race"),
-    comparison.comparison_exact("gender"),
-    comparison.comparison_first_name(),
-)
-SETTINGS = LinkSettings(RULES, COMPARISONS)
-DETERMINISTIC = (B.block_on("gender", "norm_race", "norm_first_name"),)
-TRAINING_BLOCKS = (B.block_on("gender"), B.block_on("norm_race", "norm_first_name"))
-THRESHOLD = 0.2
 IDS = ("unique_id_l", "unique_id_r")
 
 # Stated parameters for everything downstream of scoring: level -> (m, u).
