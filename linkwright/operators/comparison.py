@@ -134,7 +134,10 @@ def gamma_vectors(pairs: DataFrame, comparisons: Sequence[Comparison], keep: Seq
     """`keep` columns plus one gamma per comparison.
 
     Edit distances are computed once, in a projection of their own, because several levels read them.
+    The levels leave through a one-row `inline`: a later filter on the score would otherwise be
+    rewritten in terms of the inputs and moved into the join, computing every level many times over.
     """
     distances = {f"__edit_{c.key}": c.edit_column() for c in comparisons if c.edit_limit is not None}
     measured = pairs.withColumns(distances) if distances else pairs
-    return measured.select(*keep, *[c.gamma_column().alias(c.gamma) for c in comparisons])
+    levels = F.struct(*[c.gamma_column().alias(c.gamma) for c in comparisons])
+    return measured.select(*keep, F.inline(F.array(levels)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkwright.operators.profiling import pivot_counts
 from linkwright.operators.spread import spread_lookup
+from linkwright.session import cut_lineage
 
 # Up to this many (left relative, right relative) combinations a pair's relatives are simply combined.
 SMALL_FAMILY = 400
@@ -78,15 +79,23 @@ def relative_corroboration(matches: DataFrame, edges: DataFrame, small_family: i
         within = within.join(ids.withColumnRenamed("id", "relative_id"), "relative_id", "left_semi")
         return within.select(F.col("mention_id").alias(who), F.col("relative_id").alias(relative))
 
-    kin_l, kin_r = kin(ids_l, "l", "x"), kin(ids_r, "r", "y")
+    # Each is read by several branches.
+    kin_l, kin_r = cut_lineage(kin(ids_l, "l", "x")), cut_lineage(kin(ids_r, "r", "y"))
     many_l = kin_l.groupBy("l").agg(F.count("*").alias("kin_l"))
     many_r = kin_r.groupBy("r").agg(F.count("*").alias("kin_r"))
     pairs = scored.select(F.col("unique_id_l").alias("l"), F.col("unique_id_r").alias("r"))
-    pairs = pairs.join(many_l, "l").join(many_r, "r")
+    number = pairs.count()
+    per_r = pairs.groupBy("r").agg(F.count("*").alias("__n"))
+    pairs = spread_lookup(pairs, many_l, ["l"], ["r"], largest=number)
+    pairs = cut_lineage(spread_lookup(pairs, many_r, ["r"], ["l"], sizes=per_r, largest=number))
     known = usable.select(F.col("unique_id_l").alias("x"), F.col("unique_id_r").alias("y"), F.col("match_probability").alias("p"))
 
     few = F.col("kin_l") * F.col("kin_r") <= small_family
-    small = pairs.filter(few).join(kin_l, "l").join(kin_r, "r").join(known, ["x", "y"])
+    small = pairs.filter(few)
+    most = number * max(small_family, 1)
+    after_x = small.groupBy("r").agg(F.sum("kin_l").alias("__n"))
+    small = spread_lookup(small, kin_l, ["l"], ["r"], largest=number)
+    small = spread_lookup(small, kin_r, ["r"], ["l", "x"], sizes=after_x, largest=most).join(known, ["x", "y"])
     from_left = (
         pairs.filter(~few & (F.col("kin_l") <= F.col("kin_r")))
         .join(kin_l, "l")
