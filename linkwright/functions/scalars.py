@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 HASH_SPACE = 2**60
 
 
+PAIR_COUNT = "decimal(38,0)"
+
+
+def pair_count(left_rows: Column, right_rows: Column) -> Column:
+    """Product of two row counts; billions of rows on both sides overflow a bigint."""
+    return (left_rows.cast("decimal(19,0)") * right_rows.cast("decimal(19,0)")).cast(PAIR_COUNT)
+
+
 def hash60(value: Column) -> Column:
     """First 60 bits of md5 as a bigint; any engine with md5 can reproduce it."""
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("bigint")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkwright.functions.scalars import HASH_SPACE, hash60
+from linkwright.functions.scalars import HASH_SPACE, PAIR_COUNT, hash60, pair_count
 from linkwright.operators.prepare import all_of
 from linkwright.operators.spread import PAIRS_PER_TASK, spread_join
 
@@ -167,13 +167,13 @@ def block_size_join(left: DataFrame, right: DataFrame, columns: Sequence[str]) -
     """Per key combination: left rows, right rows, comparisons."""
     n_l = _group_sizes(left, columns, "", "n_left")
     n_r = _group_sizes(right, columns, "", "n_right")
-    return n_l.join(n_r, list(columns)).withColumn("comparisons", F.col("n_left") * F.col("n_right"))
+    return n_l.join(n_r, list(columns)).withColumn("comparisons", pair_count(F.col("n_left"), F.col("n_right")))
 
 
 def count_rule(left: DataFrame, right: DataFrame, rule: BlockRule) -> DataFrame:
     """One row ``comparisons``: pairs satisfying the rule, summed over distinct key values."""
     if rule.sql:
-        return left.alias("l").join(right.alias("r"), F.expr(rule.sql)).agg(F.count("*").alias("comparisons"))
+        return left.alias("l").join(right.alias("r"), F.expr(rule.sql)).agg(F.count("*").cast(PAIR_COUNT).alias("comparisons"))
     columns = sorted(rule.columns())
     a, b, keys_l, keys_r = _banded(
         _group_sizes(left, columns, "_l", "n_l"), _group_sizes(right, columns, "_r", "n_r"), rule
@@ -181,7 +181,7 @@ def count_rule(left: DataFrame, right: DataFrame, rule: BlockRule) -> DataFrame:
     match = all_of([F.col(x) == F.col(y) for x, y in zip(keys_l, keys_r)])
     for column, t in rule.within:
         match = match & (F.abs(F.col(f"{column}_l") - F.col(f"{column}_r")) <= t)
-    total = F.coalesce(F.sum(F.col("n_l") * F.col("n_r")), F.lit(0)).cast("bigint")
+    total = F.coalesce(F.sum(pair_count(F.col("n_l"), F.col("n_r"))), F.lit(0)).cast(PAIR_COUNT)
     return a.join(b, match).agg(total.alias("comparisons"))
 
 
@@ -191,7 +191,7 @@ def cartesian_size(left: DataFrame, right: DataFrame) -> DataFrame:
         right.select(F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
     sizes = tagged.agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
-    return sizes.withColumn("comparisons", F.col("n_left") * F.col("n_right"))
+    return sizes.withColumn("comparisons", pair_count(F.col("n_left"), F.col("n_right")))
 
 
 def count_comparisons(left: DataFrame, right: DataFrame, rules: Sequence[BlockRule]) -> DataFrame:
@@ -231,26 +231,26 @@ def cumulative_comparisons(left: DataFrame, right: DataFrame, rules: Sequence[Bl
                 term = count_rule(left, right, joint).select(
                     F.lit(number).alias("match_key"),
                     F.lit(rule.label).alias("rule"),
-                    (F.col("comparisons") * (-1) ** size).alias("part"),
+                    (F.col("comparisons") * F.lit((-1) ** size)).cast(PAIR_COUNT).alias("part"),
                 )
                 terms = term if terms is None else terms.unionByName(term)
-    added = terms.groupBy("match_key", "rule").agg(F.sum("part").alias("new_comparisons"))
+    added = terms.groupBy("match_key", "rule").agg(F.sum("part").cast(PAIR_COUNT).alias("new_comparisons"))
     running = W.orderBy("match_key").rowsBetween(W.unboundedPreceding, 0)  # one row per rule
-    return added.withColumn("cumulative_comparisons", F.sum("new_comparisons").over(running))
+    return added.withColumn("cumulative_comparisons", F.sum("new_comparisons").over(running).cast(PAIR_COUNT))
 
 
 def count_union(left: DataFrame, right: DataFrame, rules: Sequence[BlockRule]) -> DataFrame:
     """One row ``comparisons``: pairs satisfying at least one rule."""
     if len(rules) == 1:
         return count_rule(left, right, rules[0])
-    return cumulative_comparisons(left, right, rules).agg(F.sum("new_comparisons").alias("comparisons"))
+    return cumulative_comparisons(left, right, rules).agg(F.sum("new_comparisons").cast(PAIR_COUNT).alias("comparisons"))
 
 
 def reduction_ratio(left: DataFrame, right: DataFrame, rules: Sequence[BlockRule]) -> DataFrame:
     """Per rule: 1 - pairs / all pairs."""
     sizes = count_comparisons(left, right, rules).select("rule", F.col("post_filter").alias("comparisons"))
-    whole = cartesian_size(left, right).select("comparisons").scalar()
-    return sizes.withColumn("reduction_ratio", 1 - F.try_divide(F.col("comparisons"), whole))
+    whole = cartesian_size(left, right).select(F.col("comparisons").cast("double")).scalar()
+    return sizes.withColumn("reduction_ratio", 1 - F.try_divide(F.col("comparisons").cast("double"), whole))
 
 
 # -- random pairs ---------------------------------------------------------------------------------

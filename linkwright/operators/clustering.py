@@ -99,4 +99,5 @@ def cluster_records(
     # Only profiles with a partner bind their records together.
     named = _all_nodes(*nodes, "profile").join(labels, "node").select("source_dataset", "profile", "component")
     members = _all_nodes(*keyed, "profile")
-    return _labelled(spread_lookup(members, named, ["source_dataset", "profile"], ["unique_id"], "left"))
+    number = left.count() + right.count()
+    return _labelled(spread_lookup(members, named, ["source_dataset", "profile"], ["unique_id"], "left", largest=number))

@@ -148,12 +148,12 @@ def density_table(
     each adds to every grid point, so the sum is one aggregation without an ordering or a join.
     `weight` names a column with the number of observations a row stands for.
     """
-    values = table.select(F.col(column).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).alias("c"))
+    values = table.select(F.col(column).cast("double").alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("c"))
     values = cut_lineage(values.filter(F.col("v").isNotNull()).groupBy("v").agg(F.sum("c").alias("c")))
     s = values.agg(
         F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high")
     ).first()
-    n, mean = s["n"] or 0, s["mean"]
+    n, mean = float(s["n"] or 0), s["mean"]
     squares = values.agg(F.sum(F.col("c") * F.pow(F.col("v") - F.lit(mean), 2))).first()[0] if n > 1 else 0
     if not squares:
         raise ValueError(f"{column} has no spread; its density is not defined")

@@ -28,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.functions.scalars import PAIR_COUNT, pair_count
 from linkwright.operators.blocking import BlockRule, block_pairs
 from linkwright.operators.comparison import ELSE_LEVEL, NULL_LEVEL, Comparison, gamma_vectors, input_columns
 from linkwright.operators.spread import spread_lookup
@@ -196,7 +197,13 @@ def _tuples(records: DataFrame, columns: Sequence[str], present: Sequence[str])
     return records.groupBy(*columns).agg(F.count("*").alias("__n"))
 
 
-def _by_keys(a: DataFrame, b: DataFrame, block: Sequence[str], comparisons: Sequence[Comparison]) -> DataFrame:
+def _pairs(wide: bool) -> Column:
+    """Sum of products of the two row counts, in bigint arithmetic where all pairs together fit."""
+    a, b = F.col("__n_l"), F.col("__n_r")
+    return F.sum(pair_count(a, b) if wide else a * b).cast(PAIR_COUNT)
+
+
+def _by_keys(a: DataFrame, b: DataFrame, block: Sequence[str], comparisons: Sequence[Comparison], wide: bool) -> DataFrame:
     # A blocked column that is also compared is needed twice: as join key and as compared value.
     held = {c: f"__block_{c}" for c in block}
     spent = [c for c in block if c not in input_columns(comparisons)]
@@ -217,25 +224,25 @@ def _by_keys(a: DataFrame, b: DataFrame, block: Sequence[str], comparisons: Sequ
             words = cut_lineage(words)
         a, b = _send_left(a, comparison, words), _send_right(b, comparison)
     met = a.withColumnRenamed("__n", "__n_l").join(b.withColumnRenamed("__n", "__n_r"), keys)
-    counted = met.groupBy(*classes).agg(F.sum(F.col("__n_l") * F.col("__n_r")).alias("pairs"))
+    counted = met.groupBy(*classes).agg(_pairs(wide).alias("pairs"))
     for comparison in comparisons:
         counted = (
             counted.withColumn("__move", F.explode(F.element_at(_corrections(comparison), F.col(f"class_{comparison.key}"))))
             .withColumn(comparison.gamma, F.col("__move.gamma"))
-            .withColumn("pairs", F.col("pairs") * F.col("__move.sign"))
+            .withColumn("pairs", (F.col("pairs") * F.col("__move.sign")).cast(PAIR_COUNT))
             .drop("__move", f"class_{comparison.key}")
         )
     gammas = [c.gamma for c in comparisons]
-    return counted.groupBy(*gammas).agg(F.sum("pairs").cast("bigint").alias("pairs")).filter("pairs <> 0")
+    return counted.groupBy(*gammas).agg(F.sum("pairs").cast(PAIR_COUNT).alias("pairs")).filter("pairs <> 0")
 
 
-def _by_tuples(a: DataFrame, b: DataFrame, block: BlockRule, comparisons: Sequence[Comparison]) -> DataFrame:
+def _by_tuples(a: DataFrame, b: DataFrame, block: BlockRule, comparisons: Sequence[Comparison], wide: bool) -> DataFrame:
     """Pairs of distinct value combinations, each weighted by its record pairs."""
     columns = a.columns
     marked = [side.withColumn("unique_id", F.xxhash64(*columns)) for side in (a, b)]
     pairs = block_pairs(marked[0], marked[1], block, columns)
     gammas = gamma_vectors(pairs, comparisons, ["__n_l", "__n_r"])
-    return gammas.groupBy(*[c.gamma for c in comparisons]).agg(F.sum(F.col("__n_l") * F.col("__n_r")).alias("pairs"))
+    return gammas.groupBy(*[c.gamma for c in comparisons]).agg(_pairs(wide).alias("pairs"))
 
 
 def _few_partners(a: DataFrame, b: DataFrame, block: Sequence[str]) -> bool:
@@ -267,10 +274,11 @@ def pattern_counts(
     if block.equal or any(c.edit_limit is not None for c in comparisons):
         # The choice of method and several branches after it read them again.
         a, b = cut_lineage(a), cut_lineage(b)
+    wide = left.count() * right.count() >= 2**62
     if by_keys is None:
         by_keys = countable_here and (not block.equal or not _few_partners(a, b, block.equal))
     if by_keys:
-        return _by_keys(a, b, block.equal, comparisons)
+        return _by_keys(a, b, block.equal, comparisons, wide)
     if not (block.equal or block.within or block.sql):
         raise ValueError("these levels need a block: pairing everything with everything is not planned")
-    return _by_tuples(a, b, block, comparisons)
+    return _by_tuples(a, b, block, comparisons, wide)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkwright.functions.scalars import PAIR_COUNT, pair_count
 from linkwright.operators.blocking import PAIRS_PER_TASK
 from linkwright.operators.comparison import input_columns
 from linkwright.operators.model import LinkModel, LinkSettings
@@ -43,7 +44,7 @@ def _stand_in_sides(left: DataFrame, right: DataFrame, settings: LinkSettings) -
 
 
 def _weighted(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("pairs", F.col("records_l") * F.col("records_r")).drop("records_l", "records_r")
+    return pairs.withColumn("pairs", pair_count(F.col("records_l"), F.col("records_r"))).drop("records_l", "records_r")
 
 
 def profile_gammas(
@@ -76,7 +77,7 @@ def pattern_examples(left: DataFrame, right: DataFrame, settings: LinkSettings,
     """
     gammas = cut_lineage(profile_gammas(left, right, settings))
     pattern = [c.gamma for c in settings.comparisons]
-    counts = gammas.groupBy(*pattern).agg(F.sum("pairs").alias("pattern_pairs"))
+    counts = gammas.groupBy(*pattern).agg(F.sum("pairs").cast(PAIR_COUNT).alias("pattern_pairs"))
     first = F.row_number().over(W.partitionBy(*pattern).orderBy(*ID_PAIR))
     chosen = gammas.withColumn("__rank", first).filter(F.col("__rank") <= n).select(*pattern, "profile_l", "profile_r")
     chosen = cut_lineage(chosen)

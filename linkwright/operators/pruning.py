@@ -120,19 +120,19 @@ def passing_pairs(
     """Blocked pairs, each once and tagged with its first rule, without some that score below the
     threshold; every pair at or above it is there."""
     needed = sorted({"unique_id", *columns, *(c for r in rules for c in r.columns())})
-    rows = left.count() + right.count()
-    largest = left.count() * right.count()
+    n_l, n_r = left.count(), right.count()
     united = None
     for number, rule in enumerate(rules):
-        need = None
+        # Group counts tell how many pairs the rule would form, and so whether anything needs care.
+        largest = n_l * n_r
         if largest > pairs_per_task:
-            need = narrowing(rule, model, threshold)
-            if need and (count_rule(left, right, rule).first()["comparisons"]) <= partners * rows:
-                need = None
+            largest = int(count_rule(left, right, rule).first()["comparisons"])
+        need = narrowing(rule, model, threshold) if largest > max(pairs_per_task, partners * (n_l + n_r)) else None
         joins = _narrow_rules(left, right, rule, need) if need else [(left, right, rule)]
         for a, b, narrow in joins:
             carried = sorted({*needed, *narrow.columns()})
-            pairs = block_pairs(a, b, narrow, carried, "unique_id", pairs_per_task, largest)
+            # Bands hold up to three times the pairs within the tolerance.
+            pairs = block_pairs(a, b, narrow, carried, "unique_id", pairs_per_task, 3 * largest)
             for earlier in rules[:number]:
                 pairs = pairs.filter(~earlier.holds())
             pairs = pairs.select(*[f"{c}_l" for c in needed], *[f"{c}_r" for c in needed], F.lit(number).alias("match_key"))

@@ -31,7 +31,8 @@ def estimate_prior(left: DataFrame, right: DataFrame, rules: Sequence[BlockRule]
     found = count_union(left, right, rules).select(
         F.col("comparisons").alias("rule_pairs"), whole.alias("all_pairs")
     )
-    return found.withColumn("prior", F.try_divide(F.col("rule_pairs") / F.lit(recall), F.col("all_pairs")))
+    share = F.try_divide(F.col("rule_pairs").cast("double") / F.lit(recall), F.col("all_pairs").cast("double"))
+    return found.withColumn("prior", share)
 
 
 def _prior_value(left: DataFrame, right: DataFrame, rules: Sequence[BlockRule], recall: float) -> float:
@@ -60,7 +61,7 @@ def estimate_u(
         rates = {}
         for c in comparisons:
             rows = pattern_counts(left, right, [c]).collect()
-            rates[c.key] = _level_shares({r[c.gamma]: r["pairs"] for r in rows}, c)
+            rates[c.key] = _level_shares({r[c.gamma]: int(r["pairs"]) for r in rows}, c)
         return rates
     pairs = random_pair_sample(left, right, max_pairs, input_columns(comparisons))
     gammas = [c.gamma for c in comparisons]
@@ -97,12 +98,12 @@ def em_session(
     if not learned:
         raise ValueError("the block decides every comparison; nothing to train")
     rows = pattern_counts(left, right, learned, block).collect()
-    patterns = [(tuple(r[c.gamma] for c in learned), r["pairs"]) for r in rows]
+    patterns = [(tuple(r[c.gamma] for c in learned), int(r["pairs"])) for r in rows]
     block_pairs = sum(n for _, n in patterns)
     if not block_pairs:
         raise ValueError("the training block holds no pairs")
     sizes = cartesian_size(left, right).first()
-    prior = min(0.5, model.prior * sizes["comparisons"] / block_pairs)
+    prior = min(0.5, model.prior * int(sizes["comparisons"]) / block_pairs)
     return run_em(block.label, learned, patterns, model.u, prior, max_rounds, tolerance)
 
 

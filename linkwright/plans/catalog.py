@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,15 +70,18 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison across engines; negative zero made plain."""
-    return frame.select(
-        *[
-            (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else F.col(f"`{f.name}`")
-            for f in frame.schema.fields
-        ]
-    )
+    """Doubles rounded for comparison across engines, negative zero made plain; counts of pairs, which
+    may exceed a bigint, shown as doubles."""
+
+    def shown(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.DecimalType):
+            return value.cast("double").alias(field.name)
+        if isinstance(field.dataType, T.DoubleType):
+            return (F.round(value, digits) + F.lit(0.0)).alias(field.name)
+        return value
+
+    return frame.select(*[shown(field) for field in frame.schema.fields])
 
 
 # -- inputs shared by many queries ------------------------------------------------------------------
@@ -467,22 +470,22 @@ def _(spark, sf_dir):
     return rounded(kinship.pair_probability_lookup(wanted, predictions(spark, sf_dir), "id_1870", "id_1880"))
 
 
-SIZES = """SELECT norm_race, gender, n_left, n_right, n_left * n_right AS comparisons
+SIZES = """SELECT norm_race, gender, n_left, n_right, CAST(n_left * n_right AS DOUBLE) AS comparisons
            FROM (SELECT norm_race, gender, count(*) AS n_left FROM lft GROUP BY ALL)
            JOIN (SELECT norm_race, gender, count(*) AS n_right FROM rgt GROUP BY ALL) USING (norm_race, gender)"""
 
 
 @query("C8_block_size_join", with_parts(SIZES, "lft", "rgt"))
 def _(spark, sf_dir):
-    return B.block_size_join(*records(spark, sf_dir), ["norm_race", "gender"])
+    return rounded(B.block_size_join(*records(spark, sf_dir), ["norm_race", "gender"]))
 
 
 @query(
     "C9_cartesian_size",
-    with_parts("SELECT n_left, n_right, n_left * n_right AS comparisons FROM (SELECT (SELECT count(*) FROM lft) AS n_left, (SELECT count(*) FROM rgt) AS n_right)", "lft", "rgt"),
+    with_parts("SELECT n_left, n_right, CAST(n_left * n_right AS DOUBLE) AS comparisons FROM (SELECT (SELECT count(*) FROM lft) AS n_left, (SELECT count(*) FROM rgt) AS n_right)", "lft", "rgt"),
 )
 def _(spark, sf_dir):
-    return B.cartesian_size(*records(spark, sf_dir))
+    return rounded(B.cartesian_size(*records(spark, sf_dir)))
 
 
 @query("C10_random_pair_sample", with_parts("SELECT unique_id_l, unique_id_r FROM drawn", "lft", "rgt", extra={"drawn": sample_part(20_000)}))
@@ -558,7 +561,7 @@ def trained_sql(select: str, *needed: str, extra: dict[str, str] | None = None)
 
 @query(
     "D6_estimate_prior",
-    with_parts("SELECT rule_pairs, all_pairs, round(prior, 9) AS prior FROM prior_est", "lft", "rgt", extra={"prior_est": TRAINING["prior_est"]}),
+    with_parts("SELECT CAST(rule_pairs AS DOUBLE) AS rule_pairs, CAST(all_pairs AS DOUBLE) AS all_pairs, round(prior, 9) AS prior FROM prior_est", "lft", "rgt", extra={"prior_est": TRAINING["prior_est"]}),
 )
 def _(spark, sf_dir):
     return rounded(training.estimate_prior(*records(spark, sf_dir), DETERMINISTIC, 0.9), 9)
@@ -719,7 +722,7 @@ GAMMA_NAMES = ", ".join(f"gamma_{n}" for n in LEVELS)
 @query(
     "D18_pattern_examples",
     with_parts(
-        f"""SELECT {GAMMA_NAMES}, unique_id_l, unique_id_r, CAST(example AS INTEGER) AS example, pattern_pairs
+        f"""SELECT {GAMMA_NAMES}, unique_id_l, unique_id_r, CAST(example AS INTEGER) AS example, CAST(pattern_pairs AS DOUBLE) AS pattern_pairs
             FROM (SELECT *, row_number() OVER (PARTITION BY {GAMMA_NAMES} ORDER BY unique_id_l, unique_id_r) AS example,
                          count(*) OVER (PARTITION BY {GAMMA_NAMES}) AS pattern_pairs FROM blocked)
             WHERE example <= 3""",
@@ -727,7 +730,7 @@ GAMMA_NAMES = ", ".join(f"gamma_{n}" for n in LEVELS)
     ),
 )
 def _(spark, sf_dir):
-    return profiles.pattern_examples(*records(spark, sf_dir), SETTINGS, 3)
+    return rounded(profiles.pattern_examples(*records(spark, sf_dir), SETTINGS, 3))
 
 
 @query(
@@ -756,20 +759,20 @@ def _rule_sql(rule: B.BlockRule) -> str:
 
 
 RULE_COUNTS = " UNION ALL ".join(
-    f"SELECT '{rule.label}' AS rule, count(*) AS pre_filter, count(*) AS post_filter FROM lft l JOIN rgt r ON {_rule_sql(rule)}"
+    f"SELECT '{rule.label}' AS rule, CAST(count(*) AS DOUBLE) AS pre_filter, CAST(count(*) AS DOUBLE) AS post_filter FROM lft l JOIN rgt r ON {_rule_sql(rule)}"
     for rule in ANALYSED
 )
 
 
 @query("E1_count_comparisons", with_parts(RULE_COUNTS, "lft", "rgt"))
 def _(spark, sf_dir):
-    return B.count_comparisons(*records(spark, sf_dir), ANALYSED)
+    return rounded(B.count_comparisons(*records(spark, sf_dir), ANALYSED))
 
 
 @query(
     "E2_n_largest_blocks",
     with_parts(
-        """SELECT norm_race, gender, norm_first_name, n_left, n_right, n_left * n_right AS comparisons
+        """SELECT norm_race, gender, norm_first_name, n_left, n_right, CAST(n_left * n_right AS DOUBLE) AS comparisons
            FROM (SELECT norm_race, gender, norm_first_name, count(*) AS n_left FROM lft GROUP BY ALL)
            JOIN (SELECT norm_race, gender, norm_first_name, count(*) AS n_right FROM rgt GROUP BY ALL)
              USING (norm_race, gender, norm_first_name)
@@ -778,20 +781,21 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return B.n_largest_blocks(*records(spark, sf_dir), ["norm_race", "gender", "norm_first_name"], 10)
+    return rounded(B.n_largest_blocks(*records(spark, sf_dir), ["norm_race", "gender", "norm_first_name"], 10))
 
 
 @query(
     "E3_cumulative_comparisons",
     with_parts(
         f"""SELECT match_key, CASE match_key WHEN 0 THEN '{RULES[0].label}' ELSE '{RULES[1].label}' END AS rule,
-                   new_comparisons, CAST(sum(new_comparisons) OVER (ORDER BY match_key) AS BIGINT) AS cumulative_comparisons
+                   CAST(new_comparisons AS DOUBLE) AS new_comparisons,
+                   CAST(sum(new_comparisons) OVER (ORDER BY match_key) AS DOUBLE) AS cumulative_comparisons
             FROM (SELECT match_key, count(*) AS new_comparisons FROM blocked GROUP BY ALL)""",
         "blocked",
     ),
 )
 def _(spark, sf_dir):
-    return B.cumulative_comparisons(*records(spark, sf_dir), RULES)
+    return rounded(B.cumulative_comparisons(*records(spark, sf_dir), RULES))
 
 
 @query(

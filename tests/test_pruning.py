@@ -38,7 +38,7 @@ def test_narrowed_rules_lose_nothing_that_passes(sides, prior, threshold):
     chosen = model(prior)
     columns = [c.column for c in COMPARISONS]
     whole = scoring.score_gammas(scoring.candidate_gammas(*sides, SETTINGS), chosen, threshold)
-    pairs = pruning.passing_pairs(*sides, RULES, columns, chosen, threshold, pairs_per_task=100, partners=0)
+    pairs = pruning.passing_pairs(*sides, RULES, columns, chosen, threshold, pairs_per_task=10, partners=0)
     gammas = scoring.gamma_vectors(pairs, COMPARISONS, ["unique_id_l", "unique_id_r", "match_key"])
     narrow = scoring.score_gammas(gammas, chosen, threshold)
     keys = ["unique_id_l", "unique_id_r", "match_key"]
