@@ -10,7 +10,7 @@ from linkwright.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("tests", 8)
+    return local_session("tests", 8, **{"spark.sql.shuffle.partitions": "2"})
 
 
 @pytest.fixture(scope="session")
