@@ -164,9 +164,10 @@ def predicate_by_source(
 
 def source_shares(assertions: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
     """Assertions and share per source, with display labels where given."""
-    counts = assertions.filter(F.col("who").isNotNull()).groupBy("who").agg(F.count("*").alias("assertions"))
+    known = assertions.filter(F.col("who").isNotNull())
+    counts = known.groupBy("who").agg(F.count("*").alias("assertions"))
     label = F.col("who")
     for source, text in (labels or {}).items():
         label = F.when(F.col("who") == source, F.lit(text)).otherwise(label)
-    share = F.col("assertions") / F.sum("assertions").over(W.partitionBy(F.lit(1)))
+    share = F.col("assertions") / known.agg(F.count("*")).scalar()
     return counts.select("who", label.alias("label"), "assertions", share.alias("share"))

@@ -13,6 +13,7 @@ HEAVY_KEYS heaviest of them.  That list is what gets broadcast: at most HEAVY_KE
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,7 @@ HEAVY_KEYS = 10_000
 PAIRS_PER_TASK = 2_000_000
 ROWS_PER_TASK = 5_000_000
 MAX_STRIPS = 20_000
+MAX_TASKS = 50_000
 
 
 def _key_hash(columns: Sequence[str]) -> Column:
@@ -41,7 +43,7 @@ def heavy_blocks(
     right_keys: Sequence[str],
     pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
-    """(key hash, split_l, split_r) of the heaviest blocks above the pair budget."""
+    """(key hash, split_l, split_r, pairs) of the heaviest blocks above the pair budget."""
     n_l = left.filter(_known(left_keys)).groupBy(_key_hash(left_keys).alias("__key")).agg(F.count("*").alias("n_l"))
     n_r = right.filter(_known(right_keys)).groupBy(_key_hash(right_keys).alias("__key")).agg(F.count("*").alias("n_r"))
     strip = float(pairs_per_task) ** 0.5
@@ -58,7 +60,7 @@ def heavy_blocks(
         .filter(F.col("__pairs") > pairs_per_task)
         .orderBy(F.desc("__pairs"), "__key")
         .limit(HEAVY_KEYS)
-        .select("__key", strips("n_l", "n_r").alias("split_l"), strips("n_r", "n_l").alias("split_r"))
+        .select("__key", strips("n_l", "n_r").alias("split_l"), strips("n_r", "n_l").alias("split_r"), "__pairs")
     )
 
 
@@ -73,8 +75,10 @@ def _lay_out(side: DataFrame, keys: Sequence[str], spread_by: str, heavy: DataFr
     return marked.drop("__key", "split_l", "split_r")
 
 
-def _tasks(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def _tasks(spark: SparkSession, heavy_pairs: float, pairs_per_task: int) -> int:
+    """Enough tasks for the heavy pairs at the budget, and never fewer than the session's own number."""
+    usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(usual, min(MAX_TASKS, math.ceil(heavy_pairs / pairs_per_task)))
 
 
 def spread_join(
@@ -103,12 +107,12 @@ def spread_join(
     if not found:
         return left.join(right, match)
     spark = left.sparkSession
-    heavy = spark.createDataFrame(found, "__key bigint, split_l int, split_r int")
+    heavy = spark.createDataFrame([tuple(row)[:3] for row in found], "__key bigint, split_l int, split_r int")
     a = _lay_out(left, left_keys, left_id, heavy, "split_l", "split_r", ("__row_l", "__col_l"))
     b = _lay_out(right, right_keys, right_id, heavy, "split_r", "split_l", ("__col_r", "__row_r"))
     # A stated number of partitions, because small inputs with a large output must not be merged into
     # a few tasks by their size, nor one side shipped whole to the few tasks of the other.
-    tasks = _tasks(spark)
+    tasks = _tasks(spark, sum(row["__pairs"] for row in found), pairs_per_task)
     a = a.repartition(tasks, *left_keys, "__row_l", "__col_l")
     b = b.repartition(tasks, *right_keys, "__row_r", "__col_r").hint("shuffle_hash")
     match = match & (F.col("__row_l") == F.col("__row_r")) & (F.col("__col_l") == F.col("__col_r"))

@@ -8,7 +8,7 @@ from linkwright.plans import workflow
 from linkwright.sources import readers
 
 HEADER = "mention_id,source,source_year,birth_year,first_name,middle_name,norm_first_name,nysiis_last_name,norm_race,gender,confidence"
-NAMES = {"F": ["MARY", "ANN", "SARAH", "LUCY", "FANNIE", "NANCY", "ELLEN", "JANE"], "M": ["JOHN", "GEORGE", "WILLIAM", "DABNEY", "ROBERT", "HENRY", "THOMAS", "PETER"]}
+NAMES = {"F": ["MARY", "ANN", "SARAH", "LUCY", "FANNIE", "NANCY", "ELLEN", "JANE"], "M": ["JOHN", "GEORGE", "WILLIAM", "DANIEL", "ROBERT", "HENRY", "THOMAS", "PETER"]}
 LAST = [f"L{i:02d}" for i in range(30)]
 PEOPLE = 150
 
