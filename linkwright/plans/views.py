@@ -106,7 +106,7 @@ def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record is tied to the head (smallest id) of its first-word and of its last-word group
-    within language and side."""
+    within language and side.  Stored, as the file it stands for."""
     words = _worded(spark, sf_dir)
 
     def ties(word: str, predicate: Column) -> DataFrame:
@@ -122,11 +122,16 @@ def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     by_first = F.element_at(F.array(*[F.lit(p) for p in PREDICATES]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return ties("first", by_first).unionByName(ties("last", F.lit("kin_of")))
+    return once(
+        spark,
+        sf_dir,
+        "assertions",
+        lambda: stored(spark, ties("first", by_first).unionByName(ties("last", F.lit("kin_of"))), "assertions"),
+    )
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graded pairs, each record used at most once per side.
+    """Graded pairs, each record used at most once per side.  Stored, as the file it stands for.
 
     Groups of alike records name one pair each, their smallest ids: 3 same text, 2 same first and
     last word, 1 same language and first word, 0 alike in language, layout and length only.
@@ -148,12 +153,13 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_left = pairs.groupBy("l").agg(F.max(F.struct("confidence", -F.col("r"))).alias("best"))
     per_left = per_left.select("l", (-F.col("best.col2")).alias("r"), F.col("best.confidence").alias("confidence"))
     per_right = per_left.groupBy("r").agg(F.max(F.struct("confidence", -F.col("l"))).alias("best"))
-    return per_right.select(
+    graded = per_right.select(
         (-F.col("best.col2")).alias("1870_line"),
         F.col("r").alias("1880_line"),
         (75 + 105 * (-F.col("best.col2") / 2 % 5)).cast("int").alias("score"),
         F.col("best.confidence").alias("confidence"),
     )
+    return once(spark, sf_dir, "truth", lambda: stored(spark, graded, "truth"))
 
 
 def truth_with_ids(truth: DataFrame) -> DataFrame:
