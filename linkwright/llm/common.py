@@ -6,7 +6,9 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,43 @@ def map_batches(
                 )
 
     return frame.mapInArrow(run, schema)
+
+
+class WordHashes(dict):
+    """64-bit hash per word; frequent words are not hashed again."""
+
+    LIMIT = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of `size` neighbours."""
+    number = len(hashes) - size + 1
+    if number <= 0:
+        return hashes[:0]
+    out = np.zeros(number, np.uint64)
+    for j in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[j : j + number]
+        out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Smallest of every `width` neighbours, by doubling."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        values = np.minimum(values[:-step], values[step:])
+        reach += step
+    return values
