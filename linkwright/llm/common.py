@@ -118,3 +118,43 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         values = np.minimum(values[:-step], values[step:])
         reach += step
     return values
+
+
+FILTER_BITS = 1 << 23
+
+
+def thinned(frame: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows whose `column` may be in the one column of `wanted`: a first sieve before a join.
+
+    The sieve is a bitmap of `FILTER_BITS` bits, 1 MB whatever the tables, so it can be broadcast.  It lets
+    a few others through, and all of them once it is full; the join decides.
+    """
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+    marks = wanted.select(F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(FILTER_BITS)).alias("place"))
+    maps = marks.groupBy(F.expr("place div 32768").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.col("place") % 32768).alias("__bits")
+    )
+    seen = frame.withColumn("__place", place).withColumn("__bucket", F.expr("__place div 32768"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__place % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(__place % 8 as int)")
+    hit = seen.join(F.broadcast(maps), "__bucket").filter(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1)
+    return hit.select(*[F.col(f"`{c}`") for c in frame.columns])
+
+
+def crossing(postings: DataFrame, labels: DataFrame, extra: list[str]) -> DataFrame:
+    """Pairs (a, b) that a posting list holds and that its leader has not brought together.
+
+    `postings` has key, node, leader and `extra`; `labels` the components so far.  A member outside its
+    leader's component is a stray; strays meet every member of another component, the leader apart, for
+    both may be alike though neither is like the leader.
+    """
+    label = labels.select(F.col("node"), F.col("component"))
+    known = postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
+    known = known.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
+    known = known.withColumn("stray", F.col("component") != F.col("lead"))
+    left = known.filter("stray").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in extra])
+    right = known.filter("node <> leader").select(
+        "key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("stray").alias("sb"), *[F.col(c).alias(f"{c}_b") for c in extra]
+    )
+    return left.join(right, "key").filter("ca <> cb and (a < b or not sb)").drop("key", "ca", "cb", "sb")
