@@ -237,7 +237,7 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def remove_spans(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their columns as they were."""
     clean = contamination(documents, benchmark, **options).filter("not contaminated")
     return clean.select("in.*")

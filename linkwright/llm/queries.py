@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwright.llm import decontaminate, language, packing, pii, substrings
+from linkwright.llm import (
+    ann,
+    decontaminate,
+    fuzzy_lines,
+    language,
+    licenses,
+    neardup,
+    packing,
+    pii,
+    substrings,
+    suffix_lm,
+)
 from linkwright.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,13 +41,32 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.report(table(spark, sf_dir, "documents"))
+
+
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.report(table(spark, sf_dir, "documents"))
+
+
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_packing, op3_decontamination, op4_personal_data, op5_language, op7_substring_dedup)
+    for f in (
+        op1_licenses, op2_packing, op3_decontamination, op4_personal_data, op5_language, op6_near_duplicates,
+        op7_substring_dedup, op8_suffix_model, op9_fuzzy_lines, op10_nearest_vectors,
+    )
 }
 
 ORACLES: dict[str, str] = {}
