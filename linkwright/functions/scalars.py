@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HASH_SPACE = 2**60
-
-
 PAIR_COUNT = "decimal(38,0)"
 
 

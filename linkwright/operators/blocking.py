@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkwright.functions.scalars import HASH_SPACE, PAIR_COUNT, hash60, pair_count
+from linkwright.functions.scalars import PAIR_COUNT, hash60, pair_count
 from linkwright.operators.prepare import all_of
 from linkwright.operators.spread import PAIRS_PER_TASK, spread_join
 
@@ -21,31 +22,37 @@ class BlockRule:
     """Columns that must be equal, and integer columns that may differ by at most a tolerance.
 
     `sql` is an alternative for anything else: a condition over ``l.`` and ``r.`` columns that Spark
-    parses and plans itself.
+    parses and plans itself.  `sql_rule` recognises the two forms above in SQL text.
     """
 
     equal: tuple[str, ...] = ()
     within: tuple[tuple[str, int], ...] = ()
     sql: str | None = None
+    title: str = ""
 
     @property
     def label(self) -> str:
-        if self.sql:
-            return self.sql
+        if self.title or self.sql:
+            return self.title or self.sql
         parts = [f"{c} equal" for c in self.equal]
         return " and ".join(parts + [f"{c} within {t}" for c, t in self.within])
 
     def columns(self) -> set[str]:
-        return set(self.equal) | {c for c, _ in self.within}
+        named = {c for _, c in _SIDED.findall(self.sql)} if self.sql else set()
+        return set(self.equal) | {c for c, _ in self.within} | named
 
     def holds(self) -> Column:
         """The rule over a pair with ``_l``/``_r`` columns; null inputs do not satisfy it."""
+        if self.sql:
+            return F.coalesce(F.expr(_SIDED.sub(r"\2_\1", self.sql)), F.lit(False))
         tests = [F.col(f"{c}_l") == F.col(f"{c}_r") for c in self.equal]
         tests += [F.abs(F.col(f"{c}_l") - F.col(f"{c}_r")) <= t for c, t in self.within]
         return F.coalesce(all_of(tests), F.lit(False))
 
     def both(self, other: "BlockRule") -> "BlockRule":
         """The conjunction of two rules."""
+        if self.sql or other.sql:
+            raise ValueError(f"cannot count by keys: {self.sql or other.sql}")
         tolerance = dict(self.within)
         for column, t in other.within:
             tolerance[column] = min(t, tolerance.get(column, t))
@@ -57,8 +64,33 @@ def block_on(*columns: str) -> BlockRule:
     return BlockRule(equal=columns)
 
 
+_SIDED = re.compile(r"\b([lr])\.(\w+)")
+_EQUAL = re.compile(r"\s*\(?\s*([lr])\.(\w+)\s*=\s*([lr])\.(\w+)\s*\)?\s*", re.I)
+_WITHIN = re.compile(r"\s*\(?\s*abs\(\s*([lr])\.(\w+)\s*-\s*([lr])\.(\w+)\s*\)\s*<=\s*(\d+)\s*\)?\s*", re.I)
+
+
 def sql_rule(condition: str) -> BlockRule:
-    return BlockRule(sql=condition)
+    """A rule from SQL text.  A conjunction of ``l.c = r.c`` and ``abs(l.c - r.c) <= k`` becomes keys and
+    tolerances, everything else is left to Spark as it is."""
+    equal: list[str] = []
+    within: dict[str, int] = {}
+    for part in re.split(r"\band\b", condition, flags=re.I):
+        same, near = _EQUAL.fullmatch(part), _WITHIN.fullmatch(part)
+        found = same or near
+        if not found or found[1] == found[3] or found[2] != found[4]:
+            return BlockRule(sql=condition)
+        if same:
+            equal.append(same[2])
+        else:
+            within[near[2]] = min(int(near[5]), within.get(near[2], int(near[5])))
+    tolerances = tuple((c, t) for c, t in within.items() if c not in equal)
+    return BlockRule(tuple(dict.fromkeys(equal)), tolerances, title=condition)
+
+
+def sql_rules(condition: str) -> list[BlockRule]:
+    """One pass for each alternative of an ``or``, where each is a rule by keys; else one SQL rule."""
+    rules = [sql_rule(part.strip()) for part in re.split(r"\bor\b", condition, flags=re.I)]
+    return [sql_rule(condition)] if any(r.sql for r in rules) else rules
 
 
 def sided(records: DataFrame, suffix: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -102,7 +134,7 @@ def block_pairs(
     be stored tables: they are counted, sized by key and then joined.
     """
     if rule.sql:
-        needed = left.columns
+        needed = sorted({unique_id, *rule.columns(), *columns})
         raw = left.alias("l").join(right.alias("r"), F.expr(rule.sql))
         return raw.select(
             *[F.col(f"l.{c}").alias(f"{c}_l") for c in needed], *[F.col(f"r.{c}").alias(f"{c}_r") for c in needed]
@@ -131,23 +163,13 @@ def multi_pass_blocking(
     One join per rule; a later rule drops what an earlier one already produced by testing the
     earlier condition on the pair itself, so no distinct over pairs is needed.
     """
-    if any(r.sql for r in rules) and not all(r.sql for r in rules):
-        raise ValueError("mix of SQL and structured rules")
     needed = sorted({unique_id, *columns, *(c for r in rules for c in r.columns())})
     passes = []
-    largest = None if rules[0].sql else left.count() * right.count()
+    largest = None if all(r.sql for r in rules) else left.count() * right.count()
     for number, rule in enumerate(rules):
-        if rule.sql:
-            pairs = left.alias("l").join(right.alias("r"), F.expr(rule.sql))
-            for earlier in rules[:number]:
-                pairs = pairs.filter(~F.coalesce(F.expr(earlier.sql), F.lit(False)))
-            pairs = pairs.select(
-                *[F.col(f"l.{c}").alias(f"{c}_l") for c in needed], *[F.col(f"r.{c}").alias(f"{c}_r") for c in needed]
-            )
-        else:
-            pairs = block_pairs(left, right, rule, needed, unique_id, pairs_per_task, largest)
-            for earlier in rules[:number]:
-                pairs = pairs.filter(~earlier.holds())
+        pairs = block_pairs(left, right, rule, needed, unique_id, pairs_per_task, largest)
+        for earlier in rules[:number]:
+            pairs = pairs.filter(~earlier.holds())
         passes.append(pairs.withColumn("match_key", F.lit(number)))
     united = passes[0]
     for one in passes[1:]:
@@ -190,7 +212,7 @@ def cartesian_size(left: DataFrame, right: DataFrame) -> DataFrame:
     tagged = left.select(F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
         right.select(F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    sizes = tagged.agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+    sizes = tagged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("l", "n_left"), ("r", "n_right"))])
     return sizes.withColumn("comparisons", pair_count(F.col("n_left"), F.col("n_right")))
 
 
@@ -256,6 +278,9 @@ def reduction_ratio(left: DataFrame, right: DataFrame, rules: Sequence[BlockRule
 # -- random pairs ---------------------------------------------------------------------------------
 
 
+STRIPS = 32
+
+
 def random_pair_sample(
     left: DataFrame,
     right: DataFrame,
@@ -266,26 +291,20 @@ def random_pair_sample(
     """About `max_pairs` pairs (all, if there are fewer) drawn from left x right.
 
     Records of both sides are hashed into B buckets and a pair is drawn when the buckets agree: each
-    pair has chance 1/B and the draw is an equi-join, repeatable because the hash is of the id.  Very
-    large sides are first thinned by an independent hash to 100 * sqrt(max_pairs) records.
+    pair has chance 1/B and the draw is an equi-join, repeatable because the hash is of the id.  Every
+    record can be drawn, whatever the size of its side.  Left rows of a bucket are dealt over `STRIPS`
+    copies of its right rows, so that few buckets do not mean few tasks.
     """
     needed = sorted({unique_id, *columns})
-    ceiling = 100 * math.isqrt(max_pairs)
-
-    def thinned(records: DataFrame, suffix: str) -> tuple[DataFrame, float]:
-        rows = records.count()
-        share = min(1.0, ceiling / max(rows, 1))
-        picked = records.select(*needed)
-        if share < 1.0:
-            picked = picked.filter(hash60(F.concat(F.lit("keep:"), F.col(unique_id))) < int(share * HASH_SPACE))
-        return sided(picked, suffix), rows * share
-
-    a, rows_l = thinned(left, "_l")
-    b, rows_r = thinned(right, "_r")
-    buckets = max(1, math.ceil(rows_l * rows_r / max_pairs))
+    buckets = max(1, math.ceil(left.count() * right.count() / max_pairs))
+    a, b = sided(left, "_l", needed), sided(right, "_r", needed)
     a = a.withColumn("__bucket_l", hash60(F.col(f"{unique_id}_l")) % buckets)
     b = b.withColumn("__bucket_r", hash60(F.col(f"{unique_id}_r")) % buckets)
-    return a.join(b, F.col("__bucket_l") == F.col("__bucket_r")).drop("__bucket_l", "__bucket_r")
+    strips = STRIPS if buckets < STRIPS else 1
+    a = a.withColumn("__strip_l", F.pmod(F.xxhash64(f"{unique_id}_l"), F.lit(strips)).cast("int"))
+    b = b.withColumn("__strip_r", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    drawn = a.join(b, (F.col("__bucket_l") == F.col("__bucket_r")) & (F.col("__strip_l") == F.col("__strip_r")))
+    return drawn.drop("__bucket_l", "__bucket_r", "__strip_l", "__strip_r")
 
 
 def self_pairing(records: DataFrame, columns: Sequence[str], unique_id: str = "unique_id") -> DataFrame:

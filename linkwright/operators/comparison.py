@@ -6,8 +6,9 @@ level that holds, counted down from the closest, and 0 when none holds.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,8 +123,38 @@ def comparison_exact(column: str) -> Comparison:
 
 
 def comparison_custom(column: str, levels: Sequence[tuple[str, str]], name: str = "") -> Comparison:
-    """`levels`: (condition over ``_l``/``_r`` columns, label), closest first."""
-    return Comparison(column, tuple(sql_level(condition, label) for condition, label in levels), name)
+    """`levels`: (condition over ``_l``/``_r`` columns, label), closest first.
+
+    Equality, ``abs(..) <= k``, ``levenshtein(..) <= k`` and equal leading characters of the column are
+    recognised, so that they can be counted; any other text stays SQL.
+    """
+    known = [_recognised(column, condition, label) for condition, label in levels]
+    kinds = {level.kind for level in known}
+    # equality is the closest of the kind beside it
+    same = "within" if "within" in kinds else "edit" if "edit" in kinds else "equal"
+    known = [replace(level, kind=same) if level.kind == "equal" else level for level in known]
+    for place, level in enumerate(known):
+        exact = level.kind == "edit" and level.condition == "="
+        if exact and level.amount and not (place and known[place - 1].kind == "edit" and known[place - 1].amount == level.amount - 1):
+            known[place] = sql_level(*levels[place])  # smaller distances would not have been taken before
+    return Comparison(column, tuple(level if level.kind == "sql" else replace(level, condition="") for level in known), name)
+
+
+def _recognised(column: str, condition: str, label: str) -> Level:
+    a, b = rf"{column}_l", rf"{column}_r"
+    text = re.sub(r"\s+", "", condition)
+    forms = (
+        ("equal", rf"{a}={b}"),
+        ("within", rf"abs\({a}-{b}\)<=(?P<k>\d+)"),
+        ("edit", rf"levenshtein\({a},{b}\)(?P<sign><?=)(?P<k>\d+)"),
+        ("prefix", rf"substr(?:ing)?\({a},1,(?P<k>\d+)\)=substr(?:ing)?\({b},1,(?P=k)\)"),
+    )
+    for kind, form in forms:
+        found = re.fullmatch(form, text, re.I)
+        if found:
+            parts = found.groupdict()
+            return Level(kind, int(parts.get("k") or 0), parts.get("sign", "") or "", label or condition)
+    return sql_level(condition, label)
 
 
 def input_columns(comparisons: Sequence[Comparison]) -> list[str]:

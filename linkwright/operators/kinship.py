@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkwright.operators.profiling import pivot_counts
+from linkwright.operators.profiling import cell_counts
 from linkwright.operators.spread import spread_lookup
 from linkwright.session import cut_lineage
 
 # Up to this many (left relative, right relative) combinations a pair's relatives are simply combined.
 SMALL_FAMILY = 400
-LARGEST_SET = 100_000
 
 
 def symmetric_edges(assertions: DataFrame, subject: str = "subject_id", object: str = "object_id") -> DataFrame:
@@ -24,17 +23,12 @@ def symmetric_edges(assertions: DataFrame, subject: str = "subject_id", object:
     return forward.unionByName(backward).distinct()
 
 
-def relative_sets(edges: DataFrame, largest: int = LARGEST_SET) -> DataFrame:
-    """(mention_id, piece, relatives): the sorted set of each mention's relatives.
-
-    Ordinary mentions have the one piece 0.  A hub with more than `largest` relatives is divided over
-    several pieces, so that no task has to hold an array of unknown length.
-    """
+def relative_sets(edges: DataFrame) -> DataFrame:
+    """(mention_id, relative_id, relatives): each mention's set of relatives, a row per member, with its
+    size.  The same form for every size, so a hub is never one array."""
     sizes = edges.groupBy("mention_id").agg(F.count("*").alias("__n"))
-    pieces = sizes.select("mention_id", F.ceil(F.col("__n") / largest).cast("bigint").alias("__pieces"))
-    dealt = spread_lookup(edges, pieces, ["mention_id"], ["relative_id"], sizes=sizes)
-    piece = F.pmod(F.xxhash64("relative_id"), F.col("__pieces")).cast("int").alias("piece")
-    return dealt.groupBy("mention_id", piece).agg(F.sort_array(F.collect_set("relative_id")).alias("relatives"))
+    known = spread_lookup(edges, sizes.withColumnRenamed("__n", "relatives"), ["mention_id"], ["relative_id"], sizes=sizes)
+    return known.select("mention_id", "relative_id", "relatives")
 
 
 def relatives_lookup_join(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -152,14 +146,16 @@ def appearance_histogram(assertions: DataFrame, column: str) -> DataFrame:
     )
 
 
-def predicate_by_source(
-    assertions: DataFrame, sources: Sequence[str] | None = None, labels: Mapping[str, str] | None = None
-) -> DataFrame:
-    """Predicate x source counts, empty cells zero, largest predicates first."""
-    table = pivot_counts(assertions, "predicate", "who", sources)
-    totals = assertions.groupBy("predicate").agg(F.count("*").alias("__total"))
-    ordered = table.join(totals, "predicate").orderBy(F.desc("__total"), "predicate").drop("__total")
-    return ordered.withColumnsRenamed(dict(labels or {}))
+def predicate_by_source(assertions: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
+    """(predicate, source, assertions, predicate_total) for every source there is, under its label where
+    one is given; largest predicates first."""
+    cells = cell_counts(assertions, "predicate", "who").withColumnRenamed("n", "assertions")
+    totals = cells.groupBy("predicate").agg(F.sum("assertions").alias("predicate_total"))
+    source = F.col("who")
+    for who, label in (labels or {}).items():
+        source = F.when(F.col("who") == who, F.lit(label)).otherwise(source)
+    table = cells.join(totals, "predicate").select("predicate", source.alias("source"), "assertions", "predicate_total")
+    return table.orderBy(F.desc("predicate_total"), "predicate", F.desc("assertions"), "source")
 
 
 def source_shares(assertions: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:

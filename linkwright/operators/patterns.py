@@ -24,9 +24,11 @@ of a block, and no key can be heavy in the join because keys are unique on both
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkwright.functions.scalars import PAIR_COUNT, pair_count
 from linkwright.operators.blocking import BlockRule, block_pairs
@@ -208,6 +210,10 @@ def _by_keys(a: DataFrame, b: DataFrame, block: Sequence[str], comparisons: Sequ
     held = {c: f"__block_{c}" for c in block}
     spent = [c for c in block if c not in input_columns(comparisons)]
     a, b = (side.withColumns({new: F.col(old) for old, new in held.items()}).drop(*spent) for side in (a, b))
+    # Each comparison uses its column up, so each has one of its own.
+    copies = {f"__compared_{c.key}": F.col(c.column) for c in comparisons}
+    a, b = (side.withColumns(copies).drop(*input_columns(comparisons)) for side in (a, b))
+    comparisons = [replace(c, column=f"__compared_{c.key}", name=c.key) for c in comparisons]
     # Words last: they fan out most, and what comes before has been added up by then.
     ordered = sorted(comparisons, key=lambda c: c.edit_limit is not None)
     keys = list(held.values()) + [f"key_{c.key}" for c in comparisons]
@@ -254,6 +260,28 @@ def _few_partners(a: DataFrame, b: DataFrame, block: Sequence[str]) -> bool:
     return (sizes["pairs"] or 0) <= KEYS_PER_TUPLE * (sizes["tuples"] or 0)
 
 
+def _plain_numbers(a: DataFrame, b: DataFrame, comparisons: Sequence[Comparison]) -> tuple[DataFrame, DataFrame, bool]:
+    """Compared columns under one type on both sides, so that equal values send equal keys.
+
+    Whole numbers of a fractional type become bigints; the flag tells whether a fractional value is left,
+    which has no neighbours that could be listed as keys.
+    """
+    listed = True
+    for column in input_columns(comparisons):
+        kinds = [side.schema[column].dataType for side in (a, b)]
+        common = a.select(column).limit(0).union(b.select(column).limit(0)).schema[column].dataType
+        if isinstance(common, (T.DoubleType, T.FloatType, T.DecimalType)):
+            value = F.col(column)
+            odd = F.isnan(value.cast("double")) | (value != F.floor(value)) | (F.abs(value) >= 2**53)
+            if any(side.filter(odd).limit(1).count() for side in (a, b)):
+                listed = listed and not any(c.column == column and c.levels[0].kind == "within" for c in comparisons)
+            else:
+                common = T.LongType()
+        if any(kind != common for kind in kinds):
+            a, b = (_added_up(side.withColumn(column, F.col(column).cast(common))) for side in (a, b))
+    return a, b, listed
+
+
 def pattern_counts(
     left: DataFrame,
     right: DataFrame,
@@ -275,6 +303,11 @@ def pattern_counts(
         # The choice of method and several branches after it read them again.
         a, b = cut_lineage(a), cut_lineage(b)
     wide = left.count() * right.count() >= 2**62
+    if by_keys is None or by_keys:
+        a, b, listed = _plain_numbers(a, b, comparisons)
+        countable_here = countable_here and listed
+        if by_keys and not countable_here:
+            raise ValueError("these comparisons cannot be counted by keys")
     if by_keys is None:
         by_keys = countable_here and (not block.equal or not _few_partners(a, b, block.equal))
     if by_keys:

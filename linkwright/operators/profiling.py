@@ -165,12 +165,18 @@ def pivot_counts(table: DataFrame, row: str, column: str, values: Sequence | Non
     if values is None:
         found = present.select(column).distinct().orderBy(column).limit(MAX_PIVOT + 1).collect()
         if len(found) > MAX_PIVOT:
-            raise ValueError(f"{column} has more than {MAX_PIVOT} values; a wide table would not help")
+            raise ValueError(f"{column} has more than {MAX_PIVOT} values; cell_counts has the long form")
         values = [r[0] for r in found]
     wide = present.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1)))
     return wide.na.fill(0)
 
 
+def cell_counts(table: DataFrame, row: str, column: str) -> DataFrame:
+    """(row, column, n): a cross-tabulation in long form, with as many columns as there are values."""
+    present = table.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
+    return present.groupBy(row, column).agg(F.count("*").alias("n"))
+
+
 def crosstab(table: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:
     wide = pivot_counts(table, row, column, values)
     return wide.select(row, *[F.col(f"`{c}`").alias(f"{column}_{c}") for c in wide.columns if c != row])

@@ -5,10 +5,8 @@ of such a key are laid out on a grid: left rows are cut into `split_l` strips an
 `split_r` strips, each left strip is sent to every right strip, and the strip numbers become part of
 the join key.  Every pair still meets exactly once.
 
-Which keys count as heavy affects the layout only, never the result, so it is enough to know the
-HEAVY_KEYS heaviest of them.  That list is what gets broadcast: at most HEAVY_KEYS rows of one
-64-bit hash and two numbers, whatever the size of the data.  Any key left out carries at most
-1/HEAVY_KEYS of the pairs.
+All other keys are joined plainly, so adaptive execution may merge and split their partitions.  Heavy keys
+are a table of one hash and two numbers per key, joined like any other: none is left out.
 """
 
 from __future__ import annotations
@@ -16,16 +14,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.operators.prepare import all_of
+from linkwright.session import cut_lineage
 
-HEAVY_KEYS = 10_000
 PAIRS_PER_TASK = 2_000_000
 ROWS_PER_TASK = 5_000_000
-MAX_STRIPS = 20_000
-MAX_TASKS = 50_000
+MOST_TASKS = 50_000  # of the heavy keys' shuffle; further strips share tasks
 
 
 def _key_hash(columns: Sequence[str]) -> Column:
@@ -43,7 +40,7 @@ def heavy_blocks(
     right_keys: Sequence[str],
     pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
-    """(key hash, split_l, split_r, pairs) of the heaviest blocks above the pair budget."""
+    """(key hash, split_l, split_r, pairs) of the blocks above the pair budget."""
     n_l = left.filter(_known(left_keys)).groupBy(_key_hash(left_keys).alias("__key")).agg(F.count("*").alias("n_l"))
     n_r = right.filter(_known(right_keys)).groupBy(_key_hash(right_keys).alias("__key")).agg(F.count("*").alias("n_r"))
     strip = float(pairs_per_task) ** 0.5
@@ -52,33 +49,30 @@ def heavy_blocks(
         # A short side is left whole and the long side is cut finer.
         whole = F.least(F.col(other).cast("double"), F.lit(strip))
         count = F.ceil(F.col(rows) * whole / F.lit(float(pairs_per_task)))
-        return F.least(F.greatest(count, F.lit(1)), F.lit(MAX_STRIPS)).cast("int")
+        return F.greatest(count, F.lit(1)).cast("int")
 
     return (
         n_l.join(n_r, "__key")
         .withColumn("__pairs", F.col("n_l").cast("double") * F.col("n_r"))
         .filter(F.col("__pairs") > pairs_per_task)
-        .orderBy(F.desc("__pairs"), "__key")
-        .limit(HEAVY_KEYS)
         .select("__key", strips("n_l", "n_r").alias("split_l"), strips("n_r", "n_l").alias("split_r"), "__pairs")
     )
 
 
-def _lay_out(side: DataFrame, keys: Sequence[str], spread_by: str, heavy: DataFrame, own: str, other: str, cell: tuple[str, str]) -> DataFrame:
+def _lay_out(side: DataFrame, spread_by: str, own: str, other: str, cell: tuple[str, str]) -> DataFrame:
     """Give each row its own strip number and a copy for every strip of the other side."""
-    marked = (
-        side.withColumn("__key", _key_hash(keys))
-        .join(F.broadcast(heavy), "__key", "left")
-        .withColumn(cell[0], F.pmod(F.xxhash64(F.col(spread_by)), F.coalesce(F.col(own), F.lit(1)).cast("bigint")).cast("int"))
-        .withColumn(cell[1], F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
-    )
-    return marked.drop("__key", "split_l", "split_r")
+    laid = side.withColumn(cell[0], F.pmod(F.xxhash64(F.col(spread_by)), F.col(own).cast("bigint")).cast("int"))
+    laid = laid.withColumn(cell[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    return laid.drop("__key", "split_l", "split_r")
 
 
-def _tasks(spark: SparkSession, heavy_pairs: float, pairs_per_task: int) -> int:
-    """Enough tasks for the heavy pairs at the budget, and never fewer than the session's own number."""
-    usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(usual, min(MAX_TASKS, math.ceil(heavy_pairs / pairs_per_task)))
+def _one_type(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides' keys under their common type: hashes of an int and a bigint differ."""
+    for a, b in zip(left_keys, right_keys):
+        if left.schema[a].dataType != right.schema[b].dataType:
+            common = left.select(F.col(a).alias("k")).limit(0).union(right.select(F.col(b).alias("k")).limit(0)).schema["k"].dataType
+            left, right = left.withColumn(a, F.col(a).cast(common)), right.withColumn(b, F.col(b).cast(common))
+    return left, right
 
 
 def spread_join(
@@ -103,20 +97,25 @@ def spread_join(
         match = match & condition
     if largest is not None and largest <= pairs_per_task:
         return left.join(right, match)
-    found = heavy_blocks(left, right, left_keys, right_keys, pairs_per_task).collect()
-    if not found:
+    left, right = _one_type(left, right, left_keys, right_keys)
+    heavy = cut_lineage(heavy_blocks(left, right, left_keys, right_keys, pairs_per_task))
+    seen = heavy.agg(F.sum("__pairs")).first()[0]
+    if not seen:
         return left.join(right, match)
-    spark = left.sparkSession
-    heavy = spark.createDataFrame([tuple(row)[:3] for row in found], "__key bigint, split_l int, split_r int")
-    a = _lay_out(left, left_keys, left_id, heavy, "split_l", "split_r", ("__row_l", "__col_l"))
-    b = _lay_out(right, right_keys, right_id, heavy, "split_r", "split_l", ("__col_r", "__row_r"))
-    # A stated number of partitions, because small inputs with a large output must not be merged into
-    # a few tasks by their size, nor one side shipped whole to the few tasks of the other.
-    tasks = _tasks(spark, sum(row["__pairs"] for row in found), pairs_per_task)
+    heavy = heavy.drop("__pairs")
+    a = left.withColumn("__key", _key_hash(left_keys)).join(heavy, "__key", "left")
+    b = right.withColumn("__key", _key_hash(right_keys)).join(heavy, "__key", "left")
+    light = [side.filter("split_l is null").drop("__key", "split_l", "split_r") for side in (a, b)]
+    a = _lay_out(a.filter("split_l is not null"), left_id, "split_l", "split_r", ("__row_l", "__col_l"))
+    b = _lay_out(b.filter("split_l is not null"), right_id, "split_r", "split_l", ("__col_r", "__row_r"))
+    # A stated number of partitions, for these keys only: a small input with a large output must not be
+    # merged into a few tasks by its size.
+    tasks = min(MOST_TASKS, max(left.sparkSession.sparkContext.defaultParallelism, math.ceil(seen / pairs_per_task)))
     a = a.repartition(tasks, *left_keys, "__row_l", "__col_l")
-    b = b.repartition(tasks, *right_keys, "__row_r", "__col_r").hint("shuffle_hash")
-    match = match & (F.col("__row_l") == F.col("__row_r")) & (F.col("__col_l") == F.col("__col_r"))
-    return a.join(b, match).drop("__row_l", "__col_l", "__row_r", "__col_r")
+    b = b.repartition(tasks, *right_keys, "__row_r", "__col_r").hint("merge")
+    cell = (F.col("__row_l") == F.col("__row_r")) & (F.col("__col_l") == F.col("__col_r"))
+    spread = a.join(b, match & cell).drop("__row_l", "__col_l", "__row_r", "__col_r")
+    return light[0].join(light[1], match).unionByName(spread)
 
 
 def spread_lookup(
@@ -139,13 +138,11 @@ def spread_lookup(
         counted.groupBy(_key_hash(keys).alias("__key"))
         .agg(F.sum("__n").alias("__n"))
         .filter(F.col("__n") > rows_per_task)
-        .orderBy(F.desc("__n"), "__key")
-        .limit(HEAVY_KEYS)
-        .select("__key", F.least(F.ceil(F.col("__n") / rows_per_task), F.lit(MAX_STRIPS)).cast("int").alias("__copies"))
+        .select("__key", F.ceil(F.col("__n") / rows_per_task).cast("int").alias("__copies"))
     )
 
     def marked(frame: DataFrame) -> DataFrame:
-        with_key = frame.withColumn("__key", _key_hash(keys)).join(F.broadcast(heavy), "__key", "left")
+        with_key = frame.withColumn("__key", _key_hash(keys)).join(heavy, "__key", "left")
         return with_key.withColumn("__copies", F.coalesce("__copies", F.lit(1)))
 
     dealt = marked(facts).withColumn(

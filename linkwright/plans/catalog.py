@@ -22,10 +22,10 @@ from linkwright.plans.oracle_sql import (
         GAMMAS,
     LEVELS,
     PAIR_IDS,
-    ROUNDS,
     RULE_NAME,
     RULE_RANGE,
     sample_part,
+    u_part,
     scored_part,
     trained_weight,
     training_parts,
@@ -135,7 +135,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trained(spark: SparkSession, sf_dir: str) -> LinkModel:
     def make() -> LinkModel:
         return training.train(
-            *records(spark, sf_dir), initial_model(COMPARISONS), DETERMINISTIC, TRAINING_BLOCKS, max_rounds=ROUNDS, tolerance=0.0
+            *records(spark, sf_dir), initial_model(COMPARISONS), DETERMINISTIC, TRAINING_BLOCKS
         )
 
     return once(spark, sf_dir, "trained", make)
@@ -567,9 +567,9 @@ def _(spark, sf_dir):
     return rounded(training.estimate_prior(*records(spark, sf_dir), DETERMINISTIC, 0.9), 9)
 
 
-@query("D7_estimate_u_sampled", with_parts("SELECT comparison, level, round(u, 6) AS u FROM u_est", "sampled", extra={"u_est": TRAINING["u_est"]}))
+@query("D7_estimate_u_sampled", with_parts("SELECT comparison, level, round(u, 6) AS u FROM u_est", "sampled_few", extra={"u_est": u_part("sampled_few")}))
 def _(spark, sf_dir):
-    rates = training.estimate_u(*records(spark, sf_dir), COMPARISONS)
+    rates = training.estimate_u(*records(spark, sf_dir), COMPARISONS, 50_000)
     return rounded(training.u_table(spark, rates))
 
 
@@ -618,10 +618,10 @@ INITIAL_RATES = {
 
 @query(
     "D11_predict_untrained",
-    with_parts(f"SELECT {PREDICTION_COLUMNS} FROM scored", "blocked", extra={"scored": scored_part("blocked", weight_sql(INITIAL_RATES, 1e-4), None)}),
+    with_parts(f"SELECT {PREDICTION_COLUMNS} FROM scored", "blocked", extra={"scored": scored_part("blocked", weight_sql(INITIAL_RATES, 1e-4), THRESHOLD)}),
 )
 def _(spark, sf_dir):
-    return rounded(scoring.predict_untrained(*records(spark, sf_dir), SETTINGS, None))
+    return rounded(scoring.predict_untrained(*records(spark, sf_dir), SETTINGS, THRESHOLD))
 
 
 @query(
@@ -965,18 +965,17 @@ def _(spark, sf_dir):
     return profiling.n_unique(views.ground_truth(spark, sf_dir), ["score", "confidence"])
 
 
-SCORES = (75, 180, 285, 390, 495)
 
 
 @query(
     "E16_crosstab",
     with_parts(
-        "SELECT confidence, " + ", ".join(f"count(*) FILTER (score = {s}) AS score_{s}" for s in SCORES) + " FROM truth GROUP BY confidence",
+        "SELECT confidence, score, count(*) AS n FROM truth WHERE confidence IS NOT NULL AND score IS NOT NULL GROUP BY ALL",
         "truth",
     ),
 )
 def _(spark, sf_dir):
-    return profiling.crosstab(views.ground_truth(spark, sf_dir), "confidence", "score", SCORES)
+    return profiling.cell_counts(views.ground_truth(spark, sf_dir), "confidence", "score")
 
 
 # == F: set operations ===============================================================================
@@ -1044,11 +1043,10 @@ def _(spark, sf_dir):
 
 @query(
     "G1_relative_sets",
-    with_parts("SELECT mention_id, 0 AS piece, string_agg(relative_id, ',' ORDER BY relative_id) AS relatives FROM edges GROUP BY mention_id", "assertions", extra=EDGES),
+    with_parts("SELECT mention_id, relative_id, count(*) OVER (PARTITION BY mention_id) AS relatives FROM edges", "assertions", extra=EDGES),
 )
 def _(spark, sf_dir):
-    edges = edges_of(spark, sf_dir)
-    return kinship.relative_sets(edges).withColumn("relatives", F.array_join("relatives", ","))
+    return kinship.relative_sets(edges_of(spark, sf_dir))
 
 
 @query("G2_relative_corroboration", with_parts(f"SELECT {BOOSTED_COLUMNS} FROM boosted", "blocked", "assertions", extra=BOOSTED))
@@ -1113,18 +1111,19 @@ def _(spark, sf_dir):
     return rounded(kinship.appearance_histogram(views.assertions(spark, sf_dir), "object_id"))
 
 
-WHO = [f"src{i}" for i in range(20)]
 
 
 @query(
     "G7_predicate_by_source",
     with_parts(
-        "SELECT predicate, " + ", ".join(f"count(*) FILTER (who = '{w}') AS {w}" for w in WHO) + " FROM assertions GROUP BY predicate",
+        """SELECT predicate, CASE who WHEN 'src0' THEN 'Register zero' WHEN 'src1' THEN 'Register one' ELSE who END AS source,
+                  count(*) AS assertions, sum(count(*)) OVER (PARTITION BY predicate)::BIGINT AS predicate_total
+           FROM assertions WHERE predicate IS NOT NULL AND who IS NOT NULL GROUP BY predicate, who""",
         "assertions",
     ),
 )
 def _(spark, sf_dir):
-    return kinship.predicate_by_source(views.assertions(spark, sf_dir), WHO)
+    return kinship.predicate_by_source(views.assertions(spark, sf_dir), {"src0": "Register zero", "src1": "Register one"})
 
 
 @query(

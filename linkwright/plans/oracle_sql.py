@@ -123,26 +123,16 @@ BUCKET = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
 
 
 def sample_part(max_pairs: int) -> str:
-    """Random pairs by hash bucket; sides beyond the record ceiling are thinned by a second hash."""
-    ceiling = 100 * int(max_pairs**0.5)
-
-    def kept(side: str) -> str:
-        share = f"least(1.0::DOUBLE, {ceiling}::DOUBLE / (SELECT greatest(count(*), 1) FROM {side}))"
-        keep_hash = BUCKET.format("'keep:' || unique_id")
-        return f"SELECT * FROM {side} WHERE {share} >= 1 OR {keep_hash} < CAST(floor({share} * 1152921504606846976) AS BIGINT)"
-
-    def rows(side: str) -> str:
-        return f"(SELECT count(*) * least(1.0::DOUBLE, {ceiling}::DOUBLE / greatest(count(*), 1)) FROM {side})"
-
-    buckets = f"greatest(1, CAST(ceil({rows('lft')} * {rows('rgt')} / {max_pairs}) AS BIGINT))"
+    """Random pairs by hash bucket."""
+    buckets = f"greatest(1, CAST(ceil((SELECT count(*) FROM lft) * (SELECT count(*) FROM rgt) / {max_pairs}) AS BIGINT))"
     h_l, h_r = BUCKET.format("l.unique_id"), BUCKET.format("r.unique_id")
     return f"""
-    SELECT {PAIR_IDS}, {GAMMAS}
-    FROM ({kept('lft')}) l JOIN ({kept('rgt')}) r
-      ON {h_l} % (SELECT {buckets}) = {h_r} % (SELECT {buckets})"""
+    SELECT {PAIR_IDS}, {GAMMAS} FROM lft l JOIN rgt r ON {h_l} % (SELECT {buckets}) = {h_r} % (SELECT {buckets})"""
 
 
 PARTS["sampled"] = (("lft", "rgt"), sample_part(1_000_000))
+# few enough for the smallest tables to be sampled, too
+PARTS["sampled_few"] = (("lft", "rgt"), sample_part(50_000))
 
 
 def with_parts(select: str, *needed: str, extra: dict[str, str] | None = None) -> str:
@@ -225,6 +215,8 @@ def session_parts(tag: str, condition: str, names: list[str], rounds: int) -> di
         f"lam_{tag}_0": f"""
         SELECT least(0.5::DOUBLE, (SELECT prior * all_pairs FROM prior_est) / (SELECT sum(pairs) FROM pat_{tag})) AS lam""",
     }
+    # Rounds after the first small change keep what they find; `n` counts the others.
+    parts[f"end_{tag}_0"] = "SELECT 0 AS n, NULL::DOUBLE AS change, false AS settled"
     for k in range(1, rounds + 1):
         joins = "".join(
             f"\n LEFT JOIN m_{tag}_{k - 1} m_{n} ON m_{n}.comparison = '{n}' AND m_{n}.level = p.gamma_{n}"
@@ -234,21 +226,28 @@ def session_parts(tag: str, condition: str, names: list[str], rounds: int) -> di
         m_product = " * ".join(f"coalesce(m_{n}.m, 1)" for n in names)
         u_product = " * ".join(f"coalesce(u_{n}.u, 1)" for n in names)
         lam = f"(SELECT lam FROM lam_{tag}_{k - 1})"
+        settled = f"(SELECT settled FROM end_{tag}_{k - 1})"
         parts[f"w_{tag}_{k}"] = f"""
         SELECT p.*, pairs * ({lam} * {m_product}) / ({lam} * {m_product} + (1 - {lam}) * {u_product}) AS w
         FROM pat_{tag} p{joins}"""
         unions = " UNION ALL ".join(f"SELECT '{n}' AS comparison, gamma_{n} AS level, w FROM w_{tag}_{k}" for n in names)
         parts[f"m_{tag}_{k}"] = f"""
-        SELECT v.comparison, v.level,
-               greatest(coalesce(mass / sum(mass) OVER (PARTITION BY v.comparison), 0), 1e-9) AS m
-        FROM {level_values(names)}
+        SELECT o.comparison, o.level, CASE WHEN {settled} THEN o.m ELSE
+               greatest(coalesce(mass / sum(mass) OVER (PARTITION BY o.comparison), 0), 1e-9) END AS m
+        FROM m_{tag}_{k - 1} o
         LEFT JOIN (SELECT comparison, level, sum(w) AS mass FROM ({unions}) WHERE level >= 0 GROUP BY ALL) c
-          ON c.comparison = v.comparison AND c.level = v.level"""
-        parts[f"lam_{tag}_{k}"] = f"SELECT sum(w) / sum(pairs) AS lam FROM w_{tag}_{k}"
+          ON c.comparison = o.comparison AND c.level = o.level"""
+        parts[f"lam_{tag}_{k}"] = f"SELECT CASE WHEN {settled} THEN {lam} ELSE sum(w) / sum(pairs) END AS lam FROM w_{tag}_{k}"
+        parts[f"end_{tag}_{k}"] = f"""
+        SELECT e.n + CAST(NOT e.settled AS INTEGER) AS n, CASE WHEN e.settled THEN e.change ELSE d.change END AS change,
+               e.settled OR d.change < 1e-4 AS settled
+        FROM end_{tag}_{k - 1} e, (SELECT max(abs(a.m - b.m)) AS change FROM m_{tag}_{k} a
+                                   JOIN m_{tag}_{k - 1} b USING (comparison, level)) d"""
     return parts
 
 
-ROUNDS = 5
+# The default training stops at a change below 1e-4 or after so many rounds.
+ROUNDS = 25
 SESSIONS = {
     "g": ("gender equal", "l.gender = r.gender", ["birth_year", "norm_race", "norm_first_name"]),
     "rf": (
@@ -266,8 +265,7 @@ def training_parts() -> dict[str, str]:
     parts["sessions"] = " UNION ALL ".join(
         f"""
         SELECT '{label}' AS session, m.comparison, m.level, m.m, (SELECT lam FROM lam_{tag}_{ROUNDS}) AS prior,
-               {ROUNDS} AS rounds, (SELECT max(abs(a.m - b.m)) FROM m_{tag}_{ROUNDS} a
-                                    JOIN m_{tag}_{ROUNDS - 1} b USING (comparison, level)) AS last_change
+               (SELECT n FROM end_{tag}_{ROUNDS}) AS rounds, (SELECT change FROM end_{tag}_{ROUNDS}) AS last_change
         FROM m_{tag}_{ROUNDS} m"""
         for tag, (label, _, _) in SESSIONS.items()
     )

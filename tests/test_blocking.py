@@ -90,3 +90,48 @@ def test_spread_join_condition(sides):
     got = spread_join(left, right, ["gender_l"], ["gender_r"], "unique_id_l", "unique_id_r", pairs_per_task=50)
     want = sum(a[4] is not None and a[4] == b[4] for a in LEFT for b in RIGHT)
     assert got.count() == want
+
+
+def test_sql_text_becomes_keys_where_it_can():
+    rule = B.sql_rule("l.gender = r.gender and abs(r.birth_year - l.birth_year) <= 5")
+    assert (rule.equal, rule.within, rule.sql) == (("gender",), (("birth_year", 5),), None)
+    assert rule.label.startswith("l.gender")
+    assert B.sql_rule("l.a = r.b").sql and B.sql_rule("l.a = l.a").sql and B.sql_rule("l.a = r.a and l.b > 3").sql
+    assert B.sql_rule("l.a = r.b and l.c > 3").columns() == {"a", "b", "c"}
+    passes = B.sql_rules("l.a = r.a or (l.b = r.b)")
+    assert [p.equal for p in passes] == [("a",), ("b",)]
+
+
+def test_sql_and_keyed_rules_mix(spark):
+    rows = [(i, i % 3, i % 5) for i in range(40)]
+    left = spark.createDataFrame(rows, "unique_id int, a int, b int")
+    right = spark.createDataFrame([(100 + i, a, b) for i, a, b in rows], "unique_id int, a int, b int")
+    rules = [B.block_on("a"), B.sql_rule("l.b = r.b and l.unique_id < 20"), B.sql_rule("l.b = r.b")]
+    got = {(r["unique_id_l"], r["unique_id_r"], r["match_key"]) for r in B.multi_pass_blocking(left, right, rules).collect()}
+    want = set()
+    for i, a, b in rows:
+        for j, c, d in rows:
+            first = 0 if a == c else 1 if b == d and i < 20 else 2 if b == d else None
+            if first is not None:
+                want.add((i, 100 + j, first))
+    assert got == want
+    with pytest.raises(ValueError):
+        B.cumulative_comparisons(left, right, rules[:2]).collect()
+    keyed = [rules[0], B.block_on("b")]
+    assert [r["new_comparisons"] for r in B.cumulative_comparisons(left, right, [rules[0], rules[2]]).orderBy("match_key").collect()] == [
+        r["new_comparisons"] for r in B.cumulative_comparisons(left, right, keyed).orderBy("match_key").collect()
+    ]
+
+
+def test_one_heavy_key_among_light_ones(spark):
+    left = spark.range(3000).selectExpr("id as i", "cast(if(id < 300, 0, id) as int) as k")
+    right = spark.range(3000).selectExpr("id as j", "if(id < 300, 0L, id) as q")
+    joined = spread_join(left, right, ["k"], ["q"], "i", "j", pairs_per_task=1000)
+    assert joined.count() == joined.distinct().count() == 300 * 300 + 2700
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan  # light keys apart from the grid
+
+
+def test_sizes_of_nothing_are_zero(spark):
+    none = spark.createDataFrame([], "unique_id string")
+    assert tuple(B.cartesian_size(none, none).first()) == (0, 0, 0)

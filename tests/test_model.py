@@ -155,3 +155,31 @@ def test_waterfall_ends_at_the_weight(sides):
     final = scoring.weight_waterfall_table(predictions, model).filter("term = 'final'")
     both = predictions.join(final, ["unique_id_l", "unique_id_r"]).collect()
     assert both and all(math.isclose(r["match_weight"], r["running_weight"], abs_tol=1e-9) for r in both)
+
+
+@pytest.mark.parametrize("kinds", [("int", "int"), ("bigint", "int"), ("double", "double"), ("double", "int"), ("decimal(9,1)", "decimal(9,1)")])
+def test_both_ways_of_counting_agree_on_every_type(sides, kinds):
+    left, right = (side.withColumn("birth_year", side["birth_year"].cast(kind)) for side, kind in zip(sides, kinds))
+    twice = [COMPARISONS[0], C.Comparison("birth_year", (C.within(0), C.within(3)), "years"), COMPARISONS[1]]
+    block = B.block_on("gender")
+    counted = [
+        {tuple(r) for r in pattern_counts(left, right, twice, block, by_keys=by_keys).select("gamma_birth_year", "gamma_years", "gamma_norm_race", "pairs").collect()}
+        for by_keys in (True, False)
+    ]
+    assert counted[0] == counted[1] and len(counted[0]) > 5
+
+
+def test_fractions_are_not_counted_by_keys(sides):
+    left = sides[0].withColumn("birth_year", sides[0]["birth_year"] + 0.5)
+    with pytest.raises(ValueError):
+        pattern_counts(left, sides[1], [COMPARISONS[0]], by_keys=True)
+
+
+def test_level_text_becomes_a_level_where_it_can():
+    texts = [("birth_year_l = birth_year_r", "same"), ("abs(birth_year_l - birth_year_r) <= 2", "near"), ("birth_year_l > 3", "odd")]
+    levels = C.comparison_custom("birth_year", texts).levels
+    assert [(x.kind, x.amount, x.title) for x in levels] == [("within", 0, "same"), ("within", 2, "near"), ("sql", 0, "odd")]
+    names = [("n_l = n_r", ""), ("levenshtein(n_l, n_r) = 1", ""), ("levenshtein(n_l, n_r) <= 2", ""), ("substr(n_l, 1, 1) = substr(n_r, 1, 1)", "")]
+    comparison = C.comparison_custom("n", names)
+    assert [(x.kind, x.amount) for x in comparison.levels] == [("edit", 0), ("edit", 1), ("edit", 2), ("prefix", 1)]
+    assert countable(comparison)
