@@ -17,9 +17,11 @@ repeated rows are packed each for itself; other columns are not read.
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ BIN = 16
 CUT_EVERY = 256
 CUT_COST = 0.02  # a cut is worth so much of a sequence
 RANKED_TOGETHER = 20_000
-CACHED_CHUNKS = 400_000
+CACHED_WORDS = 400_000
 
 
 def tokenizer_path() -> str:
@@ -43,59 +45,98 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ranks_path() -> str:
+    """The same vocabulary as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, with the ids of frequent chunks kept.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, with the ids of frequent words kept.
 
-    The vocabulary's splitting rule always breaks before a space that follows a non-space, so a text may
-    be cut there and its parts encoded one by one.
+    The vocabulary's splitting rule always breaks before a space that follows a non-space, so a text may be
+    cut there and its parts encoded on their own.  New words are encoded many at a time: only the first
+    token of a word begins with a space, so the tokens of a row of words fall apart again there.  Words of
+    Latin letters go through the faster of two libraries that hold the same vocabulary.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ranks: str) -> None:
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        self.opens = np.zeros(max(merges.values()) + 1, bool)
+        self.opens[[rank for token, rank in merges.items() if token.startswith(b" ")]] = True
+        self.known: dict[str, bytes] = {}  # a word without its space -> ids with it
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn(self, words: list[str]) -> None:
+        rest = list(filterfalse(_LATIN.fullmatch, words))
+        plain = list(filter(_LATIN.fullmatch, words))
+        for at in range(0, len(plain), 500):
+            row = plain[at : at + 500]
+            ids = np.array(self.quick.encode_ordinary(" " + " ".join(row)), "<u4")
+            starts = np.flatnonzero(self.opens[ids]) * 4
+            if len(starts) == len(row):
+                data, stops = ids.tobytes(), starts[1:].tolist() + [4 * len(ids)]
+                self.known.update(zip(row, map(data.__getitem__, map(slice, starts.tolist(), stops))))
+            else:
+                rest += row
+        self.known.update(zip(rest, self._whole([" " + w for w in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_chunks(t) for t in texts]
-        fresh = {p for chunks in parts for p in chunks if p not in self.known}
-        if len(self.known) + len(fresh) > CACHED_CHUNKS:
-            self.known.clear()
-            fresh = set(chain.from_iterable(parts))
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            ids = (e.ids for e in self.model.encode_batch_fast(some, add_special_tokens=False))
-            self.known.update(zip(some, (np.array(x, "<u4").tobytes() for x in ids)))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in parts]
-
-
-def _chunks(text: str) -> list[str]:
-    parts = text.split(" ")
-    out = parts[:1] + [" " + p for p in parts[1:]]
-    if any(p[-1:].isspace() or not p for p in parts):
-        joined: list[str] = []
-        for part in out:
-            if joined and (not joined[-1] or joined[-1][-1].isspace()):
-                joined[-1] += part
-            else:
-                joined.append(part)
-        return joined
-    return out
+        parts = [_words(t) for t in texts]
+        heads = self._whole([p[0] for p in parts])
+        fresh = set(filterfalse(self.known.__contains__, chain.from_iterable(islice(p, 1, None) for p in parts)))
+        if len(self.known) + len(fresh) > CACHED_WORDS:
+            used = set(chain.from_iterable(parts))
+            self.known = {w: ids for w, ids in self.known.items() if w in used}
+        self._learn(sorted(fresh))
+        return [h + b"".join(map(self.known.__getitem__, islice(p, 1, None))) for h, p in zip(heads, parts)]
+
 
+# Printable ASCII without the space, Latin letters, and line ends inside.
+_LATIN = re.compile("[\n\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+_SPACE_SPACE = re.compile(r"\s ")
+_encoders: dict[str, Encoder] = {}  # of this Python worker; later tasks find the words known
 
-def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
+
+def _words(text: str) -> list[str]:
+    """The text cut at spaces that follow a non-space, these spaces left out."""
+    parts = text.split(" ")
+    if not _SPACE_SPACE.search(text):
+        return parts
+    joined = parts[:1]
+    for part in parts[1:]:
+        if not joined[-1] or joined[-1][-1].isspace():
+            joined[-1] += " " + part
+        else:
+            joined.append(part)
+    return joined
+
+
+def pieces(
+    documents: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, ranks: str | None = None
+) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, heads, tails): pieces of at most `length` tokens.
 
     heads and tails: checksums of a piece up to and from each multiple of `CUT_EVERY`.
     """
-    path = path or tokenizer_path()
+    path, ranks = path or tokenizer_path(), ranks or ranks_path()
     importable(documents.sparkSession)
     closing = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path, ranks))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             doc_ids = batch.column("doc_id")
