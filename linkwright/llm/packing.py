@@ -35,7 +35,7 @@ END = 1
 BIN = 16
 CUT_EVERY = 256
 CUT_COST = 0.02  # a cut is worth so much of a sequence
-RANKED_TOGETHER = 20_000
+RANKED_TOGETHER = 5_000
 CACHED_WORDS = 400_000
 
 
