@@ -69,4 +69,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""
+    WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS words FROM documents),
+    item AS (SELECT CAST(item_id AS VARCHAR) AS item, words, least(13, len(words)) AS k
+             FROM (SELECT item_id, {_ALNUM} AS words FROM benchmark) WHERE len(words) > 0 AND item_id IS NOT NULL),
+    spot AS (SELECT item, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM item),
+    win AS (SELECT DISTINCT item, k, array_to_string(words[i:i + k - 1], ' ') AS t FROM spot),
+    place AS (SELECT r, words, k, unnest(range(1, len(words) - k + 2)) AS i
+              FROM doc, (SELECT DISTINCT k FROM win) WHERE len(words) >= k),
+    dwin AS (SELECT r, k, i, array_to_string(words[i:i + k - 1], ' ') AS t FROM place),
+    hits AS (SELECT DISTINCT r, i, dwin.k AS k, item FROM dwin JOIN win ON dwin.t = win.t AND dwin.k = win.k),
+    covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+    named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+           coalesce(covered.n, 0) > 0 AND 20 * coalesce(covered.n, 0) >= len(words) AS contaminated
+    FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+    "op6_near_duplicates": rf"""
+    WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+    spot AS (SELECT doc_id, words, least(5, len(words)) AS k, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS i
+             FROM doc WHERE len(words) > 0),
+    gram AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(words[i:i + k - 1], ' ') AS t FROM spot),
+    size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM gram a JOIN gram b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS MATERIALIZED (SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS node, doc_id AS seen FROM doc UNION SELECT reach.node, link.b FROM reach JOIN link ON link.a = reach.seen)
+    SELECT doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, low AS component_id, doc_id = low AS kept
+    FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS low FROM reach GROUP BY node) USING (doc_id)""",
+    "op7_substring_dedup": r"""
+    WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+    spot AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM doc WHERE len(words) >= 50),
+    win AS MATERIALIZED (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS t FROM spot),
+    hit AS (SELECT doc_id, i FROM win JOIN (SELECT t, min(doc_id) AS low FROM win GROUP BY t) USING (t) WHERE low < doc_id),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit) GROUP BY doc_id),
+    word AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FROM doc JOIN gone USING (doc_id)),
+    flat AS (SELECT doc_id, unnest(ps) AS p FROM gone),
+    kept AS (SELECT word.doc_id, string_agg(w, ' ' ORDER BY word.p) AS s
+             FROM word LEFT JOIN flat ON flat.doc_id = word.doc_id AND flat.p = word.p WHERE flat.p IS NULL GROUP BY word.doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+           sha256(CASE WHEN ps IS NULL THEN array_to_string(words, ' ') ELSE coalesce(s, '') END) AS kept_sha256
+    FROM doc LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}

@@ -1,0 +1,267 @@
+"""The operators beside brute force, on the test documents and hard rows."""
+
+import zlib
+from collections import Counter, defaultdict
+from math import log10
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from linkwright.llm import ann, decontaminate, fuzzy_lines, language, licenses, neardup, packing, pii, substrings, suffix_lm
+
+
+def test_licences(documents, rows, nothing):
+    want = Counter()
+    for row in rows:
+        words, starts, labels = brute.alnum(row.text), [], set()
+        for template in licenses.BASE:
+            phrase = template.text.split()
+            for i in range(len(words)):
+                if words[i : i + len(phrase)] == phrase:
+                    starts.append(i)
+                    labels.add(template.label)
+        want[row.doc_id, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))] += 1
+    got = licenses.report(documents).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
+    assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels for r in got)
+    assert licenses.report(nothing).collect() == []
+
+
+def test_licence_notice_with_changes(spark):
+    notice = licenses.NOTICES[0].text.replace("a copy", "one copy")
+    docs = spark.createDataFrame([(1, "x y. " + notice.upper()), (2, notice.replace("granted free", "granted not free"))], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.report(docs).collect()}
+    assert got[1].labels == "mit" and 0.7 < got[1].score < 1 and got[1].n_base == 0
+    assert got[2].labels == "" and got[2].score == 0
+
+
+def test_decontamination(spark, sf_dir, documents, rows, nothing):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    short = spark.createDataFrame([(900, "ab"), (901, "one Two three"), (902, None), (903, "!"), (None, "a b"), (904, "ab ab ab")], "item_id bigint, text string")
+    items = items.unionByName(short).cache()
+    want = sorted(brute.contamination(rows, [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]))
+    assert sorted(map(tuple, decontaminate.report(documents, items).collect())) == want
+    # many small shards give the same as one automaton
+    sharded = decontaminate.contamination(documents, items, shard_words=300, carry=["doc_id"])
+    assert sorted((r["in"].doc_id, r.n_words, r.n_hit, len(r["items"])) for r in sharded.collect()) == [w[:4] for w in want]
+    assert decontaminate.report(nothing, items).collect() == []
+    assert not any(r.contaminated for r in decontaminate.report(documents, items.limit(0)).collect())
+    kept = decontaminate.remove_contaminated(documents, items)
+    assert kept.columns == documents.columns and kept.count() == sum(not w[-1] for w in want)
+
+
+def test_personal_data(documents, rows, nothing):
+    want = Counter()
+    for row in rows:
+        spans = brute.personal(row.text)
+        kinds = Counter(s[3] for s in spans)
+        want[(row.doc_id, *(kinds[k] for k in pii.BASE), brute.sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)))] += 1
+    got = pii.report(documents).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
+    assert pii.report(nothing).collect() == []
+
+
+@pytest.mark.parametrize("text, spans", [
+    ("a@b.co@d.com a@b.c.@e.f x@y", "email:0:6,email:13:18,email:18:23"),
+    ("1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.4", "ip:0:7,ip:8:15,ip:26:36"),
+    ("GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33", "iban:0:27"),
+    ("ssn 123-45-6789, 000-12-3456", "ssn:4:15"),
+    ("a." * 30000 + "@b" + ".c" * 20000, "email:0:100002"),
+    ("1" * 50000 + ".1.1", ""),
+])
+def test_personal_data_spans(spark, text, spans):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert pii.report(docs).first().spans == spans
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, "é write a@b.co or 10.0.0.1!"), (2, None), (3, "")], "doc_id bigint, text string")
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["é write [email] or [ip]!", None, ""]
+
+
+def test_language(documents, rows, nothing):
+    got = {r.doc_id: r for r in language.report(documents).collect()}
+    judged = [r for r in rows if r.lang and r.text and r.doc_id < 10**6 and got[r.doc_id].held_out]
+    assert sum(got[r.doc_id].lang_pred == r.lang for r in judged) >= 0.98 * len(judged) > 0
+    for row in rows:
+        assert got[row.doc_id].held_out == (zlib.crc32(str(row.doc_id).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in row.text or ""):
+            assert (got[row.doc_id].lang_pred, got[row.doc_id].score) == ("und", 0.0)
+    assert language.report(nothing).collect() == []
+    assert {r.lang_pred for r in language.identify(documents, language.learn(nothing), ["doc_id"]).collect()} == {"und"}
+
+
+def test_forward_algorithm_sums_all_segmentations():
+    pieces = language.Pieces(language.vocabulary_path())
+    chances = np.random.default_rng(0).random((pieces.size + 2, 2))
+    chances[pieces.size], chances[pieces.size + 1] = 0.0, language.UNKNOWN
+
+    def total(word):
+        if not word:
+            return 1.0
+        out = np.zeros(2)
+        for k in range(1, len(word) + 1):
+            if word[:k] in pieces.ids:
+                out = out + chances[pieces.ids[word[:k]]] * total(word[k:])
+            elif k == 1:
+                out = out + chances[pieces.size + 1] * total(word[k:])
+        return out
+
+    for word in ("▁hello", "▁été", "▁ñx☃", "▁a"):
+        assert np.allclose(pieces.log_probabilities([word], chances)[0], np.log(total(word)))
+        who, what, much = pieces.expected([word])
+        spelled = {i: p for p, i in pieces.ids.items()}
+        known = sum(c != "☃" for c in word)
+        assert np.isclose(sum(len(spelled[p]) * m for p, m in zip(what, much)), known)
+
+
+def test_near_duplicates(documents, rows, nothing):
+    want = Counter(brute.near_groups(rows))
+    assert Counter(map(tuple, neardup.groups(documents).collect())) == want
+    assert neardup.groups(nothing).collect() == []
+    kept = neardup.one_of_each(documents)
+    assert kept.columns == documents.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want.elements() if w[3])
+
+
+def test_near_duplicates_join_through_strays(spark):
+    """A chain: neighbours are alike, the ends are not, and the list's leader sits at one end."""
+    words = [f"v{i}" for i in range(400)]
+    docs = [(i, " ".join(words[10 * i : 10 * i + 200])) for i in range(15)] + [(None, " ".join(words[:200])), (99, None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in neardup.groups(frame).collect()}
+    assert {got[i].component_id for i in range(15)} == {0}
+    assert got[None].component_id is None and got[None].kept
+    assert got[99].component_id == 99 and got[99].n_shingles == 0
+
+
+def test_substrings(documents, rows, nothing):
+    assert Counter(map(tuple, substrings.report(documents).collect())) == Counter(brute.substrings(rows))
+    assert substrings.report(nothing).collect() == []
+
+
+def test_language_model(documents, rows, nothing):
+    texts = [(r.doc_id, brute.spaced(brute.lower(r.text)) + [None], zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows]
+    counts = Counter(w for _, words, held in texts if not held for w in words)
+    total, distinct = sum(counts.values()), len(counts)
+    got = defaultdict(list)
+    for r in suffix_lm.report(documents).collect():
+        got[r.doc_id].append(r)
+    for doc_id, words, held in texts:
+        row = got[doc_id].pop()
+        assert (row.held_out, row.n_tokens, row.train_tokens) == (held, len(words), total)
+        assert row.n_known == sum(counts[w] > 0 for w in words)
+        assert row.base_score == pytest.approx(sum(log10((counts[w] + 1) / (total + distinct + 1)) for w in words))
+        assert row.score < 0
+    assert suffix_lm.report(nothing).collect() == []
+
+
+def test_suffix_tree_is_a_distribution():
+    rng = np.random.default_rng(1)
+    text = rng.integers(suffix_lm.FIRST, suffix_lm.FIRST + 3, 3000)
+    text[1::2] = text[::2]  # every second symbol repeats the one before
+    symbols = np.concatenate([np.zeros(suffix_lm.DEPTH, np.int64), text, [suffix_lm.END]])
+    codes = suffix_lm.contexts(symbols) * suffix_lm.SYMBOLS + symbols[suffix_lm.DEPTH :]
+    counts = [np.unique(codes % suffix_lm.SYMBOLS ** (d + 1), return_counts=True) for d in range(suffix_lm.DEPTH + 1)]
+    tree = suffix_lm.grow(counts, ["a", "b", "c"])
+    chances = 10 ** tree.logs
+    chances[:, suffix_lm.OTHER] *= suffix_lm.CODE_POINTS
+    assert np.allclose(chances[:, 1:].sum(1), 1.0)
+    assert len(tree.logs) > 1
+    flat = suffix_lm.grow([counts[0]] + [(np.empty(0, np.int64),) * 2] * suffix_lm.DEPTH, ["a", "b", "c"])
+    places = suffix_lm.contexts(symbols), symbols[suffix_lm.DEPTH :]
+    assert tree.logs[tree.states()[places[0]], places[1]].sum() > flat.logs[flat.states()[places[0]], places[1]].sum()
+
+
+def test_fuzzy_lines(spark, documents, rows, nothing):
+    words = sorted({w for r in rows for w in brute.alnum(r.text)})
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
+    gone = brute.repeated_lines(rows, {r.w: r.h & (2**64 - 1) for r in hashed.collect()})
+    want = Counter((r.doc_id, len(r.text.split("\n")) if r.text is not None else 0, ",".join(map(str, gone[r.doc_id, r.text]))) for r in rows)
+    got = fuzzy_lines.report(documents).collect()
+    assert Counter((r.doc_id, r.n_lines, r.removed_lines) for r in got) == want
+    left = Counter()
+    for r in rows:
+        out = set(gone[r.doc_id, r.text])
+        text = r.text if r.text is None else "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in out)
+        if not out or brute.alnum(text):
+            left[r.doc_id, text] += 1
+    kept = fuzzy_lines.deduplicate(documents)
+    assert kept.columns == documents.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == left
+    assert fuzzy_lines.report(nothing).collect() == [] and fuzzy_lines.deduplicate(nothing).collect() == []
+
+
+def test_packing(documents, rows, nothing):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.tokenizer_path())
+    model.encode_special_tokens = True
+    texts = {r.doc_id: r.text for r in rows}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in packing.pack(documents).collect():
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for doc_id, text in texts.items():
+        ids = model.encode(text or "", add_special_tokens=False).ids + [1]
+        copies = 2 if doc_id == 2 * 10**6 else 1
+        at = 0
+        for r in sorted(pieces[doc_id], key=lambda r: r.start)[::copies]:
+            piece = np.array(ids[at : at + r.length], "<u4").tobytes()
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(piece))
+            at += r.length
+        assert at == len(ids)
+    padding = total = 0
+    for held in sequences.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= packing.LENGTH
+        total += at
+        padding += (packing.LENGTH - at) * (at & (at - 1) > 0)
+    assert padding <= 0.03 * total
+    assert packing.pack(nothing).collect() == []
+
+
+def test_cutting_stock_meets_every_demand():
+    rng = np.random.default_rng(5)
+    for demand in (rng.integers(0, 50, 32), np.eye(1, 32, 20, dtype=int)[0] * 1000, np.zeros(32, int)):
+        plan = packing.CuttingStock(demand, 32, [4, 8, 12, 16, 20, 24, 28])
+        served = sum((p * t for p, t in plan.patterns), np.zeros(32, int))
+        cut = sum((plan._cut_column(c) * t for c, t in plan.cuts.items()), np.zeros(32))
+        assert (served + cut == demand).all()
+        assert all((p * plan.sizes).sum() <= 32 for p, _ in plan.patterns)
+        whole = (demand * plan.sizes).sum()
+        assert sum(t for _, t in plan.patterns) <= -(-whole // 32) * 1.05 + 2
+
+
+def test_nearest_vectors(spark, sf_dir):
+    given = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    bad = [(10**6, None), (10**6 + 20, [0.0] * 64), (10**6 + 40, [None] + [1.0] * 63), (10**6 + 60, [float("nan")] * 64), (10**6 + 80, [1.0])]
+    copies = [(10**7 + i, [2.0] + [0.0] * 63) for i in range(60)]
+    hard = spark.createDataFrame(bad + copies, "vec_id bigint, embedding array<float>")
+    found = ann.report(given.unionByName(hard)).collect()
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in given.collect()} | {i: np.array(v) for i, v in copies}
+    ids = np.array(sorted(vectors))
+    matrix = np.stack([vectors[i] for i in ids])
+    got = defaultdict(list)
+    for r in found:
+        got[r.query_id].append(r)
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    hit = 0
+    for query, answers in got.items():
+        answers.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in answers] == list(range(1, 21))
+        assert [(-r.score, r.vec_id) for r in answers] == sorted((-r.score, r.vec_id) for r in answers)
+        for r in answers:
+            assert r.score == pytest.approx(float(vectors[query] @ vectors[r.vec_id]), abs=1e-12)
+        score = np.round(matrix @ vectors[query], 9)
+        score[ids == query] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -score))[:20]].tolist()) & {r.vec_id for r in answers})
+    assert hit >= 0.9 * 20 * len(got)
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [3.0, 0.0])], "vec_id bigint, embedding array<float>")
+    assert [(r.query_id, r["rank"], r.vec_id) for r in ann.report(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
+    assert ann.report(few.limit(0)).collect() == []
