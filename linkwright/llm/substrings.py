@@ -197,7 +197,8 @@ def deduplicate(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     importable(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     sketch = stored(_sketch(texts, window, gram), "sketch")
-    firsts = sketch.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
+    # stored, so that the joins with it may split a hot checksum
+    firsts = stored(sketch.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first")), "firsts")
     long = sketch.filter(F.size("anchors") > 0)
     # whole copies add nothing that the first of them does not hold
     places = long.join(firsts.withColumnRenamed("first", "doc_id"), ["sha", "doc_id"]).select("doc_id", F.explode("anchors").alias("anchor"))

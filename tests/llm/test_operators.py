@@ -109,11 +109,11 @@ def test_forward_algorithm_sums_all_segmentations():
                 out = out + chances[pieces.size + 1] * total(word[k:])
         return out
 
-    for word in ("▁hello", "▁été", "▁ñx☃", "▁a"):
+    for word in ("▁hello", "▁été", "▁ñx\U00012345", "▁a"):
         assert np.allclose(pieces.log_probabilities([word], chances)[0], np.log(total(word)))
         who, what, much = pieces.expected([word])
         spelled = {i: p for p, i in pieces.ids.items()}
-        known = sum(c != "☃" for c in word)
+        known = sum(c in pieces.ids for c in word)
         assert np.isclose(sum(len(spelled[p]) * m for p, m in zip(what, much)), known)
 
 
