@@ -62,31 +62,43 @@ def _base(comparison: Comparison) -> int:
     return next((comparison.gamma_of(x) for x in comparison.levels if x.kind == "prefix"), ELSE_LEVEL)
 
 
-def _shorter(word: Column) -> Column:
-    """All words one deletion away."""
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length(word)),
-        lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))),
-    )
-    return F.when(F.length(word) > 0, cut).otherwise(F.array().cast("array<string>"))
-
-
 def close_words(left_words: DataFrame, right_words: DataFrame, limit: int) -> DataFrame:
     """(word_l, word_r, distance) of distinct words at edit distance `limit` or less.
 
-    Two words that close share a string reachable by at most `limit` deletions from each, so an
-    equi-join on those strings finds them all; the distance is then checked.
+    A right word is cut into `limit + 1` segments of even length.  At least one of them is untouched by
+    `limit` edits, so it stands in the left word, moved by at most `limit` places; the left word offers what
+    it holds there, for each length the right word may have.  Both send a number of short keys that
+    depends on `limit` only; the distance is then checked.
     """
 
-    def reachable(words: DataFrame, name: str) -> DataFrame:
-        frame = words.select(F.col(words.columns[0]).alias(name)).filter(F.col(name).isNotNull()).distinct()
-        frame = frame.withColumn("near", F.array(F.col(name)))
-        for _ in range(limit):
-            grown = F.flatten(F.transform("near", _shorter))
-            frame = frame.withColumn("near", F.array_distinct(F.concat("near", grown)))
-        return frame.select(name, F.explode("near").alias("stem"))
+    def distinct(words: DataFrame, name: str) -> DataFrame:
+        return words.select(F.col(words.columns[0]).alias(name)).filter(F.col(name).isNotNull()).distinct()
+
+    parts = limit + 1
 
-    pairs = reachable(left_words, "word_l").join(reachable(right_words, "word_r"), "stem")
+    def segment(length: str) -> tuple[str, str]:
+        """Start and size of segment i of a word of that length: the last ones take what is over."""
+        return f"(i * ({length} div {parts}) + greatest(0, i - {parts} + {length} % {parts}))", (
+            f"({length} div {parts} + if(i >= {parts} - {length} % {parts}, 1, 0))"
+        )
+
+    start, size = segment("length(word_r)")
+    own = F.expr(
+        f"explode(transform(sequence(0, {limit}), i -> struct(length(word_r) as size, i as part,"
+        f" substring(word_r, cast({start} as int) + 1, cast({size} as int)) as segment)))"
+    )
+    start, size = segment("n")
+    offered = F.expr(
+        f"""explode(array_distinct(flatten(flatten(transform(
+            sequence(greatest(0, length(word_l) - {limit}), length(word_l) + {limit}), n -> transform(
+                sequence(0, {limit}), i -> transform(
+                    filter(sequence(-{limit}, {limit}), d -> {start} + d >= 0 and {start} + d + {size} <= length(word_l)),
+                    d -> struct(n as size, i as part,
+                                substring(word_l, cast({start} + d as int) + 1, cast({size} as int)) as segment))))))))"""
+    )
+    a = distinct(left_words, "word_l").select("word_l", offered.alias("key"))
+    b = distinct(right_words, "word_r").select("word_r", own.alias("key"))
+    pairs = a.join(b, "key")
     pairs = pairs.filter(F.abs(F.length("word_l") - F.length("word_r")) <= limit).select("word_l", "word_r").distinct()
     measured = pairs.withColumn("distance", F.levenshtein("word_l", "word_r", limit))
     return measured.filter(F.col("distance") >= 0)

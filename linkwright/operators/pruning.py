@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +48,17 @@ def allowed_levels(rule: BlockRule, comparison: Comparison) -> set[int]:
 
 def passing_levels(rule: BlockRule, model: LinkModel, threshold: float) -> dict[str, set[int]]:
     """Per comparison the levels found among combinations that reach the threshold."""
-    choices = [sorted(allowed_levels(rule, c)) for c in model.comparisons]
-    passing: dict[str, set[int]] = {c.key: set() for c in model.comparisons}
-    for levels in product(*choices):
-        weight = model.prior_weight + sum(
-            model.weight(c, g) for c, g in zip(model.comparisons, levels) if g != NULL_LEVEL
-        )
-        if 1 / (1 + 2 ** min(-weight, 1000)) >= threshold - MARGIN:
-            for c, g in zip(model.comparisons, levels):
-                passing[c.key].add(g)
+    def worth(comparison: Comparison, level: int) -> float:
+        return 0.0 if level == NULL_LEVEL else model.weight(comparison, level)
+
+    choices = {c.key: sorted(allowed_levels(rule, c)) for c in model.comparisons}
+    best = {c.key: max(worth(c, g) for g in choices[c.key]) for c in model.comparisons}
+    passing: dict[str, set[int]] = {}
+    for c in model.comparisons:
+        # beside a level, every other comparison may show its best
+        others = model.prior_weight + sum(value for key, value in best.items() if key != c.key)
+        chance = {g: 1 / (1 + 2 ** min(-(others + worth(c, g)), 1000)) for g in choices[c.key]}
+        passing[c.key] = {g for g, p in chance.items() if p >= threshold - MARGIN}
     return passing
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that keep a linkage job healthy on a large cluster.  Partition counts are left to
-# AQE: it starts from `initialPartitionNum` and merges small shuffle partitions at run time.
+# AQE, which merges and splits shuffle partitions at run time; set spark.sql.shuffle.partitions for the size.
 CLUSTER_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,6 +18,13 @@ CLUSTER_SETTINGS = {
 }
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """The same settings for a session that exists already, as on a cluster."""
+    for key, value in CLUSTER_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(app: str = "linkwright", cpus: int | str = "*", **extra: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (

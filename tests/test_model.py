@@ -62,7 +62,7 @@ def test_pattern_counts_equal_brute_force(sides, block, which):
 
 
 def test_sql_levels_are_counted_by_pairs_of_profiles(sides):
-    custom = C.comparison_custom("birth_year", [("abs(birth_year_l - birth_year_r) <= 3", "near")], "near")
+    custom = C.comparison_custom("birth_year", [("abs(birth_year_l - birth_year_r) + 0 <= 3", "near")], "near")
     assert not countable(custom)
     rows = pattern_counts(*sides, [custom], B.block_on("gender")).collect()
     want = Counter(
@@ -157,6 +157,31 @@ def test_waterfall_ends_at_the_weight(sides):
     assert both and all(math.isclose(r["match_weight"], r["running_weight"], abs_tol=1e-9) for r in both)
 
 
+def test_close_words_of_every_length(spark):
+    long = "ab" * 2500
+    words = ["", "a", "b", "ab", "ba", "abc", "acb", "xabc", "abcd", "bcd", "a" * 9, "a" * 7 + "b", long, long[:-1], "x" + long[2:], "é☃", "☃"]
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+
+    def distance(a, b):
+        if abs(len(a) - len(b)) > 2 or max(len(a), len(b)) > 100 and not (a[2:50] in b and b[2:50] in a):
+            return 9
+        above = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+            above = row
+        return above[-1]
+
+    short = [w for w in words if len(w) < 100]
+    want = {(a, b, distance(a, b)) for a in short for b in short if distance(a, b) <= 2}
+    tall = {(long, long, 0), (long, long[:-1], 1), (long[:-1], long, 1), (long[:-1], long[:-1], 0), ("x" + long[2:], "x" + long[2:], 0),
+            (long, "x" + long[2:], 2), ("x" + long[2:], long, 2)}
+    got = {tuple(r) for r in close_words(frame, frame, 2).collect()}
+    assert {g for g in got if len(g[0]) < 100} == want
+    assert tall <= {g for g in got if len(g[0]) > 100}
+
+
 @pytest.mark.parametrize("kinds", [("int", "int"), ("bigint", "int"), ("double", "double"), ("double", "int"), ("decimal(9,1)", "decimal(9,1)")])
 def test_both_ways_of_counting_agree_on_every_type(sides, kinds):
     left, right = (side.withColumn("birth_year", side["birth_year"].cast(kind)) for side, kind in zip(sides, kinds))
