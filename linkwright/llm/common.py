@@ -141,20 +141,25 @@ def thinned(frame: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return hit.select(*[F.col(f"`{c}`") for c in frame.columns])
 
 
-def crossing(postings: DataFrame, labels: DataFrame, extra: list[str]) -> DataFrame:
-    """Pairs (a, b) that a posting list holds and that its leader has not brought together.
-
-    `postings` has key, node, leader and `extra`; `labels` the components so far.  A member outside its
-    leader's component is a stray; strays meet every member of another component, the leader apart, for
-    both may be alike though neither is like the leader.
+def crossing(postings: DataFrame, labels: DataFrame, carried: list[str], alike: Column) -> DataFrame:
+    """Pairs (a, b) that a posting list holds, that its leader has not brought together, and that `alike`
+    holds for.
+
+    `postings` has key, node, leader and the `carried` columns; `alike` reads these as ``c_a`` and ``c_b``;
+    `labels` are the components so far.  A member outside its leader's component is a stray; strays meet
+    every member of another component, the leader apart, for both may be alike though neither is like the
+    leader.  Lists without strays are left out before anything is paired.
     """
-    label = labels.select(F.col("node"), F.col("component"))
+    label = labels.select("node", "component")
     known = postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
     known = known.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
     known = known.withColumn("stray", F.col("component") != F.col("lead"))
-    left = known.filter("stray").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in extra])
+    known = known.join(known.filter("stray").select("key").distinct(), "key", "left_semi")
+    left = known.filter("stray").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in carried])
     right = known.filter("node <> leader").select(
-        "key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("stray").alias("sb"), *[F.col(c).alias(f"{c}_b") for c in extra]
+        F.col("key").alias("k"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("stray").alias("sb"),
+        *[F.col(c).alias(f"{c}_b") for c in carried],
     )
-    return left.join(right, "key").filter("ca <> cb and (a < b or not sb)").drop("key", "ca", "cb", "sb")
+    apart = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | ~F.col("sb"))
+    return left.join(right, apart & alike).select("a", "b")

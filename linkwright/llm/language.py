@@ -16,12 +16,13 @@ is nothing to learn from.  Repeated rows are answered one by one; other columns
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,14 @@ WORD = 24
 SMOOTHING = 0.1
 UNKNOWN = 1e-9
 UNDECIDED = "und"
-CACHED_WORDS = 250_000
-_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+CACHED_WORDS = 500_000
+_HASH_TIMES = np.uint64(0x9E3779B97F4A7C15)
+_HASH_BITS = 18
+_HASH_SHIFT = np.uint64(64 - _HASH_BITS)
+_known: dict[str, tuple[dict[str, int], np.ndarray]] = {}  # of this Python worker, for the model used last
+SETTLED = 2_000_000  # characters between looks at the size of the counts
+_RUNS = re.compile(r"[^\W\d_]+")  # letters, and a few numerals that are dropped afterwards
+TOGETHER = 512  # documents whose new words are looked up at once
 
 
 def vocabulary_path() -> str:
@@ -42,14 +49,18 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def letter_words(text: str) -> list[str]:
-    """Lower-cased letter runs, marked at the start, cut at `WORD` letters."""
-    words = []
-    for word in _LETTERS.findall(text.lower()):
-        if len(word) <= WORD:
-            words.append("▁" + word)
+def letter_words(text: str) -> Counter:
+    """How often each lower-cased run of letters stands in a text: marked at the start, cut at `WORD` letters."""
+    words: Counter = Counter()
+    for run, times in Counter(_RUNS.findall(text.lower())).items():
+        if not run.isalpha():
+            run = "".join(filter(str.isalpha, run))
+        if len(run) <= WORD:
+            if run:
+                words["▁" + run] += times
         else:
-            words += ["▁" + word[i : i + WORD] for i in range(0, len(word), WORD)]
+            for at in range(0, len(run), WORD):
+                words["▁" + run[at : at + WORD]] += times
     return words
 
 
@@ -65,15 +76,49 @@ class Pieces:
         self.ids = {p: i for i, (p, s) in enumerate(zip(names, skip)) if not s and len(p) <= WORD + 1}
         self.size = len(names)
         self.longest = max(map(len, self.ids))
+        # Pieces by a hash of their characters, in tables that are tried one after the other.
+        hashes = {i: self._hash(p) for p, i in self.ids.items()}
+        self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        while hashes:
+            times = np.uint64((2 * len(self.tables) + 1) * 0xBF58476D1CE4E5B9 % 2**64)
+            keys, values, left = np.zeros(1 << _HASH_BITS, np.uint64), np.full(1 << _HASH_BITS, -1, np.int64), {}
+            for i, h in hashes.items():
+                slot = int((np.array([h]) * times >> _HASH_SHIFT)[0])
+                if values[slot] < 0:
+                    keys[slot], values[slot] = h, i
+                else:
+                    left[i] = h
+            self.tables.append((times, keys, values))
+            hashes = left
+
+    @staticmethod
+    def _hash(piece: str) -> np.uint64:
+        code = np.zeros(1, np.uint64)
+        for c in piece:
+            code = (code + np.uint64(ord(c) + 1)) * _HASH_TIMES
+        return code[0]
+
+    def _find(self, hashes: np.ndarray, missing: int) -> np.ndarray:
+        out = np.full(len(hashes), missing, np.int64)
+        for times, keys, values in self.tables:
+            slots = (hashes * times) >> _HASH_SHIFT
+            hit = (keys[slots] == hashes) & (values[slots] >= 0)
+            out[hit] = values[slots[hit]]
+        return out
 
     def lattice(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(start, end, piece of each word there; `size` where there is none) by end; single unknown
         characters get the piece `size + 1`."""
-        get, none, unknown = self.ids.get, self.size, self.size + 1
+        none, unknown = self.size, self.size + 1
+        letters = np.array(words, f"<U{len(words[0])}").view(np.uint32).reshape(len(words), -1).T.astype(np.uint64) + np.uint64(1)
+        begun: list[np.ndarray] = []  # hash from each start to here
         for end in range(1, len(words[0]) + 1):
+            begun.append(np.zeros(len(words), np.uint64))
             for start in range(max(0, end - self.longest), end):
-                missing = unknown if end - start == 1 else none
-                found = np.fromiter((get(w[start:end], missing) for w in words), np.int64, len(words))
+                code = begun[start]
+                code += letters[end - 1]
+                code *= _HASH_TIMES
+                found = self._find(code, unknown if end - start == 1 else none)
                 if end - start == 1 or (found != none).any():
                     yield start, end, found
 
@@ -144,11 +189,14 @@ def learn(documents: DataFrame, path: str | None = None) -> tuple[list[str], np.
                     total += np.bincount(what, much * times[who], pieces.size)
             seen.clear()
 
+        size = 0
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 seen[lang].update(letter_words(text))
-            if sum(map(len, seen.values())) > CACHED_WORDS:
-                settle()
+                size += len(text)
+                if size > SETTLED and sum(map(len, seen.values())) > CACHED_WORDS:
+                    settle()
+                    size = 0
         settle()
         for lang, total in totals.items():
             at = np.flatnonzero(total)
@@ -181,41 +229,47 @@ def identify(
     rows = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("in"), F.col("text").cast("string").alias("text")
     )
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped, mark = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, chances = shipped.value
         pieces = Pieces(path)
-        known: dict[str, int] = {}
-        scores = np.zeros((CACHED_WORDS, len(languages)))
-        for batch in batches:
-            names, values = [], []
-            for text in batch.column("text").to_pylist():
-                words = Counter(letter_words(text)) if text and languages else None
+        if mark not in _known:  # later tasks of the worker find the words known
+            _known.clear()
+            _known[mark] = {}, np.zeros((CACHED_WORDS, len(languages)))
+        known, scores = _known[mark]
+
+        def judge(texts: list[str | None]) -> Iterator[tuple[str, float]]:
+            counted = [letter_words(t) if t and languages else None for t in texts]
+            fresh = {w for words in counted if words for w in words if w not in known}
+            if len(known) + len(fresh) > CACHED_WORDS:
+                known.clear()
+                fresh = {w for words in counted if words for w in words}
+            extra: list[np.ndarray] = []  # texts with more new words than the cache holds
+            for group in _by_length(sorted(fresh)):
+                logs = pieces.log_probabilities(group, chances)
+                at = len(known)
+                known.update(zip(group, range(at, at + len(group))))
+                room = max(0, min(len(group), CACHED_WORDS - at))
+                scores[at : at + room] = logs[:room]
+                if room < len(group):
+                    extra.append(logs[room:])
+            table = np.concatenate([scores, *extra]) if extra else scores
+            for words in counted:
                 if not words:
-                    names.append(UNDECIDED)
-                    values.append(0.0)
+                    yield UNDECIDED, 0.0
                     continue
-                total = np.zeros(len(languages))
-                fresh = [w for w in words if w not in known]
-                if len(known) + len(fresh) > CACHED_WORDS:
-                    known.clear()
-                    fresh = list(words)
-                room = CACHED_WORDS - len(known)
-                for group in _by_length(fresh):
-                    logs = pieces.log_probabilities(group, chances)
-                    if room >= len(group):
-                        at = len(known)
-                        scores[at : at + len(group)] = logs
-                        known.update(zip(group, range(at, at + len(group))))
-                        room -= len(group)
-                    else:  # one text with more words than the cache holds
-                        total += np.fromiter((words.pop(w) for w in group), np.float64, len(group)) @ logs
                 at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                total += np.fromiter(words.values(), np.float64, len(words)) @ scores[at]
+                total = np.fromiter(words.values(), np.float64, len(words)) @ table[at]
                 best = int(total.argmax())
-                names.append(languages[best])
-                values.append(round(1.0 / float(np.exp(np.minimum(total - total[best], 0.0)).sum()), 6))
+                yield languages[best], round(1.0 / float(np.exp(total - total[best]).sum()), 6)
+            if extra:
+                known.clear()
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            judged = [x for low in range(0, len(texts), TOGETHER) for x in judge(texts[low : low + TOGETHER])]
+            names, values = zip(*judged) if judged else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("in"), pa.array(names, pa.string()), pa.array(values, pa.float64())],
                 names=["in", "lang_pred", "score"],

@@ -5,13 +5,15 @@
 2. Each stand-in is posted under its `COORDINATES` coordinate-value pairs.  Two alike sets collide in at
    least `MATCHES` of them, so, with pairs ordered from rare to frequent, in the first
    `COORDINATES - MATCHES + 1` of each: only this prefix is posted, and the frequent rest is skipped.
-3. Members of a posting list meet its leader (smallest id), never each other: as many pairs as postings.
-   Pairs are counted on all coordinates; those with enough collisions are compared on full sets.
-4. Members that did not join their leader's component meet the members of other components.
+3. Members of a posting list meet its leader, never each other: as many pairs as postings.  The leader is the
+   member whose coordinates are the most frequent ones, the middle of a family of near copies.  Pairs are
+   counted on all coordinates; those with enough collisions are compared on full sets.
+4. Members that did not join their leader's component meet the members of other components; the collisions
+   are counted inside the join, so only pairs with enough of them leave it.
 5. Components of the confirmed links.
 
-At similarity 0.75 a link collides in 48 of 64 coordinates on average; fewer than 28 come with odds of
-about one in 10 million.  Nothing else is lost: no list, partner or candidate is capped.
+At similarity 0.75 a link collides in 72 of 96 coordinates on average; fewer than 52 come with odds of
+about one in a million.  Nothing else is lost: no list, partner or candidate is capped.
 
 Null text, or none but white space, is an empty set, linked with nothing.  A row without doc_id is linked
 with nothing, has no component and is kept.  Rows that share a doc_id count as one document.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import WordHashes, crossing, grams, importable, map_batches, stored, thinned, utf8
@@ -32,8 +34,8 @@ from linkwright.operators.clustering import connected_components
 
 SHINGLE = 5
 SIMILAR = 75  # percent
-COORDINATES = 64
-MATCHES = 28
+COORDINATES = 96
+MATCHES = 52
 
 _rng = np.random.default_rng(20240501)
 _FLIP = _rng.integers(0, 2**32, COORDINATES, dtype=np.uint32)
@@ -62,15 +64,29 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
 def _sketch(documents: DataFrame) -> DataFrame:
     def sketch(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
         hashes = WordHashes()
-        numbers, sums, signatures = [], [], []
+        numbers, sums, signatures, packed = [], [], [], []
         for text in utf8(batch.column("text")):
             found = shingles(text, hashes)
             numbers.append(len(found))
             sums.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             signatures.append(signature(found) if len(found) else None)
-        yield {"doc_id": batch.column("doc_id"), "n_shingles": numbers, "sum": sums, "signature": signatures}
+            packed.append(signatures[-1].astype(np.uint8).view(np.int64) if len(found) else None)
+        yield {"doc_id": batch.column("doc_id"), "n_shingles": numbers, "sum": sums, "signature": signatures, "packed": packed}
 
-    return map_batches(documents, sketch, "doc_id bigint, n_shingles bigint, sum binary, signature array<int>")
+    fields = "doc_id bigint, n_shingles bigint, sum binary, signature array<int>, packed array<bigint>"
+    return map_batches(documents, sketch, fields)
+
+
+def _collide(a: str, b: str) -> Column:
+    """Whether two packed signatures (the last byte of each coordinate) agree in `MATCHES` bytes: equal
+    coordinates have equal bytes, so no pair is lost."""
+    differ = []
+    for i in range(COORDINATES // 8):
+        bits = f"({a}[{i}] ^ {b}[{i}])"
+        for step in (4, 2, 1):  # whether any bit of a byte is set, in its lowest bit
+            bits = f"({bits} | shiftrightunsigned({bits}, {step}))"
+        differ.append(f"bit_count({bits} & {0x0101010101010101}L)")
+    return F.expr(f"{' + '.join(differ)} <= {COORDINATES - MATCHES}")
 
 
 def _sets(documents: DataFrame) -> DataFrame:
@@ -87,19 +103,26 @@ def _postings(nodes: DataFrame) -> DataFrame:
     posted = nodes.select("node", F.posexplode("signature").alias("coordinate", "value")).select("node", key.alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # keys that one document holds alone come first in its order, but join nothing
-    ordered = posted.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    ordered = posted.join(shared, "key").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"), F.sum("n").alias("weight")
+    )
     left = F.size("keys") - (MATCHES - 1)
-    prefix = ordered.filter(left > 0).select("node", F.explode(F.slice("keys", F.lit(1), left)).alias("k")).select("node", "k.key")
-    leaders = prefix.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
-    return prefix.join(leaders, "key")
+    prefix = ordered.filter(left > 0).select("node", "weight", F.explode(F.slice("keys", F.lit(1), left)).alias("k")).select("node", "weight", "k.key")
+    leaders = prefix.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("top"), F.count("*").alias("n"))
+    leaders = leaders.filter("n > 1").select("key", (-F.col("top.col2")).alias("leader"))
+    return prefix.drop("weight").join(leaders, "key")
+
+
+def _colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with enough collisions."""
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
+    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
+    return pairs.filter(_collide("pa", "pb")).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are alike; `b` may be shared by many."""
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = stored(pairs.filter(same >= MATCHES).select("a", "b"), "collided")
+    pairs = stored(pairs, "collided")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
 
@@ -123,17 +146,18 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     importable(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     sketch = stored(_sketch(texts), "sketch")
-    firsts = sketch.filter("doc_id is not null and sum is not null").groupBy("sum").agg(F.min("doc_id").alias("stand_in"))
+    # stored, so that the joins with it may split a hot set
+    firsts = stored(sketch.filter("doc_id is not null and sum is not null").groupBy("sum").agg(F.min("doc_id").alias("stand_in")), "firsts")
     nodes = sketch.join(firsts.withColumnRenamed("stand_in", "doc_id"), ["sum", "doc_id"])
-    nodes = nodes.select(F.col("doc_id").alias("node"), "signature").distinct()
+    nodes = nodes.select(F.col("doc_id").alias("node"), "signature", "packed").distinct()
     postings = stored(_postings(nodes), "postings")
     wanted = postings.select(F.col("node").alias("doc_id")).distinct()
-    nodes = stored(nodes.join(wanted.withColumnRenamed("doc_id", "node"), "node"), "nodes")
+    nodes = stored(nodes.drop("signature").join(wanted.withColumnRenamed("doc_id", "node"), "node"), "nodes")
     sets = stored(_sets(thinned(texts, wanted, "doc_id").join(wanted, "doc_id")).distinct(), "sets")
     pairs = postings.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    found = _confirmed(pairs, nodes, sets)
-    more = crossing(postings, connected_components(found), []).distinct()
-    found = found.unionByName(_confirmed(more, nodes, sets))
+    found = _confirmed(_colliding(pairs, nodes), sets)
+    more = crossing(postings.join(nodes, "node"), connected_components(found), ["packed"], _collide("packed_a", "packed_b"))
+    found = found.unionByName(_confirmed(more.distinct(), sets))
     members = sketch.join(firsts, "sum", "left").select("doc_id", "n_shingles", "stand_in")
     return members, found
 
