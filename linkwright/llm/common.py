@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import linkwright
+from linkwright.operators.clustering import connected_components
 from linkwright.plans import store
 
 # Words of letters and digits are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
@@ -163,3 +164,13 @@ def crossing(postings: DataFrame, labels: DataFrame, carried: list[str], alike:
     )
     apart = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | ~F.col("sb"))
     return left.join(right, apart & alike).select("a", "b")
+
+
+def settled(links: DataFrame, more: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) from the links, and from those that `more` finds given these components."""
+    labels = stored(connected_components(links), "labels")
+    added = more(labels)
+    if added.isEmpty():
+        return labels
+    known = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(known.unionByName(added))

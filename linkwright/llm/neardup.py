@@ -29,8 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import WordHashes, crossing, grams, importable, map_batches, stored, thinned, utf8
-from linkwright.operators.clustering import connected_components
+from linkwright.llm.common import WordHashes, crossing, grams, importable, map_batches, settled, stored, thinned, utf8
 
 SHINGLE = 5
 SIMILAR = 75  # percent
@@ -138,11 +137,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(map_batches(both, compare, "a bigint, b bigint"), "links")
 
 
-def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, stand_in) per row, and confirmed links (a, b) between stand-ins.
-
-    The links connect what alike pairs connect; links inside a component are not all listed.
-    """
+def stand_ins(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, stand_in) per row, and (node, component) of the stand-ins that are linked."""
     importable(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     sketch = stored(_sketch(texts), "sketch")
@@ -156,16 +152,25 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = stored(_sets(thinned(texts, wanted, "doc_id").join(wanted, "doc_id")).distinct(), "sets")
     pairs = postings.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     found = _confirmed(_colliding(pairs, nodes), sets)
-    more = crossing(postings.join(nodes, "node"), connected_components(found), ["packed"], _collide("packed_a", "packed_b"))
-    found = found.unionByName(_confirmed(more.distinct(), sets))
+
+    posted = postings.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most the prefix
+
+    def more(labels: DataFrame) -> DataFrame:
+        # a pair that several lists hold is taken from the first of them
+        once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+        alike = _collide("packed_a", "packed_b") & once
+        members = postings.join(nodes, "node").join(posted, "node")
+        return _confirmed(crossing(members, labels, ["packed", "keys"], alike), sets)
+
+    labels = settled(found, more)
     members = sketch.join(firsts, "sum", "left").select("doc_id", "n_shingles", "stand_in")
-    return members, found
+    return members, labels
 
 
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row."""
-    members, found = links(documents)
-    labels = connected_components(found).select(F.col("node").alias("stand_in"), "component")
+    members, labels = stand_ins(documents)
+    labels = labels.select(F.col("node").alias("stand_in"), "component")
     known = members.join(labels, "stand_in", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "stand_in", "doc_id"))
     known = known.select("doc_id", "n_shingles", component.alias("component_id"))
