@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -33,6 +34,11 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
+def alnum_places(text: bytes) -> list[tuple[int, int]]:
+    """Where the words of `alnum_words` begin and end in the bytes."""
+    return [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_WORD_BYTES))]
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this package where they share the driver's path (local mode); a cluster
     installs it or gets it through --py-files."""

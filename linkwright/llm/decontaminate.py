@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import alnum_words, importable, utf8
+from linkwright.llm.common import alnum_places, alnum_words, importable, utf8
 
 WINDOW = 13
 COVERAGE = 20  # one word in so many must be hit
@@ -241,3 +241,32 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -
     """The documents that are not contaminated, with their columns as they were."""
     clean = contamination(documents, benchmark, **options).filter("not contaminated")
     return clean.select("in.*")
+
+
+def _cut(text: bytes, spans: list[dict[str, int]]) -> bytes:
+    places = alnum_places(text)
+    left, at = [], 0
+    for span in spans:
+        left.append(text[at : places[span["start"]][0]])
+        at = places[span["stop"] - 1][1]
+    return b"".join([*left, text[at:]])
+
+
+def remove_spans(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """All documents, the marked words and what stands between them cut out of their texts."""
+    names = documents.columns
+    inner = [F.col(f"in.`{c}`") if c != "text" else F.col("in.text").cast("string").alias("text") for c in names]
+    marked = contamination(documents, benchmark, **options).select(F.struct(*inner).alias("in"), "spans")
+    marked = marked.select(F.col("in.text").alias("text"), "in", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                _cut(text, spans).decode() if spans else whole
+                for text, whole, spans in zip(utf8(batch.column("text")), batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+            ]
+            columns = [pa.array(texts, f.type) if f.name == "text" else batch.column(f.name) for f in batch.schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    found = marked.mapInArrow(cut, marked.schema)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"in.`{c}`") for c in names])
