@@ -10,6 +10,8 @@
    packed largest first, on counts again.
 4. Pieces are ranked inside their bin, in parallel, and take the places the patterns offer by rank.
 
+The text of an added token (such as the end of a text) inside a document gets that token's id, as the tokenizer
+file has it.  Documents with the same number of tokens are ranked in no stated order.  A null doc_id is kept.
 Padding is what bins round up plus what patterns leave open.  A sequence whose length is a power of two
 needs none.  Null text is empty text: its only token is the end token.  Empty tables give no rows;
 repeated rows are packed each for itself; other columns are not read.
@@ -58,16 +60,19 @@ class Encoder:
     The vocabulary's splitting rule always breaks before a space that follows a non-space, so a text may be
     cut there and its parts encoded on their own.  New words are encoded many at a time: only the first
     token of a word begins with a space, so the tokens of a row of words fall apart again there.  Words of
-    Latin letters go through the faster of two libraries that hold the same vocabulary.
+    Latin letters go through the faster of two libraries that hold the same vocabulary.  Words that hold the text
+    of an added token do not: the tokenizer file has an id for it (`plain`: its characters' ids instead).
     """
 
-    def __init__(self, path: str, ranks: str) -> None:
+    def __init__(self, path: str, ranks: str, plain: bool = False) -> None:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = plain
+        added = [] if plain else [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
@@ -80,8 +85,10 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, words: list[str]) -> None:
-        rest = list(filterfalse(_LATIN.fullmatch, words))
-        plain = list(filter(_LATIN.fullmatch, words))
+        plain, rest = [], []
+        for word in words:
+            quick = _LATIN.fullmatch(word) and not (self.added and self.added.search(word))
+            (plain if quick else rest).append(word)
         for at in range(0, len(plain), 500):
             row = plain[at : at + 500]
             ids = np.array(self.quick.encode_ordinary(" " + " ".join(row)), "<u4")

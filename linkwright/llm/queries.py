@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkwright.llm import (
+    alignment,
     ann,
+    centroids,
     decontaminate,
     fuzzy_lines,
     language,
@@ -15,6 +17,7 @@ from linkwright.llm import (
     neardup,
     packing,
     pii,
+    quality,
     substrings,
     suffix_lm,
 )
@@ -61,17 +64,55 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.report(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_licenses, op2_packing, op3_decontamination, op4_personal_data, op5_language, op6_near_duplicates,
         op7_substring_dedup, op8_suffix_model, op9_fuzzy_lines, op10_nearest_vectors,
+        op11_centroids, op12_alignment, op13_quality,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _centroids_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and means one after the other, a row per vector and component."""
+    steps, near = [], "SELECT r, c, d FROM ({}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1"
+    for i in range(rounds + 1):
+        pairs = f"SELECT r, c, sum((p.x - m.x) * (p.x - m.x)) AS d FROM point p JOIN middle{i} m USING (j) GROUP BY r, c"
+        steps.append(f"near{i} AS MATERIALIZED ({near.format(pairs)})")
+        if i < rounds:
+            mean = f"SELECT c, j, floor(sum(x) / count(*)) AS x FROM near{i} JOIN point USING (r) GROUP BY c, j"
+            steps.append(f"middle{i + 1} AS MATERIALIZED (SELECT c, j, coalesce(n.x, o.x) AS x FROM middle{i} o LEFT JOIN ({mean}) n USING (c, j))")
+    return f"""
+    WITH given AS (SELECT row_number() OVER () AS r, vec_id, embedding AS v FROM embeddings WHERE len(embedding) = 64),
+    spot AS (SELECT r, vec_id, unnest(v) AS e, unnest(range(64)) AS j FROM given),
+    fine AS (SELECT r FROM spot GROUP BY r HAVING count(*) FILTER (WHERE e IS NULL OR NOT isfinite(e)) = 0),
+    point AS MATERIALIZED (SELECT r, vec_id, j, floor(256 * CAST(e AS DOUBLE)) AS x FROM spot JOIN fine USING (r)),
+    first AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c FROM given JOIN fine USING (r)),
+    middle0 AS MATERIALIZED (SELECT c, j, x FROM first JOIN point USING (r) WHERE c < {clusters}),
+    {", ".join(steps)},
+    sha AS (SELECT c, sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY j)) AS s FROM middle{rounds} GROUP BY c)
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+           CAST(sum(d) OVER () AS BIGINT) AS inertia, s AS centroid_sha256
+    FROM near{rounds} JOIN given USING (r) JOIN sha USING (c)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": f"""
     WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS words FROM documents),
@@ -101,7 +142,7 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, low AS component_id, doc_id = low AS kept
     FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS low FROM reach GROUP BY node) USING (doc_id)""",
     "op7_substring_dedup": r"""
-    WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+    WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
     spot AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM doc WHERE len(words) >= 50),
     win AS MATERIALIZED (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS t FROM spot),
     hit AS (SELECT doc_id, i FROM win JOIN (SELECT t, min(doc_id) AS low FROM win GROUP BY t) USING (t) WHERE low < doc_id),
@@ -113,4 +154,5 @@ ORACLES: dict[str, str] = {
     SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
            sha256(CASE WHEN ps IS NULL THEN array_to_string(words, ' ') ELSE coalesce(s, '') END) AS kept_sha256
     FROM doc LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_centroids": _centroids_sql(),
 }

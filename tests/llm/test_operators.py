@@ -198,7 +198,6 @@ def test_packing(documents, rows, nothing):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.tokenizer_path())
-    model.encode_special_tokens = True
     texts = {r.doc_id: r.text for r in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in packing.pack(documents).collect():
