@@ -218,11 +218,11 @@ class VectorFile:
         return fetched.mapInArrow(settle, "row bigint, cells binary, cluster int, n bigint, sums array<bigint>")
 
 
-def _corrections(moved: DataFrame) -> list:
-    """Added up by cluster and component: a bounded number of rows."""
-    each = moved.filter("row is null").select("cluster", "n", F.posexplode("sums").alias("d", "x"))
-    wide = [F.sum(F.col(c).cast("decimal(20,0)")).cast("string").alias(c) for c in ("n", "x")]
-    return each.groupBy("cluster", "d").agg(*wide).collect()
+def _corrections(moved: DataFrame, dimension: int) -> list:
+    """(cluster, n, sums) added up over the tasks: a row per cluster."""
+    wide = [F.sum(F.col("sums")[d].cast("decimal(20,0)")).cast("string") for d in range(dimension)]
+    each = moved.filter("row is null").groupBy("cluster")
+    return each.agg(F.sum(F.col("n").cast("decimal(20,0)")).cast("string").alias("n"), F.array(*wide).alias("sums")).collect()
 
 
 def fit(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, salt: str = SALT, bits: int = BITS) -> tuple[VectorFile, np.ndarray, DataFrame | None]:
@@ -239,10 +239,9 @@ def fit(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, salt
         moved = stored(file.moved(judged.filter("only < 0 or only <> cluster"), centroids), "moved")
         stay = judged.filter("only >= 0 and only = cluster").select("row", "cells", "cluster")
         state = stay.unionByName(moved.filter("row is not null").select("row", "cells", "cluster"))
-        for r in _corrections(moved):
-            sums[r["cluster"], r["d"]] += int(r["x"])
-            if r["d"] == 0:
-                sizes[r["cluster"]] += int(r["n"])
+        for r in _corrections(moved, file.dimension):
+            sums[r["cluster"]] += [int(x) for x in r["sums"]]
+            sizes[r["cluster"]] += int(r["n"])
         before, centroids = centroids, centroids.copy()
         for j in range(len(centroids)):
             if sizes[j]:
