@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkwright.operators.profiling import cell_counts
-from linkwright.operators.spread import spread_lookup
+from linkwright.operators.spread import PAIRS_PER_TASK, spread_join, spread_lookup
 from linkwright.session import cut_lineage
 
 # Up to this many (left relative, right relative) combinations a pair's relatives are simply combined.
@@ -47,20 +48,23 @@ def pair_probability_lookup(pairs: DataFrame, matches: DataFrame, left: str, rig
     return pairs.join(found, [left, right])
 
 
-def relative_corroboration(matches: DataFrame, edges: DataFrame, small_family: int = SMALL_FAMILY) -> DataFrame:
+def relative_corroboration(
+    matches: DataFrame, edges: DataFrame, small_family: int = SMALL_FAMILY, pairs_per_task: int = PAIRS_PER_TASK
+) -> DataFrame:
     """Add ``relatives_match_probability`` to (unique_id_l, unique_id_r, match_probability).
 
     For a pair (a, b): every relative x of a takes the best probability among the candidate pairs
     (x, y) with y a relative of b; the value is the mean over those x that have one.
 
-    Three ways to reach the supporting pairs, chosen per pair by the number of relatives, so that a
-    hub never meets a hub:
+    Three ways to reach the supporting pairs, chosen per pair by the work each would be:
 
     * few combinations: relatives of a times relatives of b, looked up among the matches;
-    * otherwise start from the side with fewer relatives, walk to *their* candidate partners through
-      the matches, and keep partners that are relatives of the other record.
+    * otherwise the walk from a over its relatives to *their* candidate partners, kept where these are relatives
+      of b; or the same walk from b.  A record's walk is made once, however many pairs it is in, and then met
+      with these pairs.
 
-    `edges` is symmetric and distinct; `matches` has one row per pair.
+    So a hub never meets a hub.  Ids with many pairs, many relatives or many partners are dealt over strips in
+    every join (`spread`).  `edges` is symmetric and distinct; `matches` has one row per pair.
     """
     scored = matches.select("unique_id_l", "unique_id_r", "match_probability")
     usable = scored.filter(F.col("match_probability").isNotNull())
@@ -75,41 +79,64 @@ def relative_corroboration(matches: DataFrame, edges: DataFrame, small_family: i
 
     # Each is read by several branches.
     kin_l, kin_r = cut_lineage(kin(ids_l, "l", "x")), cut_lineage(kin(ids_r, "r", "y"))
-    many_l = kin_l.groupBy("l").agg(F.count("*").alias("kin_l"))
-    many_r = kin_r.groupBy("r").agg(F.count("*").alias("kin_r"))
+    known = usable.select(F.col("unique_id_l").alias("x"), F.col("unique_id_r").alias("y"), F.col("match_probability").alias("p"))
     pairs = scored.select(F.col("unique_id_l").alias("l"), F.col("unique_id_r").alias("r"))
     number = pairs.count()
-    per_r = pairs.groupBy("r").agg(F.count("*").alias("__n"))
-    pairs = spread_lookup(pairs, many_l, ["l"], ["r"], largest=number)
-    pairs = cut_lineage(spread_lookup(pairs, many_r, ["r"], ["l"], sizes=per_r, largest=number))
-    known = usable.select(F.col("unique_id_l").alias("x"), F.col("unique_id_r").alias("y"), F.col("match_probability").alias("p"))
 
-    few = F.col("kin_l") * F.col("kin_r") <= small_family
-    small = pairs.filter(few)
-    most = number * max(small_family, 1)
-    after_x = small.groupBy("r").agg(F.sum("kin_l").alias("__n"))
-    small = spread_lookup(small, kin_l, ["l"], ["r"], largest=number)
-    small = spread_lookup(small, kin_r, ["r"], ["l", "x"], sizes=after_x, largest=most).join(known, ["x", "y"])
-    from_left = (
-        pairs.filter(~few & (F.col("kin_l") <= F.col("kin_r")))
-        .join(kin_l, "l")
-        .join(known, "x")
-        .join(kin_r, ["r", "y"], "left_semi")
-    )
-    from_right = (
-        pairs.filter(~few & (F.col("kin_l") > F.col("kin_r")))
-        .join(kin_r, "r")
-        .join(known, "y")
-        .join(kin_l, ["l", "x"], "left_semi")
-    )
-    parts = [part.select("l", "r", "x", "p") for part in (small, from_left, from_right)]
-    support = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    def reach(family: DataFrame, who: str, via: str) -> DataFrame:
+        """Per record: its relatives, and the candidate pairs that these are in."""
+        partners = known.groupBy(via).agg(F.count("*").alias("__m"))
+        met = spread_lookup(family, partners, [via], [who], rows_per_task=pairs_per_task)
+        return met.groupBy(who).agg(F.count("*").alias(f"kin_{who}"), F.sum("__m").alias(f"walk_{who}"))
+
+    per_r = pairs.groupBy("r").agg(F.count("*").alias("__n"))
+    pairs = spread_lookup(pairs, reach(kin_l, "l", "x"), ["l"], ["r"], largest=number)
+    pairs = spread_lookup(pairs, reach(kin_r, "r", "y"), ["r"], ["l"], sizes=per_r, largest=number)
+    combined, shorter = F.col("kin_l") * F.col("kin_r"), F.least("walk_l", "walk_r")
+    way = F.when((combined <= small_family) | (combined <= F.least(shorter, F.lit(1_000 * small_family))), "few")
+    pairs = cut_lineage(pairs.withColumn("way", way.when(F.col("walk_l") <= F.col("walk_r"), "left").otherwise("right")))
+    work = {r["way"]: r for r in pairs.groupBy("way").agg(
+        *[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in ("kin_l", "walk_l", "walk_r")], F.sum(combined.cast("decimal(38,0)")).cast("double").alias("combined")
+    ).collect()}
+    parts = [known.select(F.lit(None).cast(scored.schema["unique_id_l"].dataType).alias("l"), F.lit(None).cast(scored.schema["unique_id_r"].dataType).alias("r"), "x", "p").limit(0)]
+    if "few" in work:
+        met = pairs.filter("way = 'few'").select("l", "r")
+        rows, most = work["few"]["kin_l"], work["few"]["combined"]
+        met = _looked_up(met, kin_l, ["l"], ["r"], number, pairs_per_task)
+        met = _looked_up(met, kin_r, ["r"], ["l", "x"], rows, pairs_per_task)
+        parts.append(_looked_up(met, known, ["x", "y"], ["l", "r"], most, pairs_per_task).select("l", "r", "x", "p"))
+    for way, who, via, other, family, far in (("left", "l", "x", "r", kin_l, kin_r), ("right", "r", "y", "l", kin_r, kin_l)):
+        if way not in work:
+            continue
+        own = pairs.filter(F.col("way") == way).select("l", "r")
+        most = work[way][f"walk_{who}"]
+        # every walk once: (who, x, y, p)
+        starts = family.join(own.select(who).distinct(), who, "left_semi").withColumnRenamed(via, "__via")
+        ways = known.withColumn("__pair", F.xxhash64("x", "y"))
+        walk = spread_join(starts, ways, ["__via"], [via], who, "__pair", pairs_per_task=pairs_per_task, largest=int(min(most, 2.0**62)))
+        walk = cut_lineage(walk.select(F.col(who).alias("__who"), "x", "y", "p", "__pair"))
+        met = spread_join(own, walk, [who], ["__who"], other, "__pair", pairs_per_task=pairs_per_task, largest=int(min(most, 2.0**62)))
+        met = met.select("l", "r", "x", "y", "p")
+        keys = ["r", "y"] if other == "r" else ["l", "x"]
+        met = _looked_up(met, far, keys, [c for c in ("l", "r", "x", "y") if c not in keys], most, pairs_per_task, "left_semi")
+        parts.append(met.select("l", "r", "x", "p"))
+    support = reduce(DataFrame.unionByName, parts)
     best = support.groupBy("l", "r", "x").agg(F.max("p").alias("p"))
     mean = best.groupBy("l", "r").agg(F.avg("p").alias("relatives_match_probability"))
     mean = mean.withColumnsRenamed({"l": "unique_id_l", "r": "unique_id_r"})
     return scored.join(mean, ["unique_id_l", "unique_id_r"], "left")
 
 
+def _looked_up(
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_by: Sequence[str], most: float, rows_per_task: int, how: str = "inner"
+) -> DataFrame:
+    """`facts` beside the rows of `lookup`; stored first where `most` rows are enough for a heavy key, since a
+    heavy key is found by counting."""
+    if most > rows_per_task:
+        facts = cut_lineage(facts)
+    return spread_lookup(facts, lookup, keys, spread_by, how, rows_per_task, largest=int(min(most, 2.0**62)))
+
+
 def boosted_matches(corroborated: DataFrame) -> DataFrame:
     return corroborated.select("unique_id_l", "unique_id_r", "match_probability", "relatives_match_probability")
 

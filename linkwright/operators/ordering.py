@@ -1,11 +1,12 @@
-"""Running totals over sorted values without a single-task window.
+"""Running totals and positions over sorted values without a single-task window.
 
-The value range is cut at a bounded number of points.  Totals per range are prefix-summed (a handful
-of rows), and each range is then scanned on its own, so the work inside a range stays parallel.
+Values are range-partitioned, into as many ranges as their number asks for.  Totals per range are prefix-summed
+(a row per range), and each range is then summed up on its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -14,36 +15,43 @@ from pyspark.sql import functions as F
 
 from linkwright.session import cut_lineage
 
-RANGES = 256
+ROWS_PER_RANGE = 1_000_000
 
 
-def running_totals(values: DataFrame, key: str, totals: Sequence[str], ranges: int = RANGES) -> DataFrame:
-    """`values` has one row per distinct numeric `key`; adds ``before_<t>`` for every total: the sum
-    of `t` over all smaller keys.
+def running_totals(
+    values: DataFrame, key: str, totals: Sequence[str], within: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """`values` has one row per distinct `key` (per value of the `within` columns); adds ``before_<t>`` for
+    every total: the sum of `t` over all smaller keys (of the same `within`).
 
-    The values are read three times (cut points, range totals, scan), hence the checkpoint.
+    Rows are counted, cut into ranges of about `rows_per_range` by their order, and stored with the number of
+    their range.  Keys being distinct, no range outgrows the others, however often a value occurs.
     """
     values = cut_lineage(values)
-    cuts = sorted(set(values.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))))
-    if cuts:
-        points = F.array(*[F.lit(c) for c in cuts])
-        section = F.size(F.filter(points, lambda cut: cut < F.col(key)))
+    ranges = max(1, math.ceil(values.count() / rows_per_range))
+    if ranges == 1:
+        cut_up = values.withColumn("__range", F.lit(0))
     else:
-        section = F.lit(0)
-    cut_up = values.withColumn("__section", section)
-    earlier = W.orderBy("__section").rowsBetween(W.unboundedPreceding, -1)
-    # At most `ranges` rows, hence the unpartitioned window and the broadcast.
+        dealt = values.repartitionByRange(ranges, *within, key)
+        cut_up = cut_lineage(dealt.withColumn("__range", F.spark_partition_id()))
+    earlier = W.partitionBy(*within).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    # A row per range, and one more for each value of `within`.
     offsets = (
-        cut_up.groupBy("__section")
+        cut_up.groupBy(*within, "__range")
         .agg(*[F.sum(t).alias(f"__sum_{t}") for t in totals])
-        .select("__section", *[F.coalesce(F.sum(f"__sum_{t}").over(earlier), F.lit(0)).alias(f"__offset_{t}") for t in totals])
-    )
-    inside = W.partitionBy("__section").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    summed = cut_up.join(F.broadcast(offsets), "__section")
-    return summed.select(
-        *values.columns,
-        *[
-            (F.col(f"__offset_{t}") + F.coalesce(F.sum(t).over(inside), F.lit(0))).alias(f"before_{t}")
-            for t in totals
-        ],
+        .select(*within, "__range", *[F.coalesce(F.sum(f"__sum_{t}").over(earlier), F.lit(0)).alias(f"__offset_{t}") for t in totals])
     )
+    inside = W.partitionBy(*within, "__range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    summed = cut_up.select("*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"__inside_{t}") for t in totals])
+    if ranges > 1:
+        summed = summed.join(offsets, [*within, "__range"])
+    else:  # nothing lies in earlier ranges
+        summed = summed.select("*", *[F.lit(0).alias(f"__offset_{t}") for t in totals])
+    return summed.select(*values.columns, *[(F.col(f"__offset_{t}") + F.col(f"__inside_{t}")).alias(f"before_{t}") for t in totals])
+
+
+def numbered(values: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Distinct values of `key` with their position in order, from 0, as ``number``."""
+    each = values.select(key).distinct().withColumn("__one", F.lit(1).cast("bigint"))
+    placed = running_totals(each, key, ["__one"], rows_per_range=rows_per_range)
+    return placed.select(key, F.col("before___one").alias("number"))

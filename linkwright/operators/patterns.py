@@ -308,7 +308,7 @@ def pattern_counts(
     that, and without a block, counting goes through keys.  `by_keys` overrides the choice.
     `sql_columns` names columns that SQL levels read beyond the comparison's own.
     """
-    countable_here = not block.within and not block.sql and all(countable(c) for c in comparisons)
+    countable_here = block.keyed and not block.within and not block.rest and all(countable(c) for c in comparisons)
     columns = sorted({*block.columns(), *input_columns(comparisons), *sql_columns})
     a, b = _tuples(left, columns, block.equal), _tuples(right, columns, block.equal)
     if block.equal or any(c.edit_limit is not None for c in comparisons):
@@ -324,6 +324,6 @@ def pattern_counts(
         by_keys = countable_here and (not block.equal or not _few_partners(a, b, block.equal))
     if by_keys:
         return _by_keys(a, b, block.equal, comparisons, wide)
-    if not (block.equal or block.within or block.sql):
+    if not (block.equal or block.within or block.sql or block.alternatives):
         raise ValueError("these levels need a block: pairing everything with everything is not planned")
     return _by_tuples(a, b, block, comparisons, wide)

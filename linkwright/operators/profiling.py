@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkwright.operators.ordering import running_totals
+from linkwright.operators.ordering import ROWS_PER_RANGE, running_totals
 
 MAX_PIVOT = 10_000
 
@@ -89,43 +88,43 @@ def distribution_percentiles(table: DataFrame, columns: Sequence[str]) -> DataFr
     return steps.select("column_name", "frequency", "values", share.alias("cumulative_share"))
 
 
-def describe_numeric(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def describe_numeric(table: DataFrame, columns: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum; one row per column.
 
-    Quartiles are exact with linear interpolation.  Everything is derived from counts per distinct
-    value, with running totals over value ranges, so no task holds a whole column and the table is
-    read once per column.
+    Quartiles are exact with linear interpolation.  All columns go through one chain of jobs: counts per
+    distinct value, running totals over value ranges, and two aggregates, so no task holds a whole column and
+    the table is read once.
     """
-    parts = []
-    for column in columns:
-        values = table.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-        ranked = running_totals(values.groupBy("v").agg(F.count("*").alias("n")), "v", ["n"])
-        basics = ranked.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
-            F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n")).alias("mean"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-        ).first()
-        total, mean = basics["count"], basics["mean"]
-        outputs = [
-            F.lit(column).alias("column_name"),
-            F.lit(total).cast("bigint").alias("count"),
-            F.lit(mean).cast("double").alias("mean"),
-            F.sqrt(F.try_divide(F.sum(F.col("n") * F.pow(F.col("v") - F.lit(mean), 2)), F.lit(max(total - 1, 0)))).alias("std"),
-            F.lit(basics["min"]).cast("double").alias("min"),
-        ]
-        for q in (0.25, 0.5, 0.75):
-            place = max(total - 1, 0) * q
-            low, high = math.floor(place), math.ceil(place)
-
-            def at(rank: int) -> Column:
-                inside = (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
-                return F.max(F.when(inside, F.col("v")))
-
-            outputs.append((at(low) + (at(high) - at(low)) * F.lit(place - low)).alias(f"p{int(q * 100)}"))
-        outputs.append(F.lit(basics["max"]).cast("double").alias("max"))
-        parts.append(ranked.agg(*outputs))
-    return reduce(DataFrame.unionByName, parts)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+    values = table.select(F.inline(cells)).filter(F.col("v").isNotNull())
+    counts = values.groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    ranked = running_totals(counts, "v", ["n"], ["column_name"], rows_per_range)
+    basics = ranked.groupBy("column_name").agg(
+        F.sum("n").alias("rows"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+    )
+    known = ranked.join(F.broadcast(basics), "column_name")  # a row per column
+    value, last = F.col("v"), F.col("rows") - 1
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n")), value))
+
+    outputs = [F.sum(F.col("n") * F.pow(value - F.col("mean"), 2)).alias("squares")]
+    for q in QUARTILES:
+        place = last * F.lit(q)
+        outputs += [at(F.floor(place)).alias(f"low{q}"), at(F.ceil(place)).alias(f"high{q}"), F.max(place - F.floor(place)).alias(f"part{q}")]
+    summed = known.groupBy("column_name", "rows", "mean", "min", "max").agg(*outputs)
+    quartiles = [(F.col(f"`low{q}`") + (F.col(f"`high{q}`") - F.col(f"`low{q}`")) * F.col(f"`part{q}`")).alias(f"p{int(q * 100)}") for q in QUARTILES]
+    summed = summed.select(
+        "column_name", F.col("rows").alias("count"), "mean", F.sqrt(F.try_divide("squares", last)).alias("std"), "min", *quartiles, "max"
+    )
+    # a column without values has a row, too
+    names = table.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    kept = [F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"]
+    return names.join(summed, "column_name", "left").select("column_name", *kept)
 
 
 def describe_text(table: DataFrame, column: str) -> DataFrame:

@@ -46,12 +46,13 @@ def allowed_levels(rule: BlockRule, comparison: Comparison) -> set[int]:
     return reached
 
 
-def passing_levels(rule: BlockRule, model: LinkModel, threshold: float) -> dict[str, set[int]]:
-    """Per comparison the levels found among combinations that reach the threshold."""
+def passing_levels(rule: BlockRule, model: LinkModel, threshold: float, missing: frozenset[str] = frozenset()) -> dict[str, set[int]]:
+    """Per comparison the levels found among combinations that reach the threshold, given that the `missing`
+    comparisons have no value."""
     def worth(comparison: Comparison, level: int) -> float:
         return 0.0 if level == NULL_LEVEL else model.weight(comparison, level)
 
-    choices = {c.key: sorted(allowed_levels(rule, c)) for c in model.comparisons}
+    choices = {c.key: [NULL_LEVEL] if c.key in missing else sorted(allowed_levels(rule, c)) for c in model.comparisons}
     best = {c.key: max(worth(c, g) for g in choices[c.key]) for c in model.comparisons}
     passing: dict[str, set[int]] = {}
     for c in model.comparisons:
@@ -68,28 +69,47 @@ class Narrowing:
     levels: frozenset[int]
 
 
-def narrowing(rule: BlockRule, model: LinkModel, threshold: float) -> Narrowing | None:
+def narrowing(rule: BlockRule, model: LinkModel, threshold: float, missing: frozenset[str] = frozenset()) -> Narrowing | None:
     """The comparison whose agreement the threshold makes necessary, if there is one."""
-    passing = passing_levels(rule, model, threshold)
+    passing = passing_levels(rule, model, threshold, missing)
     bound = rule.columns()
     usable = [
-        c for c in model.comparisons if c.column not in bound and countable(c) and ELSE_LEVEL not in passing[c.key]
+        c for c in model.comparisons
+        if c.key not in missing and c.column not in bound and countable(c) and ELSE_LEVEL not in passing[c.key]
     ]
     order = ("edit", "equal", "within")
     usable.sort(key=lambda c: order.index(c.levels[0].kind))
     return Narrowing(usable[0], frozenset(passing[usable[0].key])) if usable else None
 
 
-def _narrow_rules(left: DataFrame, right: DataFrame, rule: BlockRule, need: Narrowing):
-    """Narrower joins (left, right, rule) whose pairs are disjoint and cover the needed levels."""
+def _narrow_rules(
+    left: DataFrame, right: DataFrame, rule: BlockRule, model: LinkModel, threshold: float, enough: float,
+    missing: frozenset[str] = frozenset(),
+):
+    """Narrower joins (left, right, rule) whose pairs are disjoint and cover the levels needed.
+
+    Where a value may be missing on one side, the next comparison that the threshold makes necessary, given that
+    this one says nothing, is asked for in turn, until one gives a key or nothing passes.  Branches of at most
+    `enough` pairs are joined as they are.
+    """
+    passing = passing_levels(rule, model, threshold, missing)
+    if not all(passing.values()):
+        return  # no combination of levels passes
+    need = narrowing(rule, model, threshold, missing)
+    if need is None:
+        yield left, right, rule
+        return
     c = need.comparison
     value = F.col(c.column)
     known_l, known_r = left.filter(value.isNotNull()), right.filter(value.isNotNull())
     close = [x for x in c.levels if x.kind != "prefix" and c.gamma_of(x) in need.levels]
     wide = next((x for x in c.levels if x.kind == "prefix" and c.gamma_of(x) in need.levels), None)
     if NULL_LEVEL in need.levels:
-        yield left.filter(value.isNull()), right, rule
-        yield known_l, right.filter(value.isNull()), rule
+        for a, b in ((left.filter(value.isNull()), right), (known_l, right.filter(value.isNull()))):
+            if int(count_rule(a, b, rule).first()["comparisons"]) > enough:
+                yield from _narrow_rules(a, b, rule, model, threshold, enough, missing | {c.key})
+            else:
+                yield a, b, rule
     reach = max((x.amount for x in close), default=None)
     if c.levels[0].kind == "equal" and close:
         yield known_l, known_r, rule.both(block_on(c.column))
@@ -128,8 +148,8 @@ def passing_pairs(
         largest = n_l * n_r
         if largest > pairs_per_task:
             largest = int(count_rule(left, right, rule).first()["comparisons"])
-        need = narrowing(rule, model, threshold) if largest > max(pairs_per_task, partners * (n_l + n_r)) else None
-        joins = _narrow_rules(left, right, rule, need) if need else [(left, right, rule)]
+        enough = max(pairs_per_task, partners * (n_l + n_r))
+        joins = _narrow_rules(left, right, rule, model, threshold, enough) if largest > enough else [(left, right, rule)]
         for a, b, narrow in joins:
             carried = sorted({*needed, *narrow.columns()})
             # Bands hold up to three times the pairs within the tolerance.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkwright.operators.blocking import PAIRS_PER_TASK, multi_pass_blocking, self_pairing
 from linkwright.operators.comparison import gamma_vectors, input_columns
-from linkwright.operators.model import LinkModel, LinkSettings, initial_model, probability
+from linkwright.operators.model import DEFAULT_PRIOR, LinkModel, LinkSettings, initial_model, probability
 from linkwright.operators.pruning import passing_pairs
 
 ID_PAIR = ("unique_id_l", "unique_id_r")
@@ -54,7 +54,7 @@ def predict(
     With a threshold, rules that would offer records very many partners are narrowed to what can
     still pass.
     """
-    if threshold is None or any(rule.sql for rule in settings.rules):
+    if threshold is None or not all(rule.keyed for rule in settings.rules):
         return score_gammas(candidate_gammas(left, right, settings, pairs_per_task, carry), model, threshold)
     columns = [*input_columns(settings.comparisons), *settings.columns, *carry]
     pairs = passing_pairs(left, right, settings.rules, columns, model, threshold, pairs_per_task)
@@ -62,8 +62,11 @@ def predict(
     return score_gammas(gamma_vectors(pairs, settings.comparisons, [*ID_PAIR, "match_key", *kept]), model, threshold)
 
 
-def predict_untrained(left: DataFrame, right: DataFrame, settings: LinkSettings, threshold: float | None = 0.2) -> DataFrame:
-    return predict(left, right, settings, initial_model(settings.comparisons), threshold)
+def predict_untrained(
+    left: DataFrame, right: DataFrame, settings: LinkSettings, threshold: float | None = 0.2, prior: float = DEFAULT_PRIOR
+) -> DataFrame:
+    """Predictions under initial parameters; under the default prior few pairs or none reach the threshold."""
+    return predict(left, right, settings, initial_model(settings.comparisons, prior), threshold)
 
 
 def top_scored_pairs(predictions: DataFrame, n: int) -> DataFrame:
@@ -89,11 +92,18 @@ def unlinkables_curve(records: DataFrame, model: LinkModel) -> DataFrame:
     )
 
 
-def weight_waterfall_table(predictions: DataFrame, model: LinkModel) -> DataFrame:
+def weight_waterfall_table(
+    predictions: DataFrame, model: LinkModel, records: Sequence[str] | None = None, chosen: DataFrame | None = None
+) -> DataFrame:
     """Per pair the steps from the prior to the final weight.
 
-    The number of steps is fixed, so running totals are sums of columns: no shuffle, no window.
+    `records`: only pairs that one of these ids is in; `chosen`: only pairs whose (unique_id_l, unique_id_r) it
+    holds.  Both choose before anything is unfolded.  The number of steps is fixed, so running totals are sums of columns: no shuffle, no window.
     """
+    if records is not None:
+        predictions = predictions.filter(F.col(ID_PAIR[0]).isin(*records) | F.col(ID_PAIR[1]).isin(*records))
+    if chosen is not None:
+        predictions = predictions.join(chosen.select(*ID_PAIR).distinct(), list(ID_PAIR), "left_semi")
     steps = [F.struct(F.lit(0).alias("step"), F.lit("prior").alias("term"), F.lit(None).cast("int").alias("level"),
                       F.lit(model.prior_weight).alias("contribution"), F.lit(model.prior_weight).alias("running_weight"))]
     running = F.lit(model.prior_weight)

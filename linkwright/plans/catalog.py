@@ -19,12 +19,12 @@ from linkwright.operators.model import (
 )
 from linkwright.plans import views
 from linkwright.plans.oracle_sql import (
-        GAMMAS,
+    GAMMAS,
     LEVELS,
     PAIR_IDS,
     RULE_NAME,
     RULE_RANGE,
-    sample_part,
+    sample_parts,
     u_part,
     scored_part,
     trained_weight,
@@ -488,7 +488,25 @@ def _(spark, sf_dir):
     return rounded(B.cartesian_size(*records(spark, sf_dir)))
 
 
-@query("C10_random_pair_sample", with_parts("SELECT unique_id_l, unique_id_r FROM drawn", "lft", "rgt", extra={"drawn": sample_part(20_000)}))
+# Rules as SQL text, with brackets, `or` and `not`.
+NESTED = (
+    "l.nysiis_last_name = r.nysiis_last_name and (l.gender = r.gender or l.norm_race = r.norm_race)",
+    "(l.norm_first_name = r.norm_first_name and not (l.gender <> r.gender or l.norm_race <> r.norm_race)) "
+    "or (l.norm_occupation = r.norm_occupation and l.norm_race = r.norm_race and abs(l.birth_year - r.birth_year) <= 3)",
+)
+NESTED_PAIRS = {
+    "nested": f"""
+        SELECT {PAIR_IDS}, CASE WHEN {NESTED[0]} THEN 0 ELSE 1 END AS match_key
+        FROM lft l JOIN rgt r ON ({NESTED[0]}) OR ({NESTED[1]})"""
+}
+
+
+@query("C4_multi_pass_blocking_sql", with_parts("SELECT unique_id_l, unique_id_r, match_key FROM nested", "lft", "rgt", extra=NESTED_PAIRS))
+def _(spark, sf_dir):
+    return B.multi_pass_blocking(*records(spark, sf_dir), [B.sql_rule(x) for x in NESTED]).select(*IDS, "match_key")
+
+
+@query("C10_random_pair_sample", with_parts("SELECT unique_id_l, unique_id_r FROM drawn", "lft", "rgt", extra=sample_parts(20_000, "drawn")))
 def _(spark, sf_dir):
     return B.random_pair_sample(*records(spark, sf_dir), 20_000)
 
@@ -567,7 +585,19 @@ def _(spark, sf_dir):
     return rounded(training.estimate_prior(*records(spark, sf_dir), DETERMINISTIC, 0.9), 9)
 
 
-@query("D7_estimate_u_sampled", with_parts("SELECT comparison, level, round(u, 6) AS u FROM u_est", "sampled_few", extra={"u_est": u_part("sampled_few")}))
+@query(
+    "D6_estimate_prior_rules",
+    with_parts(
+        """SELECT CAST(n AS DOUBLE) AS rule_pairs, CAST(whole AS DOUBLE) AS all_pairs, round(n / 0.9::DOUBLE / whole, 9) AS prior
+           FROM (SELECT (SELECT count(*) FROM nested) AS n, (SELECT count(*) FROM lft) * (SELECT count(*) FROM rgt) AS whole)""",
+        "lft", "rgt", extra=NESTED_PAIRS,
+    ),
+)
+def _(spark, sf_dir):
+    return rounded(training.estimate_prior(*records(spark, sf_dir), [B.sql_rule(x) for x in NESTED], 0.9), 9)
+
+
+@query("D7_estimate_u_sampled", with_parts("SELECT comparison, level, round(u, 6) AS u FROM u_est", "sampled", extra={"u_est": u_part()}))
 def _(spark, sf_dir):
     rates = training.estimate_u(*records(spark, sf_dir), COMPARISONS)
     return rounded(training.u_table(spark, rates))
@@ -624,8 +654,19 @@ def _(spark, sf_dir):
     return rounded(scoring.predict_untrained(*records(spark, sf_dir), SETTINGS, THRESHOLD))
 
 
+# A prior under which untrained pairs pass.
+LIKELY = 0.05
+
+
 @query(
-    "D12_cluster_at_threshold",
+    "D11_predict_untrained_likely",
+    with_parts(f"SELECT {PREDICTION_COLUMNS} FROM scored", "blocked", extra={"scored": scored_part("blocked", weight_sql(INITIAL_RATES, LIKELY), THRESHOLD)}),
+)
+def _(spark, sf_dir):
+    return rounded(scoring.predict_untrained(*records(spark, sf_dir), SETTINGS, THRESHOLD, LIKELY))
+
+
+CLUSTERS_SQL = (
     with_parts(
         """SELECT min(seen) AS cluster_id, source_dataset, unique_id FROM reach JOIN nodes USING (node)
            GROUP BY source_dataset, unique_id""",
@@ -638,8 +679,16 @@ def _(spark, sf_dir):
                        UNION ALL SELECT 'right:' || unique_id_r, 'left:' || unique_id_l FROM scored WHERE match_probability >= 0.5""",
             "reach": "SELECT node, node AS seen FROM nodes UNION SELECT reach.node, ties.b FROM reach JOIN ties ON ties.a = reach.seen",
         },
-    ),
+    )
 )
+
+
+@query("D12_cluster_at_threshold", CLUSTERS_SQL)
+def _(spark, sf_dir):
+    return clustering.cluster_at_threshold(stored_predictions(spark, sf_dir), 0.5, *records(spark, sf_dir))
+
+
+@query("D12_cluster_records", CLUSTERS_SQL)
 def _(spark, sf_dir):
     return clustering.cluster_records(*records(spark, sf_dir), SETTINGS, STATED, 0.5)
 
@@ -716,6 +765,16 @@ def _(spark, sf_dir):
     return rounded(scoring.weight_waterfall_table(predictions(spark, sf_dir), STATED))
 
 
+@query(
+    "D17_weight_waterfall_chosen",
+    with_parts(f"{_waterfall_sql()} SEMI JOIN truth_ids ON unique_id_l = id_1870 AND unique_id_r = id_1880", "blocked", "truth_ids", extra=SCORED),
+)
+def _(spark, sf_dir):
+    """The waterfall of the pairs that the truth table names."""
+    chosen = truth(spark, sf_dir).select(F.col("id_1870").alias("unique_id_l"), F.col("id_1880").alias("unique_id_r"))
+    return rounded(scoring.weight_waterfall_table(predictions(spark, sf_dir), STATED, chosen=chosen))
+
+
 GAMMA_NAMES = ", ".join(f"gamma_{n}" for n in LEVELS)
 
 
@@ -798,6 +857,19 @@ def _(spark, sf_dir):
     return rounded(B.cumulative_comparisons(*records(spark, sf_dir), RULES))
 
 
+@query(
+    "E3_cumulative_comparisons_sql",
+    with_parts(
+        """SELECT CAST(match_key AS INTEGER) AS match_key, CAST(n AS DOUBLE) AS new_comparisons,
+                  CAST(sum(n) OVER (ORDER BY match_key) AS DOUBLE) AS cumulative_comparisons
+           FROM (SELECT match_key, count(*) AS n FROM nested GROUP BY ALL)""",
+        "lft", "rgt", extra=NESTED_PAIRS,
+    ),
+)
+def _(spark, sf_dir):
+    return rounded(B.cumulative_comparisons(*records(spark, sf_dir), [B.sql_rule(x) for x in NESTED])).drop("rule")
+
+
 @query(
     "E4_reduction_ratio",
     with_parts(

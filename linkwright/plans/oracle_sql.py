@@ -90,6 +90,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+# The two blocking rules of the linkage, and below the levels of its comparisons.
 RULE_NAME = "l.norm_first_name = r.norm_first_name AND l.nysiis_last_name = r.nysiis_last_name"
 RULE_RANGE = "l.norm_race = r.norm_race AND l.gender = r.gender AND abs(l.birth_year - r.birth_year) <= 5"
 PAIR_IDS = "l.unique_id AS unique_id_l, r.unique_id AS unique_id_r"
@@ -122,17 +123,33 @@ PARTS["blocked"] = (
 BUCKET = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
 
 
-def sample_part(max_pairs: int) -> str:
-    """Random pairs by hash bucket."""
-    buckets = f"greatest(1, CAST(ceil((SELECT count(*) FROM lft) * (SELECT count(*) FROM rgt) / {max_pairs}) AS BIGINT))"
+def _sample(max_pairs: int) -> tuple[str, str, str]:
+    """Random pairs by hash bucket, cut to the smallest hashes of both ids."""
+    whole = "(SELECT count(*) FROM lft) * (SELECT count(*) FROM rgt)"
     h_l, h_r = BUCKET.format("l.unique_id"), BUCKET.format("r.unique_id")
+    mark = BUCKET.format("l.unique_id || '|' || r.unique_id")
+    # A quarter more pairs than asked for are drawn, halving the buckets until they suffice.
+    first = f"greatest(1, CAST(floor({whole} / ({max_pairs} * 1.25::DOUBLE)) AS BIGINT))"
     return f"""
-    SELECT {PAIR_IDS}, {GAMMAS} FROM lft l JOIN rgt r ON {h_l} % (SELECT {buckets}) = {h_r} % (SELECT {buckets})"""
+    SELECT * EXCLUDE (place) FROM (
+        SELECT {PAIR_IDS}, {GAMMAS}, row_number() OVER (ORDER BY {mark}, l.unique_id, r.unique_id) AS place
+        FROM lft l JOIN rgt r ON {h_l} % (SELECT b FROM enough) = {h_r} % (SELECT b FROM enough))
+    WHERE place <= {max_pairs}""", f"""
+    SELECT max(b) AS b FROM (
+        SELECT b, sum(n_l * n_r) AS n FROM
+          (SELECT b, {BUCKET.format('unique_id')} % b AS k, count(*) AS n_l FROM lft, tries GROUP BY ALL)
+          JOIN (SELECT b, {BUCKET.format('unique_id')} % b AS k, count(*) AS n_r FROM rgt, tries GROUP BY ALL) USING (b, k) GROUP BY b)
+    WHERE n >= {max_pairs} OR b = 1""", f"SELECT DISTINCT greatest(1, {first} // (1 << i)) AS b FROM range(0, 6) t(i)"
 
 
-PARTS["sampled"] = (("lft", "rgt"), sample_part(1_000_000))
-# few enough for the smallest tables to be sampled, too
-PARTS["sampled_few"] = (("lft", "rgt"), sample_part(50_000))
+def sample_parts(max_pairs: int, name: str = "sampled") -> dict[str, str]:
+    """Common table expressions for the sample, in order."""
+    pairs, enough, tries = (text.replace("FROM enough", f"FROM {name}_enough").replace(", tries", f", {name}_tries") for text in _sample(max_pairs))
+    return {f"{name}_tries": tries, f"{name}_enough": enough, name: pairs}
+
+
+for _name, _text in sample_parts(1_000_000).items():
+    PARTS[_name] = ({"sampled_tries": ("lft", "rgt"), "sampled_enough": ("sampled_tries",), "sampled": ("sampled_enough",)}[_name], _text)
 
 
 def with_parts(select: str, *needed: str, extra: dict[str, str] | None = None) -> str:

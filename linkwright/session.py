@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,15 @@ def local_session(app: str = "linkwright", cpus: int | str = "*", **extra: str)
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where they share the driver's path (local mode); a cluster
+    installs it or gets it through --py-files."""
+    root = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

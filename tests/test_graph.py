@@ -42,6 +42,32 @@ def test_components_equal_union_find(spark, shape, monkeypatch):
 
 
 spread = clustering.spread_lookup
+kinship_join = kinship.spread_join
+
+
+@pytest.mark.parametrize("forests", [True, False])
+def test_a_long_chain_over_many_partitions(spark, forests):
+    rng = random.Random(1)
+    order = list(range(3000))
+    rng.shuffle(order)
+    edges = [(order[i], order[i + 1]) for i in range(2999) if i != 1500] + [(5000, 5001), (7, 7)]
+    rng.shuffle(edges)
+    frame = spark.createDataFrame(edges, "a int, b int").repartition(8)
+    got = {r["node"]: r["component"] for r in clustering.connected_components(frame, forests=forests).collect()}
+    assert got == components([e for e in edges if e[0] != e[1]])
+    assert clustering.connected_components(frame).schema["node"].dataType.simpleString() == "int"
+
+
+def test_forests_span_what_they_are_given():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 50, 400):
+        a, b = rng.integers(0, n, (2, n // 2 + 1)) * 1000
+        child, root = clustering.spanning_forest(a, b)
+        want = components([(x, y) for x, y in zip(a.tolist(), b.tolist())])
+        assert dict(zip(child.tolist(), root.tolist())) == {x: r for x, r in want.items() if x != r}
+        assert len(set(child.tolist())) == len(child)
 
 
 def test_clusters_from_records_equal_clusters_from_pairs(spark):
@@ -71,9 +97,9 @@ def corroboration(matches, edges):
     return out
 
 
-@pytest.mark.parametrize("small_family", [0, 3, 400])
+@pytest.mark.parametrize("small_family, budget", [(0, 10**6), (0, 4), (3, 10**6), (3, 9), (400, 10**6), (400, 5)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_corroboration_equals_its_definition(spark, small_family, seed):
+def test_corroboration_equals_its_definition(spark, small_family, budget, seed):
     rng = random.Random(seed)
     left, right = [f"l{i}" for i in range(14)], [f"r{i}" for i in range(14)]
     matches = [(l, r, rng.choice([round(rng.random(), 3), None]) if rng.random() < 0.1 else round(rng.random(), 3))
@@ -82,7 +108,7 @@ def test_corroboration_equals_its_definition(spark, small_family, seed):
     edges += [("l0", x) for x in left[1:]] + [("r0", y) for y in right[1:9]] + [("l1", "r1")]
     frame = spark.createDataFrame(matches, "unique_id_l string, unique_id_r string, match_probability double")
     links = kinship.symmetric_edges(spark.createDataFrame(edges, "subject_id string, object_id string"))
-    rows = kinship.relative_corroboration(frame, links, small_family).collect()
+    rows = kinship.relative_corroboration(frame, links, small_family, budget).collect()
     want = corroboration(matches, edges)
     assert len(rows) == len(matches)
     for r in rows:
@@ -91,6 +117,32 @@ def test_corroboration_equals_its_definition(spark, small_family, seed):
         assert (value is None and got is None) or math.isclose(value, got, abs_tol=1e-12)
 
 
+def test_a_hub_on_both_sides(spark, monkeypatch):
+    """Everybody is related to the hubs, and the hubs are in many pairs; hub keys are joined on strips."""
+    rng = random.Random(4)
+    left, right = [f"l{i}" for i in range(40)], [f"r{i}" for i in range(40)]
+    matches = [("l0", r, round(rng.random(), 3)) for r in right] + [(l, "r0", round(rng.random(), 3)) for l in left[1:]]
+    matches += [(l, r, round(rng.random(), 3)) for l in left[1:] for r in right[1:] if rng.random() < 0.15]
+    edges = [("l0", x) for x in left[1:]] + [("r0", y) for y in right[1:]] + [("l1", x) for x in left[2:30]]
+    frame = spark.createDataFrame(matches, "unique_id_l string, unique_id_r string, match_probability double")
+    links = kinship.symmetric_edges(spark.createDataFrame(edges, "subject_id string, object_id string"))
+    plans = []
+
+    def noted(*given, **named):
+        plans.append(kinship_join(*given, **named))
+        return plans[-1]
+
+    monkeypatch.setattr(kinship, "spread_join", noted)
+    found = kinship.relative_corroboration(frame, links, small_family=0, pairs_per_task=60)
+    want = corroboration(matches, edges)
+    for r in found.collect():
+        value, got = want.pop((r["unique_id_l"], r["unique_id_r"])), r["relatives_match_probability"]
+        assert (value is None and got is None) or math.isclose(value, got, abs_tol=1e-12)
+    assert not want
+    # both walks, and their meeting with the pairs, are on strips
+    assert len(plans) == 4 and all("__col" in p._jdf.queryExecution().analyzed().toString() for p in plans)
+
+
 def test_unmatched_relatives_do_not_count_as_zero(spark):
     matches = [("a", "b", 0.5), ("x1", "y", 0.9)]
     edges = [("a", "x1"), ("a", "x2"), ("b", "y")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.functions.scalars import bin_of, even_edges
 from linkwright.operators import evaluation, profiling
-from linkwright.operators.ordering import running_totals
+from linkwright.operators.ordering import numbered, running_totals
 
 
 def labelled(spark, rows):
@@ -87,12 +87,41 @@ def test_running_totals_over_many_ranges(spark):
     rng = random.Random(8)
     values = sorted({round(rng.random(), 5) for _ in range(2000)})
     frame = spark.createDataFrame([(v, i % 7) for i, v in enumerate(values)], "v double, n int")
-    total, rows = 0, running_totals(frame, "v", ["n"], ranges=16).orderBy("v").collect()
+    total, rows = 0, running_totals(frame, "v", ["n"], rows_per_range=130).orderBy("v").collect()
     for r in rows:
         assert r["before_n"] == total
         total += r["n"]
 
 
+def test_running_totals_within_groups_and_positions(spark):
+    rng = random.Random(3)
+    cells = sorted({(rng.choice("abc"), rng.randrange(900)) for _ in range(700)} | {("d", 1)})
+    frame = spark.createDataFrame([(g, v, v % 5 + 1) for g, v in cells], "g string, v int, n int")
+    for rows_per_range in (40, 10**6):
+        totals = dict.fromkeys("abcd", 0)
+        for r in running_totals(frame, "v", ["n"], ["g"], rows_per_range).orderBy("g", "v").collect():
+            assert r["before_n"] == totals[r["g"]]
+            totals[r["g"]] += r["n"]
+        names = numbered(frame.selectExpr("concat(g, v) as name"), "name", rows_per_range).collect()
+        assert [r["name"] for r in sorted(names, key=lambda r: r["number"])] == sorted({f"{g}{v}" for g, v in cells})
+        assert sorted(r["number"] for r in names) == list(range(len(names)))
+
+
+def test_one_value_holds_most_rows(spark):
+    rng = random.Random(6)
+    rows = [(i % 2, 0.5 if i % 10 else round(rng.random(), 4)) for i in range(3000)]
+    assert math.isclose(evaluation.roc_auc(labelled(spark, rows)).first()[0], auc(rows), abs_tol=1e-12)
+    values = [7.0] * 2500 + [round(rng.random() * 20, 3) for _ in range(301)]
+    frame = spark.createDataFrame([(v, None, -v, int(v)) for v in values], "v double, none double, w double, i int")
+    got = {r["column_name"]: r for r in profiling.describe_numeric(frame, ["v", "none", "w", "i"], rows_per_range=50).collect()}
+    for name, own in (("v", values), ("w", [-v for v in values]), ("i", [float(int(v)) for v in values])):
+        r = got[name]
+        assert [r["p25"], r["p50"], r["p75"]] == pytest.approx(statistics.quantiles(own, n=4, method="inclusive"))
+        assert (r["count"], r["min"], r["max"]) == (len(own), min(own), max(own))
+        assert math.isclose(r["std"], statistics.stdev(own)) and math.isclose(r["mean"], statistics.fmean(own))
+    assert tuple(got["none"])[1:] == (0, None, None, None, None, None, None, None)
+
+
 def test_describe_numeric_interpolates(spark):
     values = [5, 1, 9, 9, 2, 7, None]
     row = profiling.describe_numeric(spark.createDataFrame([(v,) for v in values], "v int"), ["v"]).first()
