@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import linkwright
 from linkwright.operators.clustering import connected_components
+from linkwright.operators.spread import spread_join
 from linkwright.plans import store
+from linkwright.session import importable
 
 # Words of letters and digits are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -39,15 +38,6 @@ def alnum_places(text: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_WORD_BYTES))]
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where they share the driver's path (local mode); a cluster
-    installs it or gets it through --py-files."""
-    root = str(Path(linkwright.__file__).resolve().parent.parent)
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -128,6 +118,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 FILTER_BITS = 1 << 23
+PAIRS_IN_TASK = 500_000  # pairs of a posting list beyond which it is laid out on a grid
 
 
 def thinned(frame: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
@@ -155,28 +146,29 @@ def crossing(postings: DataFrame, labels: DataFrame, carried: list[str], alike:
     `postings` has key, node, leader and the `carried` columns; `alike` reads these as ``c_a`` and ``c_b``;
     `labels` are the components so far.  A member outside its leader's component is a stray; strays meet
     every member of another component, the leader apart, for both may be alike though neither is like the
-    leader.  Lists without strays are left out before anything is paired.
+    leader.  Lists without strays are left out before anything is paired; long lists are laid out on a grid.
     """
     label = labels.select("node", "component")
     known = postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
     known = known.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
     known = known.withColumn("stray", F.col("component") != F.col("lead"))
-    known = known.join(known.filter("stray").select("key").distinct(), "key", "left_semi")
-    left = known.filter("stray").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in carried])
-    right = known.filter("node <> leader").select(
+    strays = stored(known.filter("stray").drop("stray", "lead", "leader"), "strays")
+    others = known.filter("node <> leader").join(strays.select("key").distinct(), "key", "left_semi")
+    left = strays.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in carried])
+    right = stored(others, "others").select(
         F.col("key").alias("k"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("stray").alias("sb"),
         *[F.col(c).alias(f"{c}_b") for c in carried],
     )
-    apart = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | ~F.col("sb"))
-    return left.join(right, apart & alike).select("a", "b")
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | ~F.col("sb"))
+    return spread_join(left, right, ["key"], ["k"], "a", "b", apart & alike, PAIRS_IN_TASK).select("a", "b")
 
 
-def settled(links: DataFrame, more: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def settled(links: DataFrame, more: Callable[[DataFrame], DataFrame], forests: bool = True) -> DataFrame:
     """(node, component) from the links, and from those that `more` finds given these components."""
-    labels = stored(connected_components(links), "labels")
+    labels = stored(connected_components(links, forests=forests), "labels")
     added = more(labels)
     if added.isEmpty():
         return labels
     known = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return connected_components(known.unionByName(added))
+    return connected_components(known.unionByName(added), forests=forests)

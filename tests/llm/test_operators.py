@@ -176,9 +176,7 @@ def test_suffix_tree_is_a_distribution():
 
 
 def test_fuzzy_lines(spark, documents, rows, nothing):
-    words = sorted({w for r in rows for w in brute.alnum(r.text)})
-    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
-    gone = brute.repeated_lines(rows, {r.w: r.h & (2**64 - 1) for r in hashed.collect()})
+    gone = brute.repeated_lines(rows, brute.line_keys(spark, rows))
     want = Counter((r.doc_id, len(r.text.split("\n")) if r.text is not None else 0, ",".join(map(str, gone[r.doc_id, r.text]))) for r in rows)
     got = fuzzy_lines.report(documents).collect()
     assert Counter((r.doc_id, r.n_lines, r.removed_lines) for r in got) == want
