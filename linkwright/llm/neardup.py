@@ -8,20 +8,24 @@
 3. Members of a posting list meet its leader, never each other: as many pairs as postings.  The leader is the
    member whose coordinates are the most frequent ones, the middle of a family of near copies.  Pairs are
    counted on all coordinates; those with enough collisions are compared on full sets.
-4. Members that did not join their leader's component meet the members of other components; the collisions
-   are counted inside the join, so only pairs with enough of them leave it.
+4. Members that did not join their leader's component meet the members of other components, long lists on a
+   grid.  A pair that several lists hold is taken from the most frequent of them, which the keys that follow in
+   each member's order tell; sizes and collisions are compared inside the join, so only pairs that may be
+   alike leave it.
 5. Components of the confirmed links.
 
 At similarity 0.75 a link collides in 72 of 96 coordinates on average; fewer than 52 come with odds of
 about one in a million.  Nothing else is lost: no list, partner or candidate is capped.
 
 Null text, or none but white space, is an empty set, linked with nothing.  A row without doc_id is linked
-with nothing, has no component and is kept.  Rows that share a doc_id count as one document.
+with nothing, has no component and is kept.  Rows that share a doc_id are one document: equal texts count once,
+of unlike texts each links it.  Two texts of any length are compared on their full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +92,22 @@ def _collide(a: str, b: str) -> Column:
     return F.expr(f"{' + '.join(differ)} <= {COORDINATES - MATCHES}")
 
 
+def _fitting(a: str, b: str) -> Column:
+    """Sets whose sizes differ more than this cannot be alike."""
+    return F.expr(f"100 * least({a}, {b}) >= {SIMILAR} * greatest({a}, {b})")
+
+
+LAST = 4  # of the keys that follow, looked at first
+
+
+def _not_later(keys: str = "later") -> Column:
+    """Whether two members of a list meet in no later one.  Lists come in the order of their length: the longest ones,
+    which most pairs of a family share, are looked at first."""
+    last = [F.coalesce(F.col(f"last{i}_a").isin(*[F.col(f"last{j}_b") for j in range(LAST)]), F.lit(False)) for i in range(LAST)]
+    quick = ~reduce(lambda x, y: x | y, last)
+    return quick & ~F.arrays_overlap(f"{keys}_a", f"{keys}_b")
+
+
 def _sets(documents: DataFrame) -> DataFrame:
     def build(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
         hashes = WordHashes()
@@ -97,7 +117,7 @@ def _sets(documents: DataFrame) -> DataFrame:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(key, node, leader) of the lists that at least two prefixes share."""
+    """(key, node, leader, n) of the lists that at least two prefixes share, with their length."""
     key = F.col("coordinate").cast("bigint") * (1 << 32) + F.col("value").cast("bigint").bitwiseAND(F.lit((1 << 32) - 1))
     posted = nodes.select("node", F.posexplode("signature").alias("coordinate", "value")).select("node", key.alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -108,15 +128,15 @@ def _postings(nodes: DataFrame) -> DataFrame:
     left = F.size("keys") - (MATCHES - 1)
     prefix = ordered.filter(left > 0).select("node", "weight", F.explode(F.slice("keys", F.lit(1), left)).alias("k")).select("node", "weight", "k.key")
     leaders = prefix.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("top"), F.count("*").alias("n"))
-    leaders = leaders.filter("n > 1").select("key", (-F.col("top.col2")).alias("leader"))
+    leaders = leaders.filter("n > 1").select("key", (-F.col("top.col2")).alias("leader"), "n")
     return prefix.drop("weight").join(leaders, "key")
 
 
 def _colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) with enough collisions."""
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-    return pairs.filter(_collide("pa", "pb")).select("a", "b")
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("packed").alias("pa"), F.col("n_shingles").alias("na")), "a")
+    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("packed").alias("pb"), F.col("n_shingles").alias("nb")), "b")
+    return pairs.filter(_fitting("na", "nb") & _collide("pa", "pb")).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,7 +165,7 @@ def stand_ins(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     # stored, so that the joins with it may split a hot set
     firsts = stored(sketch.filter("doc_id is not null and sum is not null").groupBy("sum").agg(F.min("doc_id").alias("stand_in")), "firsts")
     nodes = sketch.join(firsts.withColumnRenamed("stand_in", "doc_id"), ["sum", "doc_id"])
-    nodes = nodes.select(F.col("doc_id").alias("node"), "signature", "packed").distinct()
+    nodes = nodes.select(F.col("doc_id").alias("node"), "signature", "packed", "n_shingles").distinct()
     postings = stored(_postings(nodes), "postings")
     wanted = postings.select(F.col("node").alias("doc_id")).distinct()
     nodes = stored(nodes.drop("signature").join(wanted.withColumnRenamed("doc_id", "node"), "node"), "nodes")
@@ -153,18 +173,24 @@ def stand_ins(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = postings.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     found = _confirmed(_colliding(pairs, nodes), sets)
 
-    posted = postings.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most the prefix
+    members = sketch.join(firsts, "sum", "left").select("doc_id", "n_shingles", "stand_in")
+    # the texts of one document belong together
+    ends = members.filter("stand_in is not null").groupBy("doc_id").agg(F.min("stand_in").alias("b"), F.max("stand_in").alias("top"))
+    own = members.join(ends.filter("b < top"), "doc_id").select(F.col("stand_in").alias("a"), "b").filter("a <> b").distinct()
+    found = found.unionByName(own)
 
-    def more(labels: DataFrame) -> DataFrame:
-        # a pair that several lists hold is taken from the first of them
-        once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-        alike = _collide("packed_a", "packed_b") & once
-        members = postings.join(nodes, "node").join(posted, "node")
-        return _confirmed(crossing(members, labels, ["packed", "keys"], alike), sets)
+    posted = postings.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))  # at most the prefix
 
-    labels = settled(found, more)
-    members = sketch.join(firsts, "sum", "left").select("doc_id", "n_shingles", "stand_in")
-    return members, labels
+    def more(labels: DataFrame) -> DataFrame:
+        here = postings.join(nodes, "node").join(posted, "node")
+        following = F.filter("keys", lambda k: k > F.struct("n", "key"))
+        here = here.withColumn("later", F.transform(following, lambda k: k["key"])).drop("keys", "n")
+        here = here.select("*", *[F.try_element_at("later", F.lit(-1 - i)).alias(f"last{i}") for i in range(LAST)])
+        alike = _fitting("n_shingles_a", "n_shingles_b") & _not_later() & _collide("packed_a", "packed_b")
+        carried = ["n_shingles", "packed", "later", *[f"last{i}" for i in range(LAST)]]
+        return _confirmed(crossing(here, labels, carried, alike).distinct(), sets)
+
+    return members, settled(found, more)
 
 
 def groups(documents: DataFrame) -> DataFrame:

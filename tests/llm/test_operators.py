@@ -1,5 +1,6 @@
 """The operators beside brute force, on the test documents and hard rows."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -262,3 +263,26 @@ def test_nearest_vectors(spark, sf_dir):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [3.0, 0.0])], "vec_id bigint, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.report(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
     assert ann.report(few.limit(0)).collect() == []
+
+
+def test_unlike_texts_of_one_document_belong_together(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(5, words[0]), (5, words[1]), (3, words[1]), (9, words[0]), (9, words[0]), (7, words[2]), (8, None), (8, words[2])]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == {(5, 3), (3, 3), (9, 3), (7, 7), (8, 7)}
+    assert len(got) == len(rows)
+
+
+def test_family_of_copies_that_are_less_alike_than_asked(spark):
+    """Members of one family pairwise near the limit: brute force finds the same groups."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rnd.sample(range(120), rnd.randint(2, 9)):
+            words[at] = f"x{rnd.random()}"
+        texts.append(" ".join(words[: rnd.randint(90, 120)]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = Counter(brute.near_groups(frame.collect()))
+    assert Counter(map(tuple, neardup.groups(frame).collect())) == want
