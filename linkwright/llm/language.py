@@ -6,8 +6,9 @@ algorithm).  Piece probabilities are the expected piece counts of a language's w
 segmentations start out with equally likely pieces (one expectation step, forward-backward), smoothed.
 
 Only runs of letters count, lower-cased, each opened by the vocabulary's word mark, so digits, markup and
-spacing say nothing.  Runs of more than `WORD` letters are scored as several words.  A character that no
-piece spells costs `UNKNOWN` in every language.
+spacing say nothing.  A run is one word however long: beyond `LONG` letters the sums are carried as logarithms, so
+nothing underflows, at a cost that stays proportional to the length.  A character that no piece spells costs
+`UNKNOWN` in every language.  Equal scores go to the first language in order.
 
 The model is as large as vocabulary times languages, whatever the corpus; each task adds up its own counts
 before the shuffle.  A null text, or one without letters, is `und` with score 0; so is every text when there
@@ -20,6 +21,7 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,11 @@ from pyspark.sql import types as T
 
 from linkwright.llm.common import fold, importable
 
-WORD = 24
+LONG = 24
 SMOOTHING = 0.1
 UNKNOWN = 1e-9
 UNDECIDED = "und"
+MARK = "▁"  # opens a word in the vocabulary
 CACHED_WORDS = 500_000
 _HASH_TIMES = np.uint64(0x9E3779B97F4A7C15)
 _HASH_BITS = 18
@@ -50,17 +53,12 @@ def vocabulary_path() -> str:
 
 
 def letter_words(text: str) -> Counter:
-    """How often each lower-cased run of letters stands in a text: marked at the start, cut at `WORD` letters."""
-    words: Counter = Counter()
-    for run, times in Counter(_RUNS.findall(text.lower())).items():
-        if not run.isalpha():
-            run = "".join(filter(str.isalpha, run))
-        if len(run) <= WORD:
-            if run:
-                words["▁" + run] += times
-        else:
-            for at in range(0, len(run), WORD):
-                words["▁" + run[at : at + WORD]] += times
+    """How often each lower-cased run of letters stands in a text."""
+    words = Counter(_RUNS.findall(text.lower()))
+    for run in [w for w in words if not w.isalpha()]:
+        times, letters = words.pop(run), "".join(filter(str.isalpha, run))
+        if letters:
+            words[letters] += times
     return words
 
 
@@ -73,7 +71,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         skip = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(len(names))]
-        self.ids = {p: i for i, (p, s) in enumerate(zip(names, skip)) if not s and len(p) <= WORD + 1}
+        self.ids = {p: i for i, (p, s) in enumerate(zip(names, skip)) if not s}
         self.size = len(names)
         self.longest = max(map(len, self.ids))
         # Pieces by a hash of their characters, in tables that are tried one after the other.
@@ -122,8 +120,46 @@ class Pieces:
                 if end - start == 1 or (found != none).any():
                     yield start, end, found
 
+    def _long_lattice(self, word: str) -> np.ndarray:
+        """(length of a piece less one, start) -> piece, as in `lattice`."""
+        letters = np.array([word]).view(np.uint32).astype(np.uint64) + np.uint64(1)
+        found = np.full((min(self.longest, len(word)), len(word)), self.size, np.int64)
+        code = np.zeros(len(word), np.uint64)
+        for k in range(len(found)):
+            code = (code[: len(word) - k] + letters[k:]) * _HASH_TIMES
+            found[k, : len(code)] = self._find(code, self.size if k else self.size + 1)
+        return found
+
+    @staticmethod
+    def _log_forward(found: np.ndarray, chances: np.ndarray) -> np.ndarray:
+        """(place, language): log of the sum over all segmentations up to each place."""
+        out = np.zeros((found.shape[1] + 1, chances.shape[1]))
+        for end in range(1, len(out)):
+            lengths = np.arange(min(len(found), end))
+            starts = end - 1 - lengths
+            out[end] = out[end - 1] + np.log((np.exp(out[starts] - out[end - 1]) * chances[found[lengths, starts]]).sum(0))
+        return out
+
+    def _expected_long(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, expected count) of one long word."""
+        found, n = self._long_lattice(word), len(word)
+        chances = np.full((self.size + 2, 1), 1.0 / self.size)
+        chances[self.size], chances[self.size + 1] = 0.0, UNKNOWN
+        before = self._log_forward(found, chances)[:, 0]
+        turned = np.full_like(found, self.size)  # by where a piece ends, from the end
+        for k in range(len(found)):
+            turned[k, : n - k] = found[k, : n - k][::-1]
+        behind = self._log_forward(turned, chances)[::-1, 0]
+        lengths, starts = np.nonzero(found < self.size)
+        share = np.exp(before[starts] + behind[starts + lengths + 1] - before[n] - np.log(self.size))
+        return found[lengths, starts], share
+
     def expected(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the word, piece, expected count) with all pieces equally likely: forward-backward."""
+        if len(words[0]) > LONG + 1:
+            each = [self._expected_long(w) for w in words]
+            who = np.repeat(np.arange(len(words)), [len(p) for p, _ in each])
+            return who, np.concatenate([p for p, _ in each]), np.concatenate([m for _, m in each])
         wide = [(s, e, p, p < self.size) for s, e, p in self.lattice(words)]
         base = 1.0 / self.size
         # scaled so that a word cut into single characters keeps weight one per character
@@ -149,6 +185,8 @@ class Pieces:
     def log_probabilities(self, words: list[str], chances: np.ndarray) -> np.ndarray:
         """(words, languages): log of the sum over all segmentations."""
         n = len(words[0])
+        if n > LONG + 1:
+            return np.stack([self._log_forward(self._long_lattice(w), chances)[-1] for w in words])
         forward = np.zeros((n + 1, len(words), chances.shape[1]))
         forward[0] = 1.0
         for start, end, pieces in self.lattice(words):
@@ -157,6 +195,7 @@ class Pieces:
 
 
 def _by_length(words: list[str]) -> Iterator[list[str]]:
+    """Words of one length together, a bounded number at a time."""
     groups = defaultdict(list)
     for word in words:
         groups[len(word)].append(word)
@@ -185,7 +224,7 @@ def learn(documents: DataFrame, path: str | None = None) -> tuple[list[str], np.
                 total = totals.setdefault(lang, np.zeros(pieces.size))
                 for group in _by_length(list(words)):
                     times = np.fromiter((words[w] for w in group), np.float64, len(group))
-                    who, what, much = pieces.expected(group)
+                    who, what, much = pieces.expected([MARK + w for w in group])
                     total += np.bincount(what, much * times[who], pieces.size)
             seen.clear()
 
@@ -247,7 +286,7 @@ def identify(
                 fresh = {w for words in counted if words for w in words}
             extra: list[np.ndarray] = []  # texts with more new words than the cache holds
             for group in _by_length(sorted(fresh)):
-                logs = pieces.log_probabilities(group, chances)
+                logs = pieces.log_probabilities([MARK + w for w in group], chances)
                 at = len(known)
                 known.update(zip(group, range(at, at + len(group))))
                 room = max(0, min(len(group), CACHED_WORDS - at))
@@ -255,14 +294,17 @@ def identify(
                 if room < len(group):
                     extra.append(logs[room:])
             table = np.concatenate([scores, *extra]) if extra else scores
+            spoken = [words for words in counted if words]
+            if spoken:
+                at = np.fromiter(chain.from_iterable(map(map, repeat(known.__getitem__), spoken)), np.int64)
+                times = np.fromiter(chain.from_iterable(w.values() for w in spoken), np.float64, len(at))
+                begins = np.cumsum([0] + [len(w) for w in spoken[:-1]])
+                total = np.add.reduceat(times[:, None] * table[at], begins)
+                best = total.argmax(1)
+                sure = np.round(1.0 / np.exp(total - total[np.arange(len(best)), best][:, None]).sum(1), 6)
+                found = zip((languages[i] for i in best), sure.tolist())
             for words in counted:
-                if not words:
-                    yield UNDECIDED, 0.0
-                    continue
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                total = np.fromiter(words.values(), np.float64, len(words)) @ table[at]
-                best = int(total.argmax())
-                yield languages[best], round(1.0 / float(np.exp(total - total[best]).sum()), 6)
+                yield next(found) if words else (UNDECIDED, 0.0)
             if extra:
                 known.clear()
 

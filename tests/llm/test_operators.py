@@ -118,6 +118,52 @@ def test_forward_algorithm_sums_all_segmentations():
         assert np.isclose(sum(len(spelled[p]) * m for p, m in zip(what, much)), known)
 
 
+def test_long_words_are_one_word():
+    pieces = language.Pieces(language.vocabulary_path())
+    chances = np.random.default_rng(1).random((pieces.size + 2, 3)) / 100
+    chances[pieces.size], chances[pieces.size + 1] = 0.0, language.UNKNOWN
+    word = "▁" + "donaudampfschifffahrt"
+    assert len(word) <= language.LONG + 1
+    found = pieces._long_lattice(word)
+    assert np.allclose(pieces._log_forward(found, chances)[-1], pieces.log_probabilities([word], chances)[0])
+    plain, long = Counter(), Counter()
+    for _, p, m in zip(*pieces.expected([word])):
+        plain[p] += m
+    for p, m in zip(*pieces._expected_long(word)):
+        long[p] += m
+    assert {p for p, m in plain.items() if m > 1e-12} <= long.keys() and all(np.isclose(m, plain[p]) for p, m in long.items())
+    # far beyond what a product of probabilities can hold
+    whole = pieces.log_probabilities(["▁" + "schifffahrt" * 300], chances)[0]
+    assert np.isfinite(whole).all() and (whole < -700).all()
+    spelled = {i: p for p, i in pieces.ids.items()}
+    _, what, much = pieces.expected(["▁" + "schifffahrt" * 30])
+    assert np.isclose(sum(len(spelled[p]) * m for p, m in zip(what, much)), 331)
+
+
+def test_language_predictions_by_brute_force(spark):
+    """Whole texts, scored word by word with sums over all segmentations spelled out."""
+    rows = [(i, t, l) for i, (t, l) in enumerate([("das haus und der hund", "de"), ("the house and the dog", "en"), ("la casa y el perro", "es")] * 4)]
+    docs = spark.createDataFrame(rows + [(50, "die katze and el perro the the", None), (51, "²½ 12 --", "de"), (52, "a1b", "en")], "doc_id bigint, text string, lang string")
+    languages, chances = language.learn(docs)
+    pieces = language.Pieces(language.vocabulary_path())
+
+    def total(word):
+        sums = [np.ones(len(languages))]
+        for end in range(1, len(word) + 1):
+            ways = [sums[s] * chances[pieces.ids.get(word[s:end], pieces.size + (end - s == 1))] for s in range(end)]
+            sums.append(sum(ways))
+        return np.log(sums[-1])
+
+    for r in language.identify(docs, (languages, chances)).collect():
+        words = "".join(c if c.isalpha() else " " for c in r["in"].text.lower()).split()
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = sum(total("▁" + w) for w in words)
+        assert r.lang_pred == languages[int(logs.argmax())]
+        assert np.isclose(r.score, 1 / np.exp(logs - logs.max()).sum(), atol=1e-5)
+
+
 def test_near_duplicates(documents, rows, nothing):
     want = Counter(brute.near_groups(rows))
     assert Counter(map(tuple, neardup.groups(documents).collect())) == want
