@@ -2,9 +2,9 @@
 
 The automaton holds every substring of the normalised items.  Document words are streamed through it,
 the longest match ending at each word is tracked, and each occurring window is looked up along the
-suffix links.  Items are split into shards of a bounded number of words, so the automaton that a task
-holds does not grow with the benchmark: there is one pass over the documents per shard, and a
-document's marks from all shards are united.
+suffix links.  Spark splits the items into shards of a bounded number of words.  There is one pass over the
+documents per shard; its marks are stored and united with those of the passes before, so a task holds one automaton
+and the driver one shard's words at a time, however large the benchmark.
 
 Before streaming, stretches that cannot hold a window are skipped: each pair of neighbouring words of an
 occurrence is also a pair of neighbours in an item, so only runs of such pairs are walked.  The pair
@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import alnum_places, alnum_words, importable, utf8
+from linkwright.llm.common import alnum_places, alnum_words, importable, map_batches, stored, utf8
+from linkwright.operators.ordering import running_totals
 
 WINDOW = 13
 COVERAGE = 20  # one word in so many must be hit
@@ -136,22 +137,32 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
 
 
-def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items with their words, streamed to the driver in shards of at most `shard_words` (or one item)."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("n"), F.col("text").cast("string").alias("t"))
-    rows = rows.filter("n is not null and t is not null")
-    shard: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for row in rows.toLocalIterator():
-        words = alnum_words(row["t"].encode())
-        if not words:
-            continue
-        if shard and size + len(words) > shard_words:
-            yield shard
-            shard, size = [], 0
-        shard.append((row["n"], words))
-        size += len(words)
-    yield shard
+def sharded(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """(shard, item, words) of the items that have words, stored by shard, and the number of shards.
+
+    Spark numbers the items and adds up their words in ranges, so that a shard holds about `shard_words` words
+    (or one item); the driver sees no text.
+    """
+    importable(benchmark.sparkSession)
+
+    def split(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+        words = [b" ".join(alnum_words(t)) for t in utf8(batch.column("text"))]
+        yield {"item": batch.column("item"), "words": words, "n": [w.count(b" ") + 1 if w else 0 for w in words]}
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    items = map_batches(rows.filter("item is not null and text is not null"), split, "item string, words binary, n bigint").filter("n > 0")
+    items = stored(items.withColumn("number", F.monotonically_increasing_id()), "items")
+    placed = running_totals(items.select("number", "n"), "number", ["n"])
+    placed = placed.select("number", F.floor(F.col("before_n") / shard_words).cast("int").alias("shard"))
+    found = stored(items.join(placed, "number").select("shard", "item", "words"), "shards")
+    top = found.agg(F.max("shard")).first()[0]
+    return found, 0 if top is None else top + 1
+
+
+def _items_of(shards: DataFrame, number: int) -> list[tuple[str, list[bytes]]]:
+    """One shard's items; only `SHARD_WORDS` words and the words of one item come at once."""
+    rows = shards.filter(F.col("shard") == number).select("item", "words").collect()
+    return [(r["item"], bytes(r["words"]).split(b" ")) for r in sorted(rows, key=lambda r: r["item"])]
 
 
 def _spans(text: bytes, automaton: ItemAutomaton) -> tuple[int, list[int], list[int], set[str]]:
@@ -199,8 +210,9 @@ def contamination(
     )
     importable(documents.sparkSession)
     context = documents.sparkSession.sparkContext
-    for shard in benchmark_shards(benchmark, shard_words):
-        shipped = context.broadcast(shard)
+    shards, number = sharded(benchmark, shard_words)
+    for at in range(max(1, number)):
+        shipped = context.broadcast(_items_of(shards, at))
 
         def walk(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             automaton = ItemAutomaton(shipped.value, window)
@@ -220,6 +232,9 @@ def contamination(
                 )
 
         marked = marked.mapInArrow(walk, marked.schema)
+        if at + 1 < number:
+            # stored between passes, so that a task holds one automaton
+            marked = stored(marked, "marked")
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])
     marked = marked.withColumn("n_hit", hit)
     return marked.select(

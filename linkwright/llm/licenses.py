@@ -50,16 +50,27 @@ NOTICES = [
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    Template("gpl-2", "gnu general public license version 2", "general public license version 2"),
-    Template("gpl-3", "gnu general public license version 3", "general public license version 3"),
+    Template("gpl-2", "gnu general public license version 2", "gnu general public license version 2"),
+    Template("gpl-3", "gnu general public license version 3", "gnu general public license version 3"),
     Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    Template("lgpl-2.1", "gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1"),
+    Template("lgpl-3", "gnu lesser general public license version 3", "gnu lesser general public license version 3"),
     Template("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
+    Template("agpl-3", "gnu affero general public license version 3", "gnu affero general public license version 3"),
+    Template("gfdl", "under the terms of the gnu free documentation license", "gnu free documentation license"),
     Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2"),
     Template("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     Template("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4"),
     Template("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies or substantial portions"),
+    Template("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "distributed under the license is distributed on an as is basis"),
+    Template("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "including commercial applications and to alter it and redistribute it freely"),
+    Template("boost-1", "boost software license version 1 0", "boost software license version 1 0"),
+    Template("artistic-2", "the artistic license 2 0", "artistic license 2 0"),
+    Template("odbl", "made available under the open database license", "open database license"),
 ]
 
 
