@@ -139,20 +139,26 @@ def thinned(frame: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return hit.select(*[F.col(f"`{c}`") for c in frame.columns])
 
 
+def with_strays(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """`postings` (key, node, leader, ...) with the component of each node so far, that of its list's leader, and
+    whether these differ: the node is then a stray of the list."""
+    label = labels.select("node", "component")
+    known = postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
+    known = known.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
+    return known.withColumn("stray", F.col("component") != F.col("lead"))
+
+
 def crossing(postings: DataFrame, labels: DataFrame, carried: list[str], alike: Column) -> DataFrame:
     """Pairs (a, b) that a posting list holds, that its leader has not brought together, and that `alike`
     holds for.
 
     `postings` has key, node, leader and the `carried` columns; `alike` reads these as ``c_a`` and ``c_b``;
-    `labels` are the components so far.  A member outside its leader's component is a stray; strays meet
-    every member of another component, the leader apart, for both may be alike though neither is like the
-    leader.  Lists without strays are left out before anything is paired; long lists are laid out on a grid.
+    `labels` are the components so far.  Strays meet every member of another component, the leader apart, for both
+    may be alike though neither is like the leader.  Lists without strays are left out before anything is paired;
+    long lists are laid out on a grid.
     """
-    label = labels.select("node", "component")
-    known = postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
-    known = known.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
-    known = known.withColumn("stray", F.col("component") != F.col("lead"))
+    known = with_strays(postings, labels)
     strays = stored(known.filter("stray").drop("stray", "lead", "leader"), "strays")
     others = known.filter("node <> leader").join(strays.select("key").distinct(), "key", "left_semi")
     left = strays.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in carried])

@@ -8,10 +8,9 @@
 3. Members of a posting list meet its leader, never each other: as many pairs as postings.  The leader is the
    member whose coordinates are the most frequent ones, the middle of a family of near copies.  Pairs are
    counted on all coordinates; those with enough collisions are compared on full sets.
-4. Members that did not join their leader's component meet the members of other components, long lists on a
-   grid.  A pair that several lists hold is taken from the most frequent of them, which the keys that follow in
-   each member's order tell; sizes and collisions are compared inside the join, so only pairs that may be
-   alike leave it.
+4. Members that did not join their leader's component meet members of other components of their lists, where
+   they share one of the rarest shingles of each and enough shingles follow it (exact conditions for being alike),
+   long lists on a grid.
 5. Components of the confirmed links.
 
 At similarity 0.75 a link collides in 72 of 96 coordinates on average; fewer than 52 come with odds of
@@ -25,7 +24,6 @@ of unlike texts each links it.  Two texts of any length are compared on their fu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import WordHashes, crossing, grams, importable, map_batches, settled, stored, thinned, utf8
+from linkwright.llm.common import PAIRS_IN_TASK, WordHashes, grams, importable, map_batches, settled, stored, thinned, utf8, with_strays
+from linkwright.operators.spread import spread_join
 
 SHINGLE = 5
 SIMILAR = 75  # percent
@@ -97,17 +96,6 @@ def _fitting(a: str, b: str) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {SIMILAR} * greatest({a}, {b})")
 
 
-LAST = 4  # of the keys that follow, looked at first
-
-
-def _not_later(keys: str = "later") -> Column:
-    """Whether two members of a list meet in no later one.  Lists come in the order of their length: the longest ones,
-    which most pairs of a family share, are looked at first."""
-    last = [F.coalesce(F.col(f"last{i}_a").isin(*[F.col(f"last{j}_b") for j in range(LAST)]), F.lit(False)) for i in range(LAST)]
-    quick = ~reduce(lambda x, y: x | y, last)
-    return quick & ~F.arrays_overlap(f"{keys}_a", f"{keys}_b")
-
-
 def _sets(documents: DataFrame) -> DataFrame:
     def build(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
         hashes = WordHashes()
@@ -157,6 +145,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(map_batches(both, compare, "a bigint, b bigint"), "links")
 
 
+def _strays_met(postings: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a stray, a member outside its list leader's component, with members of other components of
+    its lists that it may be alike to.
+
+    Two alike sets share a shingle among the rarest of each: with n shingles, in the first n - ceil(0.75 n) + 1.
+    Members of a family that are not alike differ in just these, so they do not meet, however many they are.
+    """
+    known = with_strays(postings, labels)
+    open_lists = known.filter("stray").select("key").distinct()
+    marked = known.join(open_lists, "key", "left_semi").groupBy("node").agg(F.max("stray").alias("stray"), F.min("component").alias("component"))
+    marked = stored(marked, "marked")
+
+    def split(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+        found = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("shingles")]
+        sizes = np.array([len(x) for x in found], np.int64)
+        at = np.repeat(np.arange(len(found)), sizes)
+        if len(at):
+            yield {
+                "set": batch.column("set").take(pa.array(at)), "node": batch.column("node").take(pa.array(at)),
+                "n": np.repeat(sizes, sizes), "shingle": np.concatenate(found),
+            }
+
+    numbered = sets.join(marked.select("node"), "node", "left_semi").withColumn("set", F.monotonically_increasing_id())
+    each = stored(map_batches(numbered, split, "set bigint, node bigint, n bigint, shingle bigint"), "shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("f")).filter("f > 1")
+    shared = each.join(often, "shingle").groupBy("set", "node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("held"))
+    # shingles that one set holds alone come first and meet nothing
+    first = F.expr(f"cast(n - ({SIMILAR} * n + 99) div 100 + 1 - (n - size(held)) as int)")
+    prefix = shared.withColumn("first", first).filter("first > 0")
+    prefix = prefix.select("node", "n", "held", F.posexplode(F.slice("held", F.lit(1), F.col("first"))["shingle"]).alias("i", "key"))
+    # how many shingles there are from this one on, in the order of rarity
+    prefix = prefix.select("node", "n", (F.size("held") - F.col("i")).alias("rest"), "key")
+    prefix = stored(prefix.join(marked, "node"), "prefix")
+    left = prefix.filter("stray").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    right = prefix.select(
+        F.col("key").alias("k"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("stray").alias("sb")
+    )
+    # at the first shingle that two sets share, what follows must be enough for the overlap that alike sets have
+    enough = F.expr(f"{100 + SIMILAR} * least(ra, rb) >= {SIMILAR} * (na + nb)")
+    apart = enough & _fitting("na", "nb") & (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | ~F.col("sb"))
+    return spread_join(left, right, ["key"], ["k"], "a", "b", apart, PAIRS_IN_TASK).select("a", "b").distinct()
+
+
 def stand_ins(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, stand_in) per row, and (node, component) of the stand-ins that are linked."""
     importable(documents.sparkSession)
@@ -179,16 +210,9 @@ def stand_ins(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = members.join(ends.filter("b < top"), "doc_id").select(F.col("stand_in").alias("a"), "b").filter("a <> b").distinct()
     found = found.unionByName(own)
 
-    posted = postings.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))  # at most the prefix
-
     def more(labels: DataFrame) -> DataFrame:
-        here = postings.join(nodes, "node").join(posted, "node")
-        following = F.filter("keys", lambda k: k > F.struct("n", "key"))
-        here = here.withColumn("later", F.transform(following, lambda k: k["key"])).drop("keys", "n")
-        here = here.select("*", *[F.try_element_at("later", F.lit(-1 - i)).alias(f"last{i}") for i in range(LAST)])
-        alike = _fitting("n_shingles_a", "n_shingles_b") & _not_later() & _collide("packed_a", "packed_b")
-        carried = ["n_shingles", "packed", "later", *[f"last{i}" for i in range(LAST)]]
-        return _confirmed(crossing(here, labels, carried, alike).distinct(), sets)
+        pairs = _strays_met(postings, labels, sets)
+        return _confirmed(_colliding(pairs, nodes), sets)
 
     return members, settled(found, more)
 
