@@ -41,6 +41,7 @@ FIRST = 20  # times k: candidates looked at before lists are tested
 MISSED = 0.1  # share of the k nearest that the lists left out may be expected to hold
 CELL = 8_000
 TOGETHER = 128  # queries scanned at once
+SPARSE = 0.02  # share of pairs left from which they are taken one by one
 BLOCK = 13  # components per column block
 CONFIDENCE = 2.1
 ROUNDS = 8
@@ -136,6 +137,9 @@ def _normal(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z * (1.5976 + 0.070566 * z * z), -500, 500)))
 
 
+_PROBE = "query_id bigint, vector array<double>, list int, limit double"
+
+
 def _first_probes(queries: DataFrame, index: Index, lists: Lists, enough: int) -> DataFrame:
     """The nearest lists that hold `enough` candidates together."""
 
@@ -146,9 +150,9 @@ def _first_probes(queries: DataFrame, index: Index, lists: Lists, enough: int) -
             many = np.minimum((lists.held[order].cumsum(1) < enough).sum(1) + 1, order.shape[1])
             at = np.repeat(np.arange(len(part)), many)
             chosen = np.concatenate([o[:m] for o, m in zip(order, many)]) if len(part) else np.zeros(0, int)
-            yield {"query_id": part.column("query_id").take(pa.array(at)), "vector": part.column("vector").take(pa.array(at)), "list": chosen}
+            yield {"query_id": part.column("query_id").take(pa.array(at)), "vector": part.column("vector").take(pa.array(at)), "list": chosen, "limit": np.full(len(at), np.inf)}
 
-    return map_batches(queries, probe, "query_id bigint, vector array<double>, list int")
+    return map_batches(queries, probe, _PROBE)
 
 
 def _further_probes(queries: DataFrame, index: Index, lists: Lists, enough: int, missed: float) -> DataFrame:
@@ -178,30 +182,55 @@ def _further_probes(queries: DataFrame, index: Index, lists: Lists, enough: int,
             left = value.sum(1)[:, None] - value.cumsum(1) + value  # with this list and those after it
             wanted = (left > np.where(np.isinf(limits)[:, None], 0.0, missed * whole)) & (value > 0)
             at, place = np.nonzero(wanted)
-            yield {"query_id": part.column("query_id").take(pa.array(at)), "vector": part.column("vector").take(pa.array(at)), "list": ranked[at, place]}
+            yield {"query_id": part.column("query_id").take(pa.array(at)), "vector": part.column("vector").take(pa.array(at)), "list": ranked[at, place], "limit": limits[at]}
 
-    return map_batches(queries, probe, "query_id bigint, vector array<double>, list int")
+    return map_batches(queries, probe, _PROBE)
 
 
-def _scan(blocks: list[np.ndarray], queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) positions that may be among each query's k nearest, abandoned block by block."""
+def _scan(blocks: list[np.ndarray], queries: np.ndarray, k: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) positions that may be among each query's k nearest, abandoned block by block.
+
+    `limits`: squared distance of each query's k-th best so far, infinite where it is not known; the k candidates
+    with the smallest partial distance stand in for it then.
+    """
     number, whole = len(blocks[0]), queries.shape[1]
-    if number <= k:
-        return np.repeat(np.arange(len(queries)), number), np.tile(np.arange(number), len(queries))
     edges = np.cumsum([0] + [b.shape[1] for b in blocks])
     parts = [queries[:, a:b] for a, b in zip(edges, edges[1:])]
-    partial = (blocks[0] ** 2).sum(1) - 2 * parts[0] @ blocks[0].T + (parts[0] ** 2).sum(1)[:, None]
-    seeds = np.argpartition(partial, k - 1, axis=1)[:, :k]
-    limit = sum(((b[seeds] - p[:, None]) ** 2).sum(2) for b, p in zip(blocks, parts)).max(1)
-    done = edges[1]
-    bound = np.minimum(limit * (1 + CONFIDENCE / np.sqrt(done)) ** 2 * done / whole, limit * 1.0001)
-    at, near = np.nonzero(partial <= bound[:, None] + 1e-6 * limit[:, None])
-    partial = partial[at, near]
-    for step in range(1, len(blocks)):
-        partial = partial + ((blocks[step][near] - parts[step][at]) ** 2).sum(1)
+
+    def block(step: int, columns: np.ndarray | slice) -> np.ndarray:
+        own = blocks[step][columns]
+        return (own**2).sum(1) - 2 * parts[step] @ own.T + (parts[step] ** 2).sum(1)[:, None]
+
+    partial = block(0, slice(None))
+    limit = limits.astype(np.float32)
+    seeds = np.zeros((len(queries), 0), np.int64)
+    if np.isinf(limit).any():
+        if number <= k:
+            return np.repeat(np.arange(len(queries)), number), np.tile(np.arange(number), len(queries))
+        seeds = np.argpartition(partial, k - 1, axis=1)[:, :k]
+        limit = np.minimum(limit, sum(((b[seeds] - p[:, None]) ** 2).sum(2) for b, p in zip(blocks, parts)).max(1))
+    slack = 1e-5 * (limit + np.abs(partial).max(initial=0.0))  # of single precision
+
+    def bound(step: int) -> np.ndarray:
         done = edges[step + 1]
-        bound = np.minimum(limit * (1 + CONFIDENCE / np.sqrt(done)) ** 2 * done / whole, limit * 1.0001) if step < len(blocks) - 1 else limit * 1.0001 + 1e-12
-        fit = partial <= bound[at] + 1e-6 * limit[at]
+        test = limit * (1 + CONFIDENCE / np.sqrt(done)) ** 2 * done / whole
+        return (limit if done == whole else np.minimum(test, limit)) + slack
+
+    columns = np.arange(number)
+    alive = partial <= bound(0)[:, None]
+    step = 1
+    while step < len(blocks) and alive.mean() > SPARSE:
+        # many pairs left: a matrix product with the candidates that any query still wants
+        wanted = alive.any(0)
+        columns, partial, alive = columns[wanted], partial[:, wanted], alive[:, wanted]
+        partial = partial + block(step, columns)
+        alive &= partial <= bound(step)[:, None]
+        step += 1
+    at, place = np.nonzero(alive)
+    near, partial = columns[place], partial[at, place]
+    for step in range(step, len(blocks)):  # few left: pair by pair
+        partial = partial + ((blocks[step][near] - parts[step][at]) ** 2).sum(1)
+        fit = partial <= bound(step)[at]
         at, near, partial = at[fit], near[fit], partial[fit]
     pairs = np.union1d(at * number + near, (np.arange(len(queries))[:, None] * number + seeds).ravel())
     return np.divmod(pairs, number)
@@ -248,7 +277,7 @@ def _nearest(placed: DataFrame, probes: DataFrame, index: Index, lists: Lists, k
     left = placed.join(grid, "list").withColumn("c", cell("vec_id", "high", "wide"))
     left = left.select("list", F.col("c.m").alias("row"), F.col("c.o").alias("column"), "vec_id", "vector")
     right = probes.join(grid, "list").withColumn("c", cell("query_id", "wide", "high"))
-    right = right.select("list", F.col("c.o").alias("row"), F.col("c.m").alias("column"), "query_id", "vector")
+    right = right.select("list", F.col("c.o").alias("row"), F.col("c.m").alias("column"), "query_id", "vector", "limit")
 
     def answer(candidates: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -260,7 +289,8 @@ def _nearest(placed: DataFrame, probes: DataFrame, index: Index, lists: Lists, k
             for low in range(0, len(asking), TOGETHER):
                 some = asking.iloc[low : low + TOGETHER]
                 originals, query_ids = np.stack(some["vector"].to_numpy()), some["query_id"].to_numpy()
-                at, near = _scan(blocks, index.as_query(originals).astype(np.float32), k + 1)  # a query may be its own neighbour
+                # one more: a query may be its own neighbour
+                at, near = _scan(blocks, index.as_query(originals).astype(np.float32), k + 1, some["limit"].to_numpy())
                 other = ids[near] != query_ids[at]
                 at, near = at[other], near[other]
                 score = np.zeros(len(near))
