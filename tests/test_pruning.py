@@ -85,3 +85,14 @@ def test_missing_names_do_not_bring_back_the_whole_rule(spark):
     assert narrow.count() < 0.25 * whole.count()
     missing = narrow.filter("norm_first_name_l is null or norm_first_name_r is null")
     assert missing.filter("place_l <> place_r").count() == 0
+
+
+def test_a_rule_is_narrowed_by_every_agreement_that_is_needed(spark):
+    """Where only full agreement passes, pairs that share a name but no year are not formed."""
+    def register(prefix):
+        return [(f"{prefix}{i}", "ANNA", "BRAN", "W", "F", 1000 + 10 * i) for i in range(60)]
+
+    left, right = (spark.createDataFrame(register(p), people.SCHEMA) for p in "lr")
+    threshold = pruning.reachable_probabilities(RULES[:1], model(0.05))[0] - 1e-6
+    joins = list(pruning._narrow_rules(left, right, RULES[0], model(0.05), threshold, 10))
+    assert sum(int(B.count_rule(a, b, rule).first()["comparisons"]) for a, b, rule in joins) == 60  # of 3,600
