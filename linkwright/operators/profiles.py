@@ -3,23 +3,31 @@
 Records of one side that agree on every column the rules and comparisons read have the same partners
 and the same scores, so one of them (the smallest id) can stand for all, weighted by their number.
 Thousands of identical records then cost one row, instead of thousands times thousands of pairs.
+
+What only needs the number of pairs per agreement pattern forms no pairs of profiles either: see `pattern_totals`.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkwright.functions.scalars import PAIR_COUNT, pair_count
-from linkwright.operators.blocking import PAIRS_PER_TASK
-from linkwright.operators.comparison import input_columns
+from linkwright.operators.blocking import PAIRS_PER_TASK, BlockRule, block_on
+from linkwright.operators.comparison import Comparison, input_columns, within
 from linkwright.operators.model import LinkModel, LinkSettings
-from linkwright.operators.scoring import ID_PAIR, candidate_gammas, predict
+from linkwright.operators.patterns import countable, pattern_counts
+from linkwright.operators.scoring import ID_PAIR, candidate_gammas, predict, score_gammas
 from linkwright.session import cut_lineage
 
+# Rules whose union is counted from the sizes of their overlaps: three rules have four of these.
+MOST_RULES = 3
+
 
 def profile_columns(settings: LinkSettings) -> list[str]:
     ruled = {c for rule in settings.rules for c in rule.columns()}
@@ -68,6 +76,77 @@ def predict_profiles(
     return _weighted(predict(*sides, settings, model, threshold, pairs_per_task, ("profile", "records")))
 
 
+def _told_by(rule: BlockRule, comparison: Comparison) -> bool:
+    """Whether all pairs of the rule show the comparison's closest level: its values are equal and present."""
+    return countable(comparison) and comparison.levels[0].kind != "within" and comparison.column in rule.equal
+
+
+def _tolerances(rule: BlockRule, comparisons: Sequence[Comparison]) -> tuple[list[Comparison], Column]:
+    """Comparisons to count besides, and the test on levels that says that the tolerances are kept."""
+    added, test = [], F.lit(True)
+    for column, t in rule.within:
+        for c in comparisons:
+            amounts = [x.amount if x.kind == "within" else None for x in c.levels]
+            if c.column == column and t in amounts and None not in amounts and amounts == sorted(set(amounts)):
+                test = test & (F.col(c.gamma) >= len(amounts) - amounts.index(t))
+                break
+        else:
+            added.append(Comparison(column, (within(t),), f"__within_{column}"))
+            test = test & (F.col(added[-1].gamma) == 1)
+    return added, test
+
+
+def _rule_patterns(left: DataFrame, right: DataFrame, rule: BlockRule, comparisons: Sequence[Comparison]) -> DataFrame:
+    """(gamma..., pairs) of all pairs that satisfy one rule by keys."""
+    told = [c for c in comparisons if _told_by(rule, c)]
+    asked = [c for c in comparisons if c not in told]
+    gammas = [c.gamma for c in comparisons]
+    for column in {*rule.equal, *(c for c, _ in rule.within)}:
+        left, right = (side.filter(F.col(column).isNotNull()) for side in (left, right))
+    added, kept = _tolerances(rule, asked)
+    counted = None
+    if rule.within and not rule.rest and all(countable(c) for c in asked):
+        try:
+            counted = pattern_counts(left, right, [*asked, *added], block_on(*rule.equal), by_keys=True).filter(kept)
+        except ValueError:  # fractions, whose neighbours cannot be listed
+            counted = None
+    if counted is None:
+        counted = pattern_counts(left, right, asked or comparisons, rule)
+    counted = counted.withColumns({c.gamma: F.lit(len(c.levels)) for c in told if asked} or {"pairs": F.col("pairs")})
+    return counted.groupBy(*gammas).agg(F.sum("pairs").cast(PAIR_COUNT).alias("pairs"))
+
+
+def pattern_totals(left: DataFrame, right: DataFrame, settings: LinkSettings) -> DataFrame | None:
+    """(gamma..., pairs): record pairs per agreement pattern over the union of the rules, or none where these cannot
+    be counted without forming pairs.
+
+    Patterns are counted rule by rule.  Pairs of several rules are taken back by the counts of what these rules have in
+    common, which is a rule by keys, too.
+    """
+    rules = settings.rules
+    plain = all(r.keyed and not r.rest and r.columns() for r in rules) and not settings.columns
+    if not plain or len(rules) > MOST_RULES or not all(countable(c) for c in settings.comparisons):
+        return None
+    gammas, united = [c.gamma for c in settings.comparisons], None
+    for size in range(1, len(rules) + 1):
+        for some in itertools.combinations(rules, size):
+            one = _rule_patterns(left, right, reduce(BlockRule.both, some), settings.comparisons)
+            one = one.withColumn("pairs", (F.col("pairs") * F.lit(-1 if size % 2 == 0 else 1)).cast(PAIR_COUNT))
+            united = one if united is None else united.unionByName(one)
+    return united.groupBy(*gammas).agg(F.sum("pairs").cast(PAIR_COUNT).alias("pairs")).filter("pairs > 0")
+
+
+def predict_patterns(
+    left: DataFrame, right: DataFrame, settings: LinkSettings, model: LinkModel, threshold: float | None = 0.2
+) -> DataFrame:
+    """Predictions in their most compact form: one row per agreement pattern and ``pairs``, its record pairs; by
+    profile pairs where patterns cannot be counted without these."""
+    counted = pattern_totals(left, right, settings)
+    if counted is None:
+        return predict_profiles(left, right, settings, model, threshold)
+    return score_gammas(counted, model, threshold)
+
+
 def pattern_examples(left: DataFrame, right: DataFrame, settings: LinkSettings, n: int) -> DataFrame:
     """Record pairs per agreement pattern with the `n` first examples of each, in id order.
 
