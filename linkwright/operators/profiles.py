@@ -22,7 +22,7 @@ from linkwright.operators.blocking import PAIRS_PER_TASK, BlockRule, block_on
 from linkwright.operators.comparison import Comparison, input_columns, within
 from linkwright.operators.model import LinkModel, LinkSettings
 from linkwright.operators.patterns import countable, pattern_counts
-from linkwright.operators.scoring import ID_PAIR, candidate_gammas, predict, score_gammas
+from linkwright.operators.scoring import ID_PAIR, LEADING, MOST_LEADING, candidate_gammas, predict, score_gammas
 from linkwright.session import cut_lineage
 
 # Rules whose union is counted from the sizes of their overlaps: three rules have four of these.
@@ -147,28 +147,75 @@ def predict_patterns(
     return score_gammas(counted, model, threshold)
 
 
-def pattern_examples(left: DataFrame, right: DataFrame, settings: LinkSettings, n: int) -> DataFrame:
+def _first_pairs(pairs: DataFrame, pattern: Sequence[str], n: int) -> DataFrame:
+    """The first `n` rows of each pattern in the order of ids.  Spark cuts the ranking to `n` rows per map task before
+    its shuffle."""
+    first = F.row_number().over(W.partitionBy(*pattern).orderBy(*ID_PAIR))
+    return pairs.withColumn("__rank", first).filter(F.col("__rank") <= n).drop("__rank")
+
+
+def _members(side: DataFrame, chosen: DataFrame, columns: Sequence[str], suffix: str, n: int) -> DataFrame:
+    """(profile, unique_id): the `n` smallest ids of the chosen profiles."""
+    profile, record = f"profile{suffix}", f"unique_id{suffix}"
+    wanted = chosen.select(profile).distinct()
+    named = with_profile(side, columns).select(F.col("profile").alias(profile), F.col("unique_id").alias(record))
+    rank = F.row_number().over(W.partitionBy(profile).orderBy(record))
+    return named.join(wanted, profile, "left_semi").withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+
+
+def pattern_examples(
+    left: DataFrame, right: DataFrame, settings: LinkSettings, n: int, pairs_per_task: int = PAIRS_PER_TASK, records: int = LEADING
+) -> DataFrame:
     """Record pairs per agreement pattern with the `n` first examples of each, in id order.
 
-    The first `n` record pairs of a pattern lie within its first `n` profile pairs (ordered by their
-    smallest ids) and use the `n` smallest ids of each profile, so no more than that is expanded.
-    Spark cuts every ranking to `n` rows per map task before its shuffle.
+    Pairs are counted by keys.  Examples come from the left records with the smallest ids: so many, eight times more
+    each time and beyond `MOST_LEADING` all, that a pattern has its examples; those with larger ids have none before these.
+    Only pairs of patterns that still lack examples are ranked, so the more pairs are formed, the rarer those ranked.  On
+    the right, the first `n` record pairs lie within the first `n` profiles (ordered by their smallest ids) and use the `n`
+    smallest ids of each, so no more than that is expanded.
     """
-    gammas = cut_lineage(profile_gammas(left, right, settings))
-    pattern = [c.gamma for c in settings.comparisons]
-    counts = gammas.groupBy(*pattern).agg(F.sum("pairs").cast(PAIR_COUNT).alias("pattern_pairs"))
+    counts = pattern_totals(left, right, settings)
+    if counts is None:
+        return _pattern_examples_by_profiles(left, right, settings, n)
+    counts = cut_lineage(counts.withColumnRenamed("pairs", "pattern_pairs"))
+    pattern, columns = [c.gamma for c in settings.comparisons], profile_columns(settings)
+    missing = {tuple(r[g] for g in pattern): min(n, int(r["pattern_pairs"])) for r in counts.collect()}  # a row per pattern
+    ordered = cut_lineage(with_profile(left, columns).withColumn("records", F.lit(1)))
+    partners = cut_lineage(stand_ins(with_profile(right, columns), columns))
+    number, carried, found = ordered.count(), ("profile", "records"), []
+    kept = [*pattern, *ID_PAIR, "profile_r", "records_r"]
+    while missing:
+        part = ordered
+        if records < min(number, MOST_LEADING):
+            edge = ordered.select("unique_id").orderBy("unique_id").limit(records).agg(F.max("unique_id")).first()[0]
+            part = ordered.filter(F.col("unique_id").isNull() | (F.col("unique_id") <= F.lit(edge)))
+        pairs = candidate_gammas(part, partners, settings, pairs_per_task, carried).select(*kept)
+        asked = F.array(*[F.array(*map(F.lit, levels)) for levels in missing])
+        first = cut_lineage(_first_pairs(pairs.filter(F.array_contains(asked, F.array(*pattern))), pattern, n))
+        shown = {tuple(r[g] for g in pattern): r["shown"] for r in first.groupBy(*pattern).agg(F.sum("records_r").alias("shown")).collect()}
+        done = [levels for levels, least in missing.items() if part is ordered or shown.get(levels, 0) >= least]
+        if done:
+            ready = F.array(*[F.array(*map(F.lit, levels)) for levels in done])
+            found.append(first.filter(F.array_contains(ready, F.array(*pattern))))
+        missing = {levels: least for levels, least in missing.items() if levels not in done}
+        records *= 8
+    if not found:
+        return counts.limit(0).select(*pattern, *[F.lit(None).cast("string").alias(x) for x in ID_PAIR], F.lit(0).alias("example"), "pattern_pairs")
+    chosen = reduce(DataFrame.unionByName, found)
+    spelled = chosen.drop("unique_id_r").join(_members(right, chosen, columns, "_r", n), "profile_r")
     first = F.row_number().over(W.partitionBy(*pattern).orderBy(*ID_PAIR))
-    chosen = gammas.withColumn("__rank", first).filter(F.col("__rank") <= n).select(*pattern, "profile_l", "profile_r")
-    chosen = cut_lineage(chosen)
-    columns = profile_columns(settings)
+    ranked = spelled.select(*pattern, *ID_PAIR).withColumn("example", first).filter(F.col("example") <= n)
+    return ranked.join(counts, pattern)
 
-    def members(side: DataFrame, suffix: str) -> DataFrame:
-        profile, record = f"profile{suffix}", f"unique_id{suffix}"
-        wanted = chosen.select(profile).distinct()
-        named = with_profile(side, columns).select(F.col("profile").alias(profile), F.col("unique_id").alias(record))
-        rank = F.row_number().over(W.partitionBy(profile).orderBy(record))
-        return named.join(wanted, profile, "left_semi").withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
 
-    spelled = chosen.join(members(left, "_l"), "profile_l").join(members(right, "_r"), "profile_r")
+def _pattern_examples_by_profiles(left: DataFrame, right: DataFrame, settings: LinkSettings, n: int) -> DataFrame:
+    """The same where patterns cannot be counted by keys: the first `n` record pairs of a pattern lie within its first
+    `n` profile pairs."""
+    gammas = cut_lineage(profile_gammas(left, right, settings))
+    pattern, columns = [c.gamma for c in settings.comparisons], profile_columns(settings)
+    counts = gammas.groupBy(*pattern).agg(F.sum("pairs").cast(PAIR_COUNT).alias("pattern_pairs"))
+    chosen = cut_lineage(_first_pairs(gammas, pattern, n).select(*pattern, "profile_l", "profile_r"))
+    spelled = chosen.join(_members(left, chosen, columns, "_l", n), "profile_l").join(_members(right, chosen, columns, "_r", n), "profile_r")
+    first = F.row_number().over(W.partitionBy(*pattern).orderBy(*ID_PAIR))
     ranked = spelled.select(*pattern, *ID_PAIR).withColumn("example", first).filter(F.col("example") <= n)
     return ranked.join(counts, pattern)

@@ -64,3 +64,32 @@ def test_the_density_query_forms_no_pairs(spark, sf_dir, monkeypatch):
     for name in ("passing_pairs", "multi_pass_blocking"):
         monkeypatch.setattr(scoring, name, refuse)
     assert catalog.QUERIES["H12_density_predictions"](spark, sf_dir).count() == 200
+
+
+def first_of_each(rows):
+    return sorted((*(r[x] for x in r.asDict() if x in NAMES), r["unique_id_l"], r["unique_id_r"], r["example"], int(r["pattern_pairs"])) for r in rows)
+
+
+@pytest.mark.parametrize("most", [0, 10**5])
+def test_examples_from_the_smallest_ids(sides, monkeypatch, most):
+    """However many left records are tried before all are taken."""
+    left, right = (side.filter("unique_id is not null").dropDuplicates(["unique_id"]) for side in sides)
+    monkeypatch.setattr(profiles, "MOST_LEADING", most)
+    got = profiles.pattern_examples(left, right, SETTINGS, 3, pairs_per_task=10, records=4)
+    want = profiles._pattern_examples_by_profiles(left, right, SETTINGS, 3)
+    assert first_of_each(got.collect()) == first_of_each(want.collect())
+
+
+def test_examples_do_not_need_all_pairs(sides, monkeypatch):
+    """Patterns that the left records with the smallest ids show are not looked for among the others."""
+    sizes = []
+    plain = profiles.candidate_gammas
+
+    def counted(left, *rest):
+        sizes.append(left.count())
+        return plain(left, *rest)
+
+    monkeypatch.setattr(profiles, "candidate_gammas", counted)
+    settings = LinkSettings((B.block_on("gender"),), COMPARISONS[1:2])  # three patterns, all frequent
+    assert profiles.pattern_examples(*sides, settings, 2, records=16).count() == 6
+    assert sizes and max(sizes) < len(LEFT) / 2
