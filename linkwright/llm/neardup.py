@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.common import PAIRS_IN_TASK, WordHashes, grams, importable, map_batches, settled, stored, thinned, utf8, with_strays
 from linkwright.operators.spread import spread_join
+from linkwright.plans.store import discarding
 
 SHINGLE = 5
 SIMILAR = 75  # percent
@@ -229,5 +230,6 @@ def groups(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without those that a smaller doc_id of their group stands for."""
-    gone = groups(documents).filter("not kept").select("doc_id").distinct()
+    with discarding(documents.sparkSession):
+        gone = stored(groups(documents).filter("not kept").select("doc_id").distinct(), "gone", lasting=True)
     return documents.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
