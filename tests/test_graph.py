@@ -1,11 +1,13 @@
 import math
 import random
+from pathlib import Path
 
 import people
 import pytest
 
 from linkwright.operators import blocking as B
 from linkwright.operators import clustering, kinship, scoring
+from linkwright.session import shared_dir
 from test_model import COMPARISONS, SETTINGS, stated
 
 
@@ -143,6 +145,40 @@ def test_a_hub_on_both_sides(spark, monkeypatch):
     assert len(plans) == 4 and all("__col" in p._jdf.queryExecution().analyzed().toString() for p in plans)
 
 
+@pytest.mark.parametrize("small_family, budget", [(0, 10**6), (3, 9), (400, 10**6)])
+def test_wanted_pairs_as_among_all(spark, small_family, budget):
+    rng = random.Random(9)
+    left, right = [f"l{i}" for i in range(14)], [f"r{i}" for i in range(14)]
+    matches = [(l, r, round(rng.random(), 3)) for l in left for r in right if rng.random() < 0.4]
+    edges = [(rng.choice(left), rng.choice(left)) for _ in range(22)] + [(rng.choice(right), rng.choice(right)) for _ in range(22)]
+    frame = spark.createDataFrame(matches, "unique_id_l string, unique_id_r string, match_probability double")
+    links = kinship.symmetric_edges(spark.createDataFrame(edges, "subject_id string, object_id string"))
+    asked = [m[:2] for m in matches if rng.random() < 0.3] + [("l0", "nobody"), (None, "r1")]
+    wanted = spark.createDataFrame(asked + asked[:3], "unique_id_l string, unique_id_r string")
+    whole = {tuple(r)[:3]: r[3] for r in kinship.relative_corroboration(frame, links).collect()}
+    got = kinship.relative_corroboration(frame, links, small_family, budget, wanted).collect()
+    assert sorted(tuple(r)[:2] for r in got) == sorted(set(asked) & {k[:2] for k in whole})
+    assert any(r[3] is not None for r in got)
+    for r in got:
+        want = whole[tuple(r)[:3]]
+        assert (want is None and r[3] is None) or math.isclose(want, r[3], abs_tol=1e-12)
+
+
+def test_corroboration_leaves_one_table(spark):
+    matches = [(f"l{i}", f"r{j}", 0.5) for i in range(5) for j in range(5)]
+    edges = [("l0", f"l{i}") for i in range(1, 5)] + [("r0", f"r{i}") for i in range(1, 5)]
+    frame = spark.createDataFrame(matches, "unique_id_l string, unique_id_r string, match_probability double")
+    links = kinship.symmetric_edges(spark.createDataFrame(edges, "subject_id string, object_id string"))
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    for family in (0, 400):
+        found = kinship.relative_corroboration(frame, links, family)
+        new = {p for p in folder.iterdir() if (p / "_SUCCESS").exists()} - before
+        assert [p.name.split("-")[0] for p in new] == ["corroboration"]
+        before |= new
+        assert found.filter("relatives_match_probability = 0.5").count() == 25
+
+
 def test_unmatched_relatives_do_not_count_as_zero(spark):
     matches = [("a", "b", 0.5), ("x1", "y", 0.9)]
     edges = [("a", "x1"), ("a", "x2"), ("b", "y")]
