@@ -257,3 +257,27 @@ def test_all_rules_are_counted_from_one_scan_of_each_side(spark, odd_sides, tmp_
     got = [int(r["post_filter"]) for r in B.count_comparisons(*stored, rules).collect()]
     texts = ["l.a = r.a and l.n = r.n", "l.a = r.a and abs(l.n - r.n) <= 3", "l.a = r.a", "l.a = r.a"]
     assert got == [len(pairs_by_spark(*odd_sides, t)) for t in texts]
+
+
+@pytest.mark.parametrize(
+    "rules",
+    [
+        RULES,
+        (B.block_on("norm_race"), B.block_on("gender"), B.BlockRule((), (("birth_year", 2),))),
+        (B.BlockRule((), (("birth_year", 5),)), B.block_on("birth_year"), B.BlockRule(("gender",), (("birth_year", 1),))),
+        (B.sql_rule("l.gender = r.gender or l.norm_race = r.norm_race"), B.sql_rule("not (l.nysiis_last_name <> r.nysiis_last_name)")),
+    ],
+)
+def test_overlaps_by_conjunctions_are_those_of_pairs(sides, rules):
+    want = [tuple(r) for r in B.cumulative_comparisons(*sides, rules, paired=10**12).orderBy("match_key").collect()]
+    got = [tuple(r) for r in B.cumulative_comparisons(*sides, rules, paired=-1).orderBy("match_key").collect()]
+    assert got == want and len(got) == len(rules)
+    assert int(got[-1][3]) == B.multi_pass_blocking(*sides, rules).count()
+
+
+def test_not_unequal_is_a_key(sides):
+    rule = B.sql_rule("l.norm_first_name = r.norm_first_name and not (l.gender <> r.gender or l.norm_race != r.norm_race)")
+    assert rule.equal == ("norm_first_name", "gender", "norm_race") and rule.rest is None
+    whole = B.block_on("norm_first_name", "gender", "norm_race")
+    assert B.count_rule(*sides, rule).first() == B.count_rule(*sides, whole).first()
+    assert B.sql_rule("l.gender = r.gender and not (l.norm_race <> r.gender)").rest
